@@ -21,12 +21,11 @@ def _scaled_units(x: Column, digits: int, shift: int) -> Column:
     top = high + F.shiftright(low, 30)
     rest = low.bitwiseAND(F.lit(_LOW_BITS))
     bits = shift - 30
-    whole = F.shiftright(top, bits)
-    fraction = top.bitwiseAND(F.lit((1 << bits) - 1))
-    half = F.lit(1 << (bits - 1))
-    above = (fraction > half) | ((fraction == half) & (rest > 0))
-    tie_to_even = (fraction == half) & (rest == 0) & (whole % 2 == 1)
-    return whole + F.when(above | tie_to_even, F.lit(1)).otherwise(F.lit(0))
+    half = 1 << (bits - 1)
+    up = F.shiftright(top + F.lit(half), bits)
+    # an exact tie above an even step was rounded up and has to stay down
+    even_tie = (top.bitwiseAND(F.lit((1 << (bits + 1)) - 1)) == half) & (rest == 0)
+    return up - even_tie.cast("bigint")
 
 
 def unit_interval_units(x: Column, digits: int = 4) -> Column:

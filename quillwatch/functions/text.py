@@ -53,19 +53,21 @@ def _fold_exceptions() -> dict[str, str]:
 def casefold(c: Column) -> Column:
     """Full Unicode case folding.
 
-    ASCII text and text without exceptional letters only pays for ``lower``.
+    ASCII text and text without exceptional letters only pays for ``lower``. Pass a plain
+    column: the expression mentions its argument several times.
     """
     table = _fold_exceptions()
-    lowered = F.lower(c)
-    exceptional = lowered.rlike("[" + "".join(table) + "]")
     mapping = F.str_to_map(
         F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02")
     )
     folded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(mapping, ch), ch)),
+        F.transform(
+            F.split(F.lower(c), ""), lambda ch: F.coalesce(F.try_element_at(mapping, ch), ch)
+        ),
         "",
     )
-    return F.when(is_ascii(c) | ~exceptional, lowered).otherwise(folded)
+    exceptional = ~is_ascii(c) & F.lower(c).rlike("[" + "".join(table) + "]")
+    return F.when(exceptional, folded).otherwise(F.lower(c))
 
 
 def fold_key(c: Column) -> Column:

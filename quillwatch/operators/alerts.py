@@ -12,8 +12,10 @@ from quillwatch.functions.text import (
     json_object,
     json_string,
     optional_text,
+    strip,
 )
 from quillwatch.functions.times import iso_text
+from quillwatch.operators.once import computed_once
 from quillwatch.schemas import ALERT_COLUMNS, DETECTION_COLUMNS, FINGERPRINT_FIELDS
 
 REOPEN_NOTE = "A new matching database event reopened the resolved alert."
@@ -46,7 +48,28 @@ def fingerprint(**columns: Column) -> Column:
         value = F.coalesce(columns.get(name, F.col(name)).cast("string"), F.lit(""))
         normal = casefold(collapse_spaces(value)) if name == "query" else fold_key(value)
         fields[name] = json_string(normal)
-    return F.sha2(json_object(fields), 256)
+    return F.coalesce(F.sha2(json_object(fields), 256), F.lit(""))
+
+
+def with_fingerprint(records: DataFrame, out: str = "fingerprint") -> DataFrame:
+    """The same as :func:`fingerprint` for a whole frame, one projection per step.
+
+    Each step reads plain columns of the step before, and the hash itself is computed
+    once however it is filtered or joined on later.
+    """
+    names = {f: f"_print_{f}" for f in FINGERPRINT_FIELDS}
+    texts = {
+        temp: (collapse_spaces if f == "query" else strip)(
+            F.coalesce(F.col(f).cast("string"), F.lit(""))
+        )
+        for f, temp in names.items()
+    }
+    folded = {temp: casefold(F.col(temp)) for temp in names.values()}
+    quoted = {temp: json_string(F.col(temp)) for temp in names.values()}
+    staged = records.withColumns(texts).withColumns(folded).withColumns(quoted)
+    canonical = json_object({f: F.col(temp) for f, temp in names.items()})
+    hashed = F.coalesce(F.sha2(canonical, 256), F.lit(""))
+    return computed_once(staged, **{out: hashed}).drop(*names.values())
 
 
 def alert_id_of(print_of: Column) -> Column:
@@ -82,7 +105,7 @@ def enrich_detections(
         else F.sha2(F.concat_ws("|", F.col("fingerprint"), seen.cast("string"), batch), 256)
     )
     return (
-        detections.withColumn("fingerprint", fingerprint())
+        with_fingerprint(detections)
         .withColumns(
             {
                 "alert_id": alert_id_of(F.col("fingerprint")),

@@ -1,6 +1,9 @@
 """Weighted statement rules, their combined score and the decision texts.
 
-All of it is Column arithmetic in one or two projections: no shuffle, no Python.
+The rules of a statement are one bit mask, and score, severity, indicators and texts are
+functions of the mask alone. They are worked out once per mask in a small table that is
+broadcast to the events, so an event only pays for its regexes and one hash probe: no
+shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from quillwatch.functions.domains import parse_severity, severity_rank
 from quillwatch.functions.numeric import fixed_text, round_unit
 from quillwatch.functions.text import WHITESPACE_CLASS, is_ascii
+from quillwatch.operators.once import computed_once
 
 _WORD = r"[\p{L}\p{N}_]"
 _SPACE = f"[{WHITESPACE_CLASS}]"
@@ -221,7 +225,7 @@ def explanation(indicators: Column, score: Column, detector_name: Column) -> Col
 
 
 def noisy_or(hits: Sequence[Column], weights: Sequence[float]) -> Column:
-    """``1 - prod(1 - w)`` over the rules that fire, rounded to four places.
+    """``1 - prod(1 - w)`` over the rules that fire, not yet rounded.
 
     Rules that do not fire multiply by exactly 1.0, so the doubles are those of a
     left-to-right product over the firing rules only.
@@ -236,51 +240,75 @@ def noisy_or(hits: Sequence[Column], weights: Sequence[float]) -> Column:
 def match_rules(
     events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, statement: str = "query"
 ) -> DataFrame:
-    """Add one boolean column per rule in the struct ``rule_hits``.
+    """Add ``rule_mask``: bit ``i`` is set when rule ``i`` fires.
 
     The lower-cased text is computed once, in its own projection.
     """
+    if not 0 < len(rules) <= 62:
+        raise ValueError("between 1 and 62 rules are supported")
     prepared = events.withColumns(
         {"_lowered": F.lower(F.col(statement)), "_ascii": is_ascii(F.col(statement))}
     )
-    hits = [
-        rule.hit(F.col(statement), F.col("_lowered"), F.col("_ascii")).alias(rule.name)
-        for rule in rules
-    ]
-    return prepared.withColumn("rule_hits", F.struct(*hits)).drop("_lowered", "_ascii")
+    mask = F.lit(0).cast("bigint")
+    for position, rule in enumerate(rules):
+        hit = rule.hit(F.col(statement), F.col("_lowered"), F.col("_ascii"))
+        mask = mask + F.when(hit, F.lit(1 << position).cast("bigint")).otherwise(
+            F.lit(0).cast("bigint")
+        )
+    return prepared.withColumn("rule_mask", mask).drop("_lowered", "_ascii")
 
 
-def detect(
-    events: DataFrame,
-    rules: Sequence[Rule] = DEFAULT_RULES,
-    *,
-    detector_name: str = DETECTOR_NAME,
-    detector_version: str = DETECTOR_VERSION,
-    statement: str = "query",
+def mask_decisions(
+    masks: DataFrame, rules: Sequence[Rule], detector_name: str, detector_version: str
 ) -> DataFrame:
-    """Append risk_score, severity, classification, indicators and detector columns."""
-    hits = [F.col("rule_hits").getField(rule.name) for rule in rules]
-    scored = match_rules(events, rules, statement).withColumns(
+    """Every decision column as a function of ``rule_mask``."""
+    hits = [
+        F.col("rule_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0 for i in range(len(rules))
+    ]
+    raw = computed_once(masks, _raw_score=noisy_or(hits, [rule.weight for rule in rules]))
+    scored = raw.withColumns(
         {
-            "_raw_score": noisy_or(hits, [rule.weight for rule in rules]),
             "indicators": F.array_compact(
                 F.array(
                     *[F.when(hit, rule.description) for hit, rule in zip(hits, rules, strict=True)]
                 )
             ),
+            "detector_name": F.lit(detector_name),
+            "detector_version": F.lit(detector_version),
         }
     )
-    rated = scored.withColumn("risk_score", round_unit(F.col("_raw_score"), 4))
+    rated = computed_once(scored, risk_score=round_unit(F.col("_raw_score"), 4))
     return rated.withColumns(
         {
             "severity": severity_of(F.col("risk_score")),
             "classification": F.when(
                 F.size("indicators") > 0, "suspicious_sql_activity"
             ).otherwise("normal_sql_activity"),
-            "detector_name": F.lit(detector_name),
-            "detector_version": F.lit(detector_version),
         }
-    ).drop("_raw_score", "rule_hits")
+    ).drop("_raw_score")
+
+
+# 2**14 table rows at most; with more rules the columns are computed per event instead.
+MAX_TABLE_RULES = 14
+
+
+def detect(
+    events: DataFrame,
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    *,
+    detector_name: str = DETECTOR_NAME,
+    detector_version: str = DETECTOR_VERSION,
+    statement: str = "query",
+) -> DataFrame:
+    """Append risk_score, severity, classification, indicators and detector columns."""
+    matched = match_rules(events, rules, statement)
+    if len(rules) > MAX_TABLE_RULES:
+        once = computed_once(matched, _mask=F.col("rule_mask"))
+        once = once.withColumn("rule_mask", F.col("_mask")).drop("_mask")
+        return mask_decisions(once, rules, detector_name, detector_version).drop("rule_mask")
+    masks = events.sparkSession.range(0, 1 << len(rules), 1, 1).withColumnRenamed("id", "rule_mask")
+    table = mask_decisions(masks, rules, detector_name, detector_version)
+    return matched.join(F.broadcast(table), "rule_mask").drop("rule_mask")
 
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -349,20 +377,34 @@ def threshold(
 
 
 def rule_report(events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
-    """Hits, distinct actors and mean score per rule."""
+    """Hits, distinct actors and mean score per rule.
+
+    Events are counted per user and mask first; only those few rows are spread over rules.
+    """
+    per_mask = match_rules(events, rules).groupBy("rule_mask", "username").agg(
+        F.count("*").alias("n")
+    )
+    masks = events.sparkSession.range(0, 1 << len(rules), 1, 1).withColumnRenamed("id", "rule_mask")
+    table = mask_decisions(masks, rules, DETECTOR_NAME, DETECTOR_VERSION).select(
+        "rule_mask",
+        F.round(F.col("risk_score") * 10_000).cast("bigint").alias("units"),
+        F.explode("indicators").alias("description"),
+    )
     names = F.create_map(*[F.lit(x) for r in rules for x in (r.description, r.name)])
-    exploded = detect(events, rules).select(
-        F.explode("indicators").alias("description"), "username", "risk_score"
+    per_user = (
+        per_mask.join(F.broadcast(table), "rule_mask")
+        .groupBy("description", "username")
+        .agg(F.sum("n").alias("hits"), F.sum(F.col("n") * F.col("units")).alias("units"))
     )
-    per_actor = exploded.groupBy("description", "username").agg(
-        F.count("*").alias("hits"),
-        F.sum(F.round(F.col("risk_score") * 10_000).cast("long")).alias("units"),
+    return (
+        per_user.groupBy("description")
+        .agg(
+            F.sum("hits").alias("hits"),
+            F.count("*").alias("actors"),
+            (F.sum("units") / F.lit(10_000.0) / F.sum("hits")).alias("mean_score"),
+        )
+        .select(F.element_at(names, F.col("description")).alias("rule"), "*")
     )
-    return per_actor.groupBy("description").agg(
-        F.sum("hits").alias("hits"),
-        F.count("*").alias("actors"),
-        (F.sum("units") / F.lit(10_000.0) / F.sum("hits")).alias("mean_score"),
-    ).select(F.element_at(names, F.col("description")).alias("rule"), "*")
 
 
 def sql_functions(spark, rules: Sequence[Rule] = DEFAULT_RULES) -> None:

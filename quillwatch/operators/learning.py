@@ -64,7 +64,7 @@ def governance_loop(severity: Column, occurrences: Column) -> Column:
 def learning_score(
     risk: Column, severity: Column, occurrences: Column, classes: Column
 ) -> Column:
-    """Weighted sum of risk, severity, recurrence and diversity, at most 1.
+    """Weighted sum of risk, severity, recurrence and diversity, at most 1, not rounded.
 
     Terms are added left to right so that the double is reproducible.
     """
@@ -79,7 +79,7 @@ def learning_score(
         + recurrence * F.lit(RECURRENCE_WEIGHT)
         + diversity * F.lit(DIVERSITY_WEIGHT)
     )
-    return round_unit(F.least(F.lit(1.0), total), 4)
+    return F.least(F.lit(1.0), total)
 
 
 def assess(incidents: DataFrame) -> DataFrame:
@@ -103,15 +103,16 @@ def assess(incidents: DataFrame) -> DataFrame:
         F.col("_classes"),
         F.col("_severity"),
     )
+    scored = prepared.withColumn("_score", learning_score(risk, level, occurrences, classes))
     urgent = level.isin("high", "critical")
     loops = F.struct(
         detection_loop(risk, alerts, occurrences, classes).alias("loop1_detection"),
         response_loop(level, alerts, occurrences).alias("loop2_adaptation"),
         governance_loop(level, occurrences).alias("loop3_reflection"),
-        learning_score(risk, level, occurrences, classes).alias("learning_score"),
+        round_unit(F.col("_score"), 4).alias("learning_score"),
         (urgent | (occurrences >= 3)).alias("escalation_required"),
         urgent.alias("human_approval_required"),
     )
-    return prepared.withColumn("triple_loop", loops).drop(
-        "_severity", "_risk", "_alerts", "_classes", "_occurrences"
+    return scored.withColumn("triple_loop", loops).drop(
+        "_severity", "_risk", "_alerts", "_classes", "_occurrences", "_score"
     )

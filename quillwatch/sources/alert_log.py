@@ -9,7 +9,7 @@ from quillwatch.functions.domains import status_or_null
 from quillwatch.functions.numeric import clamp_unit
 from quillwatch.functions.text import strip
 from quillwatch.functions.times import parse_iso
-from quillwatch.operators.alerts import alert_id_of, fingerprint
+from quillwatch.operators.alerts import alert_id_of, with_fingerprint
 from quillwatch.schemas import LOG_RECORD
 from quillwatch.sources.lines import numbered_lines
 
@@ -82,7 +82,8 @@ def log_occurrences(
     missing = F.raise_error(F.lit("Alert record has no timestamp")).cast("timestamp")
     fallback = F.lit(loaded_at).cast("timestamp") if loaded_at else missing
     generated = _time(F.col("generated_at"), fallback)
-    print_of = F.coalesce(F.nullif("fingerprint", F.lit("")), fingerprint())
+    rows = with_fingerprint(rows, "own_fingerprint")
+    print_of = F.coalesce(F.nullif("fingerprint", F.lit("")), "own_fingerprint")
     status = F.coalesce(
         status_or_null(F.col("status")),
         F.raise_error(F.concat(F.lit("Invalid alert status: "), "status")).cast("string"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillwatch.functions.times import iso_text
 from quillwatch.operators.alerts import enrich_detections, restrict_to_batch
 from quillwatch.operators.detection import DEFAULT_RULES, Detector, Rule, analyze, threshold
 from quillwatch.operators.incidents import actor_of, notification_rows
@@ -87,10 +88,9 @@ def watch(
     def deliver(batch: DataFrame, epoch: int) -> None:
         batch_id = f"{stream_id}-{epoch:012d}"
         # one clock value per epoch, taken from the data so that a replay repeats it
-        newest = batch.agg(F.max("timestamp").alias("t")).first()["t"]
-        if newest is None:
+        generated_at = batch.agg(iso_text(F.max("timestamp")).alias("t")).first()["t"]
+        if generated_at is None:
             return
-        generated_at = newest.isoformat()
         occurrences = enrich_detections(
             batch, batch_id=batch_id, generated_at=generated_at
         ).persist()
