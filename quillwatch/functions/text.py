@@ -57,15 +57,7 @@ def casefold(c: Column) -> Column:
     column: the expression mentions its argument several times.
     """
     table = _fold_exceptions()
-    mapping = F.str_to_map(
-        F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02")
-    )
-    folded = F.array_join(
-        F.transform(
-            F.split(F.lower(c), ""), lambda ch: F.coalesce(F.try_element_at(mapping, ch), ch)
-        ),
-        "",
-    )
+    folded = _replace_chars(F.lower(c), table)
     exceptional = ~is_ascii(c) & F.lower(c).rlike("[" + "".join(table) + "]")
     return F.when(exceptional, folded).otherwise(F.lower(c))
 
@@ -80,23 +72,36 @@ def optional_text(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def _escape_basic(c: Column) -> Column:
-    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(out, F.lit('"'), F.lit('\\"'))
+def _char_map(pairs: dict[str, str]) -> Column:
+    """A constant map column; the separators cannot occur in the pairs used here."""
+    text = "\ue001".join(f"{key}\ue000{value}" for key, value in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\ue001"), F.lit("\ue000"))
 
 
-def _escape_controls(c: Column) -> Column:
-    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-    out = c
-    for code in range(0x20):
-        out = F.replace(out, F.lit(chr(code)), F.lit(named.get(chr(code), f"\\u{code:04x}")))
-    return out
+def _replace_chars(c: Column, pairs: dict[str, str]) -> Column:
+    """Replace single characters by texts; one pass, meant for the few rows that need it."""
+    mapping = _char_map(pairs)
+    return F.array_join(
+        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(mapping, ch), ch)), ""
+    )
+
+
+# JSON escapes; other control characters use lower-case hex.
+_JSON_ESCAPES = {
+    '"': '\\"',
+    "\\": "\\\\",
+    "\n": "\\n",
+    "\r": "\\r",
+    "\t": "\\t",
+    "\b": "\\b",
+    "\f": "\\f",
+}
 
 
 def json_string(c: Column) -> Column:
     """A JSON string literal with raw UTF-8; control characters in lower-case hex."""
-    basic = _escape_basic(c)
-    body = F.when(c.rlike(r"[\x00-\x1f]"), _escape_controls(basic)).otherwise(basic)
+    escapes = {chr(code): f"\\u{code:04x}" for code in range(0x20)} | _JSON_ESCAPES
+    body = F.when(c.rlike(r'[\x00-\x1f"\\]'), _replace_chars(c, escapes)).otherwise(c)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
@@ -139,7 +144,10 @@ def json_number(x: Column) -> Column:
 
 
 def sha256_prefixed(prefix: str, canonical: Column, length: int = 24) -> Column:
-    return F.concat(F.lit(prefix), F.substring(F.sha2(canonical, 256), 1, length))
+    """Prefix and the first hex digits of the hash; never null, so joins need no null check."""
+    return F.coalesce(
+        F.concat(F.lit(prefix), F.substring(F.sha2(canonical, 256), 1, length)), F.lit(prefix)
+    )
 
 
 def title_case(c: Column) -> Column:

@@ -21,6 +21,7 @@ from quillwatch.functions.text import (
     strip,
 )
 from quillwatch.functions.times import iso_text
+from quillwatch.operators.once import computed_once
 from quillwatch.schemas import FEEDBACK, RECOMMENDATION
 
 RECOMMENDATION_COLUMNS = tuple(c.split()[0] for c in RECOMMENDATION.split(", "))
@@ -80,8 +81,10 @@ def recommend(
         fixed_text(F.col("learning_score"), 4),
         F.lit("."),
     )
-    return named.select(
-        sha256_prefixed("prec_", canonical).alias("recommendation_id"),
+    return computed_once(
+        named, recommendation_id=sha256_prefixed("prec_", canonical)
+    ).select(
+        "recommendation_id",
         "incident_id",
         "proposed_action",
         rationale.alias("rationale"),
@@ -132,11 +135,11 @@ def build_feedback(entries: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision")
         .when(F.col("created_at").isNull(), "created_at must be a timestamp with a zone")
     )
-    return (
-        cleaned.withColumn("problem", problem)
-        .withColumn("feedback_id", F.when(F.col("problem").isNull(), feedback_id_of()))
-        .select(*FEEDBACK_COLUMNS, "problem")
-    )
+    checked = computed_once(cleaned, problem=problem)
+    named = computed_once(checked, _id=feedback_id_of())
+    return named.withColumn(
+        "feedback_id", F.when(F.col("problem").isNull(), F.col("_id"))
+    ).select(*FEEDBACK_COLUMNS, "problem")
 
 
 def conflicting_ids(frame: DataFrame, key: str) -> DataFrame:

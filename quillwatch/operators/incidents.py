@@ -34,6 +34,7 @@ from quillwatch.functions.text import (
     title_case,
 )
 from quillwatch.functions.times import iso_text
+from quillwatch.operators.once import computed_once
 
 KEY = ("source_system", "database", "actor")
 
@@ -189,10 +190,11 @@ def correlate(
     severity = F.when(
         F.col("severity_rank") > 0, severity_name(F.col("severity_rank"))
     ).otherwise(F.col("low_severity"))
+    timed = rolled.withColumns({"first_seen": first, "last_seen": last, "severity": severity})
     return (
-        rolled.withColumns({"first_seen": first, "last_seen": last, "severity": severity})
+        computed_once(timed, incident_id=incident_id_of(F.col("first_seen")))
         .select(
-            incident_id_of(F.col("first_seen")).alias("incident_id"),
+            "incident_id",
             F.concat(
                 title_case(F.col("severity")),
                 F.lit(" database-security activity on "),

@@ -2,7 +2,7 @@
 
     <root>/alerts/v0000000007-base/           every alert
     <root>/alerts/v0000000008-change-<id>/    new rows of the alerts one batch touched
-    <root>/events/v0000000008-change-<id>/    lifecycle events of that batch
+    <root>/events/version=v0000000008-change-<id>/event_date=.../   its lifecycle events
 
 A version counts once Spark has written its ``_SUCCESS`` file, so a lost job leaves
 nothing half visible. A batch writes only the rows it changed; reading overlays the change
@@ -58,11 +58,11 @@ class AlertStore:
                 found.append((int(match[1]), match[2], match[3] or "", path.getName()))
         return sorted(found)
 
-    def _read(self, table: str, names: list[str], schema: str) -> DataFrame:
+    def _alerts(self, names: list[str]) -> DataFrame:
         if not names:
-            return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/{table}/{name}" for name in names]
-        return self.spark.read.schema(schema).parquet(*paths)
+            return self.spark.createDataFrame([], ALERT)
+        paths = [f"{self.root}/alerts/{name}" for name in names]
+        return self.spark.read.schema(ALERT).parquet(*paths)
 
     def _live(self) -> tuple[list[str], list[tuple[int, str]]]:
         """Name of the last snapshot, and numbered names of the change sets after it."""
@@ -89,11 +89,11 @@ class AlertStore:
     def state(self) -> DataFrame:
         """Current row of every alert."""
         base_names, changes = self._live()
-        base = self._read("alerts", base_names, ALERT)
+        base = self._alerts(base_names)
         if not changes:
             return base
         layers = [
-            self._read("alerts", [name], ALERT).withColumn("_version", F.lit(number))
+            self._alerts([name]).withColumn("_version", F.lit(number))
             for number, name in changes
         ]
         stacked = layers[0]
@@ -111,14 +111,22 @@ class AlertStore:
 
     def events(self) -> DataFrame:
         """Lifecycle events of all committed versions since events were last rewritten."""
-        names = [v[3] for v in self._versions()]
-        rewritten = [n for n in names if n.endswith("-base") and self._exists("events", n)]
-        start = names.index(rewritten[-1]) if rewritten else 0
-        return self._read("events", [n for n in names[start:] if self._exists("events", n)],
-                          ALERT_EVENT)
-
-    def _exists(self, table: str, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{name}/_SUCCESS")
+        names = [v[3] for v in self._versions() if self._has_events(v[3])]
+        rewritten = [i for i, name in enumerate(names) if name.endswith("-base")]
+        live = names[rewritten[-1] :] if rewritten else names
+        if not live:
+            return self.spark.createDataFrame([], ALERT_EVENT)
+        base = f"{self.root}/events"
+        return (
+            self.spark.read.schema(ALERT_EVENT)
+            .option("basePath", base)
+            .parquet(*[f"{base}/version={name}" for name in live])
+            .select(*[part.split()[0] for part in ALERT_EVENT.split(", ")])
+        )
+
+    def _has_events(self, name: str) -> bool:
+        marker = f"{self.root}/events/version={name}/_SUCCESS"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(marker)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     # -- writing
@@ -130,7 +138,7 @@ class AlertStore:
                 events.withColumn("event_date", F.to_date("timestamp"))
                 .write.mode("overwrite")
                 .partitionBy("event_date")
-                .parquet(f"{self.root}/events/{name}")
+                .parquet(f"{self.root}/events/version={name}")
             )
         rows.select(*ALERT_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/alerts/{name}")
 
@@ -228,7 +236,7 @@ class AlertStore:
         """Alert count of the current state, and files and bytes of the live versions."""
         base_names, changes = self._live()
         names = base_names + [name for _, name in changes]
-        sizes = store_info(self._read("alerts", names, ALERT)) if names else None
+        sizes = store_info(self._alerts(names)) if names else None
         count = self.state().agg(F.count("*").alias("alert_count"))
         empty = count.select(
             "alert_count",

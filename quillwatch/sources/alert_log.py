@@ -50,11 +50,9 @@ def parse_log_lines(lines: DataFrame, *, mode: str = "failfast") -> DataFrame:
     message = F.concat(
         F.lit("Alert log line "), F.col("line_no").cast("string"), F.lit(": "), F.col("problem")
     )
-    return records.where(
-        F.when(F.col("problem").isNull(), F.lit(True)).otherwise(
-            F.raise_error(message).cast("boolean")
-        )
-    )
+    # looking at the column raises, so no later filter can step around the check
+    raising = F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("string"))
+    return records.withColumn("problem", raising).where(F.col("problem").isNull())
 
 
 def read_alert_log(spark: SparkSession, path: str, *, mode: str = "failfast") -> DataFrame:

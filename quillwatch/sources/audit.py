@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwatch.functions.text import json_object, json_string, sha256_prefixed, strip
 from quillwatch.functions.times import iso_text
+from quillwatch.operators.once import computed_once
 
 MAX_SCAN = 100_000
 AUDIT_COLUMNS = (
@@ -148,19 +149,16 @@ def normalize_events(
         F.col("duration_ms").cast("double").alias("duration_ms"),
         F.col("rows_affected").cast("bigint").alias("rows_affected"),
         when.alias("timestamp"),
-    ).withColumn("violations", _violations(F.col("source_system")))
-    if mode == "quarantine":
-        return events
-    return events.where(
-        F.when(F.size("violations") == 0, F.lit(True)).otherwise(
-            F.raise_error(
-                F.concat(
-                    F.lit("Bad audit row "), F.col("event_id"), F.lit(": "),
-                    F.array_join("violations", "; "),
-                )
-            ).cast("boolean")
-        )
     )
+    violations = _violations(F.col("source_system"))
+    if mode == "failfast":
+        message = F.concat(
+            F.lit("Bad audit row "), F.col("event_id"), F.lit(": "), F.array_join(violations, "; ")
+        )
+        violations = F.when(F.size(violations) == 0, violations).otherwise(
+            F.raise_error(message).cast("array<string>")
+        )
+    return computed_once(events, violations=violations)
 
 
 def accepted(events: DataFrame) -> DataFrame:
