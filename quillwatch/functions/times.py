@@ -8,24 +8,21 @@ from pyspark.sql import functions as F
 from quillwatch.functions.text import strip
 
 _DATE = r"\d{4}-\d{2}-\d{2}"
-_CLOCK = r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?"
+_SECONDS = r"\d{2}:\d{2}:\d{2}(?:\.\d+)?"
 _ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
 
 
 def parse_iso(c: Column) -> Column:
-    """ISO-8601 text to a timestamp; no zone means UTC; unreadable text becomes null."""
+    """ISO-8601 text to a timestamp; no zone means UTC; unreadable text becomes null.
+
+    Missing parts are filled in one after the other, so the argument is used only once.
+    """
     text = F.translate(strip(c), ",", ".")
-    # the cast wants seconds
-    text = F.regexp_replace(text, rf"([T ]\d{{2}}:\d{{2}})({_ZONE}?)$", "$1:00$2")
-    dated = text.rlike(f"^{_DATE}$")
-    clocked = text.rlike(f"^{_DATE}[T ]{_CLOCK}{_ZONE}?$")
-    zoned = text.rlike(f"{_CLOCK}{_ZONE}$")
-    full = (
-        F.when(dated, F.concat(text, F.lit("T00:00:00Z")))
-        .when(clocked & zoned, text)
-        .when(clocked, F.concat(text, F.lit("Z")))
-    )
-    return full.try_cast("timestamp")
+    clocked = F.regexp_replace(text, f"^({_DATE})$", "$1T00:00:00")
+    exact = F.regexp_replace(clocked, rf"([T ]\d{{2}}:\d{{2}})({_ZONE}?)$", "$1:00$2")
+    zoned = F.regexp_replace(exact, f"([T ]{_SECONDS})$", "$1Z")
+    readable = F.regexp_extract(zoned, f"^{_DATE}[T ]{_SECONDS}{_ZONE}$", 0)
+    return readable.try_cast("timestamp")
 
 
 def parse_iso_or_epoch(c: Column) -> Column:

@@ -278,7 +278,7 @@ def mask_decisions(
         }
     )
     rated = computed_once(scored, risk_score=round_unit(F.col("_raw_score"), 4))
-    return rated.withColumns(
+    classed = rated.withColumns(
         {
             "severity": severity_of(F.col("risk_score")),
             "classification": F.when(
@@ -286,6 +286,22 @@ def mask_decisions(
             ).otherwise("normal_sql_activity"),
         }
     ).drop("_raw_score")
+    return _with_advice(classed)
+
+
+ADVICE = ("is_anomalous", "explanation", "recommended_action")
+
+
+def _with_advice(detected: DataFrame) -> DataFrame:
+    return detected.withColumns(
+        {
+            "is_anomalous": is_anomalous(F.col("risk_score")),
+            "explanation": explanation(
+                F.col("indicators"), F.col("risk_score"), F.col("detector_name")
+            ),
+            "recommended_action": recommended_action(F.col("severity")),
+        }
+    )
 
 
 # 2**14 table rows at most; with more rules the columns are computed per event instead.
@@ -301,6 +317,17 @@ def detect(
     statement: str = "query",
 ) -> DataFrame:
     """Append risk_score, severity, classification, indicators and detector columns."""
+    return _decide(events, rules, detector_name, detector_version, statement).drop(*ADVICE)
+
+
+def _decide(
+    events: DataFrame,
+    rules: Sequence[Rule],
+    detector_name: str,
+    detector_version: str,
+    statement: str,
+) -> DataFrame:
+    """Events joined with every column of the mask table; unused ones are pruned."""
     matched = match_rules(events, rules, statement)
     if len(rules) > MAX_TABLE_RULES:
         once = computed_once(matched, _mask=F.col("rule_mask"))
@@ -328,24 +355,17 @@ def analyze(
     ``detector_name``. A score outside [0, 1] stops the job.
     """
     if detector is None:
-        detected = detect(events, rules, detector_name=detector_name)
+        full = _decide(events, rules, detector_name, DETECTOR_VERSION, "query")
     else:
-        detected = detector(events).withColumn(
-            "risk_score",
-            F.when(F.col("risk_score").between(0.0, 1.0), F.col("risk_score")).otherwise(
-                F.raise_error(F.lit("risk_score must be between 0.0 and 1.0")).cast("double")
-            ),
+        full = _with_advice(
+            detector(events).withColumn(
+                "risk_score",
+                F.when(F.col("risk_score").between(0.0, 1.0), F.col("risk_score")).otherwise(
+                    F.raise_error(F.lit("risk_score must be between 0.0 and 1.0")).cast("double")
+                ),
+            )
         )
-    return detected.withColumns(
-        {
-            "is_anomalous": is_anomalous(F.col("risk_score")),
-            "explanation": explanation(
-                F.col("indicators"), F.col("risk_score"), F.col("detector_name")
-            ),
-            "recommended_action": recommended_action(F.col("severity")),
-            "automatic_action": F.lit(None).cast("string"),
-        }
-    )
+    return full.withColumn("automatic_action", F.lit(None).cast("string"))
 
 
 def decisions(analyzed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ A recommendation is only ever proposed; nothing here applies one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions.domains import DECISIONS
@@ -177,20 +177,21 @@ def judge_feedback(recommendations: DataFrame, feedback: DataFrame) -> DataFrame
     say why not: unknown recommendation, wrong incident, already decided, or conflicting
     identifier. Repeats of the same row are one row.
     """
-    conflicts = conflicting_ids(feedback.select(*FEEDBACK_COLUMNS), "feedback_id").withColumn(
-        "conflict", F.lit(True)
+    # the identifier is a content hash, so more than one row per id is the rare conflict
+    same_id = Window.partitionBy("feedback_id")
+    distinct = (
+        feedback.select(*FEEDBACK_COLUMNS)
+        .dropDuplicates()
+        .withColumn("conflict", F.count("*").over(same_id) > 1)
     )
-    distinct = feedback.select(*FEEDBACK_COLUMNS).dropDuplicates()
     target = recommendations.select(
         "recommendation_id",
         F.col("incident_id").alias("target_incident"),
         F.col("status").alias("target_status"),
     )
-    matched = distinct.join(conflicts, "feedback_id", "left").join(
-        target, "recommendation_id", "left"
-    )
+    matched = distinct.join(target, "recommendation_id", "left")
     able = (
-        F.col("conflict").isNull()
+        ~F.col("conflict")
         & (F.col("incident_id") == F.col("target_incident"))
         & (F.col("target_status") == "proposed")
     )

@@ -10,6 +10,7 @@ from quillwatch.functions.numeric import clamp_unit
 from quillwatch.functions.text import strip
 from quillwatch.functions.times import parse_iso
 from quillwatch.operators.alerts import alert_id_of, with_fingerprint
+from quillwatch.operators.once import computed_once
 from quillwatch.schemas import LOG_RECORD
 from quillwatch.sources.lines import numbered_lines
 
@@ -22,13 +23,12 @@ def parse_log_lines(lines: DataFrame, *, mode: str = "failfast") -> DataFrame:
     """
     if mode not in {"failfast", "quarantine"}:
         raise ValueError("mode must be failfast or quarantine")
-    text = strip(F.col("raw"))
-    parsed = lines.where(text != "").select(
-        "file",
-        "line_no",
-        text.alias("raw"),
-        F.try_parse_json(text).alias("document"),
-        F.from_json(text, LOG_RECORD).alias("record"),
+    parsed = computed_once(
+        computed_once(lines.withColumnRenamed("raw", "_line"), raw=strip(F.col("_line"))).where(
+            F.col("raw") != ""
+        ),
+        document=F.try_parse_json("raw"),
+        record=F.from_json("raw", LOG_RECORD),
     )
     problem = F.when(F.col("document").isNull(), "invalid_json").when(
         ~F.col("raw").startswith("{"), "not_an_object"
@@ -86,11 +86,10 @@ def log_occurrences(
         status_or_null(F.col("status")),
         F.raise_error(F.concat(F.lit("Invalid alert status: "), "status")).cast("string"),
     )
-    event_time = _time(F.col("timestamp"), generated)
+    rows = computed_once(rows, event_time=_time(F.col("timestamp"), generated))
     dated = rows.withColumns(
         {
             "fingerprint": print_of,
-            "event_time": event_time,
             "status": status,
             "occurrence_count": F.when(F.col("whole_count") > 0, F.col("whole_count"))
             .otherwise(F.lit(1))
