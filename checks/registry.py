@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,11 @@ from quillwatch.operators import (
     throttle,
 )
 from quillwatch.plans import exports, reports
+from quillwatch.plans.store import AlertStore
+from quillwatch.session import checkpoint_dir
 from quillwatch.sources import alert_log
 from quillwatch.sources import audit as audit_source
+from quillwatch.streaming.watch import late_counts, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,8 +93,6 @@ register(
 
 
 def _late(spark: SparkSession, sf: str) -> DataFrame:
-    from quillwatch.streaming.watch import late_counts
-
     return late_counts(
         v.audit(spark, sf).withColumn("event_time", F.col("event_time").cast("timestamp")),
         "2024-01-10T00:00:00+00:00",
@@ -1084,3 +1086,26 @@ register(
         first_seen, {iso('last_seen')} AS last_seen, CASE WHEN status_updated_at IS NOT NULL THEN
         {iso('status_updated_at')} END AS status_updated_at FROM states""", "states"),
 )
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def _stream_watch(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole events table read as a stream, drained once into a fresh alert store."""
+    root = f"{checkpoint_dir(spark)}/watch-{uuid.uuid4().hex}"
+    raw = v.table(spark, sf, "events")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{sf}/events*.parquet")
+    rows = spark.sql(v.AUDIT_SQL, events=stream).withColumn(
+        "event_time", F.col("event_time").cast("timestamp")
+    )
+    store = AlertStore(spark, f"{root}/store")
+    watch(rows, store, checkpoint=f"{root}/checkpoint", min_risk=0.5, once=True).awaitTermination()
+    return store.state()
+
+
+register(
+    "stream_watch",
+    lambda s, d: _stream_watch(s, d).select(*_ALERT_NAMES, "status"),
+    sql(f"SELECT {ALERT_SQL}, 'new' AS status FROM al", "al"),
+)

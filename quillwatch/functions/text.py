@@ -168,8 +168,3 @@ def preview(c: Column, width: int) -> Column:
     return F.when(
         F.length(line) > width, F.concat(F.substring(line, 1, width - 3), F.lit("..."))
     ).otherwise(line)
-
-
-def distinct_sorted(values: Column) -> Column:
-    """Sorted distinct non-null values of a column (aggregate)."""
-    return F.array_sort(F.collect_set(values))

@@ -56,12 +56,9 @@ def request_durations(access_log: DataFrame) -> DataFrame:
 
 def latest_probes(probes: DataFrame) -> DataFrame:
     """Last result per component."""
-    latest = F.max(F.struct("checked_at_epoch", *[c for c in probes.columns if c != "name"]))
-    return (
-        probes.groupBy("name")
-        .agg(latest.alias("p"))
-        .select("name", *[F.col(f"p.{c}").alias(c) for c in probes.columns if c != "name"])
-    )
+    others = [c for c in probes.columns if c not in ("name", "checked_at_epoch")]
+    latest = F.max(F.struct("checked_at_epoch", *others))
+    return probes.groupBy("name").agg(latest.alias("p")).select("name", "p.*")
 
 
 def health_summary(probes: DataFrame) -> DataFrame:
