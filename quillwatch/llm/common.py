@@ -68,9 +68,9 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
 
 
 def text_slices(
-    texts: pa.Array, limit: int = 1 << 21
+    texts: pa.Array, limit: int = 1 << 21, most: int = 4096
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a batch of texts into runs of whole texts of about ``limit`` bytes.
+    """Cut a batch of texts into runs of whole texts of about ``limit`` bytes and at most ``most`` texts.
 
     Yields (first, last + 1, bytes of the run, byte offset of each text and of the end).
     A null text counts as empty.
@@ -87,7 +87,7 @@ def text_slices(
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(n, max(last, first + 1))
+        last = min(n, max(last, first + 1), first + most)
         base = offsets[first]
         yield first, last, data[base : offsets[last]], offsets[first : last + 1] - base
         first = last

@@ -31,7 +31,9 @@ def heavy_candidates(
     sketches = keyed.groupBy((F.spark_partition_id() % 64).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate({key}, {counters})").alias("sketch")
     )
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
+    merged = sketches.groupBy(F.lit(0).alias("all")).agg(  # grouped: empty tasks send nothing
+        F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch")
+    )
     return merged.select(
         F.explode(F.expr(f"approx_top_k_estimate(sketch, {winners})")).alias("entry")
     ).select(F.col("entry.item").alias(key))

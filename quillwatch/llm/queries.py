@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwatch.llm import exact_dedup, perspectives, url_filter
+from quillwatch.llm import exact_dedup, language_id, perspectives, toxicity, url_filter
 from quillwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,13 +24,26 @@ def op6_perspective_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.perspective_digests(table(spark, sf_dir, "conversations"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op5_exact_dedup, op6_perspective_chats, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op5_exact_dedup,
+        op6_perspective_chats,
+        op7_toxicity,
+        op10_url_filter,
+    )
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
