@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwatch.llm import exact_dedup, language_id, perspectives, toxicity, url_filter
+from quillwatch.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    packing,
+    perspectives,
+    toxicity,
+    url_filter,
+)
 from quillwatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +24,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("spans")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,6 +57,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_packing,
+        op4_decontamination,
         op5_exact_dedup,
         op6_perspective_chats,
         op7_toxicity,
@@ -46,6 +66,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_perspective_chats": perspectives.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
