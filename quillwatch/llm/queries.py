@@ -10,6 +10,7 @@ from quillwatch.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    ngram_join,
     packing,
     perspectives,
     toxicity,
@@ -48,6 +49,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op5_exact_dedup,
         op6_perspective_chats,
         op7_toxicity,
+        op8_ngram_join,
         op10_url_filter,
     )
 }
@@ -69,5 +75,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_perspective_chats": perspectives.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
