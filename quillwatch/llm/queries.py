@@ -13,6 +13,7 @@ from quillwatch.llm import (
     ngram_join,
     packing,
     perspectives,
+    suffix_dedup,
     toxicity,
     url_filter,
 )
@@ -53,6 +54,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
         op6_perspective_chats,
         op7_toxicity,
         op8_ngram_join,
+        op9_suffix_dedup,
         op10_url_filter,
     )
 }
