@@ -10,7 +10,7 @@ joined first, and tokens seen in one component only are dropped, so the trees st
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,8 +157,12 @@ def similar(shared: int, a: int, b: int) -> bool:
     return 100 * shared >= PERCENT * (a + b - shared)
 
 
-def set_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, n, bitmap, tokens) of the documents whose id is in ``ids`` (a materialized column id)."""
+def set_rows(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """(node, n, data) of the documents whose id is in ``ids`` (a materialized column id).
+
+    data is the sorted tokens, a token bitmap as wide as the set is large, or one of fixed width.
+    """
+    shape = {"tokens": lambda x: x, "wide": wide_bitmap, "fixed": bitmap}[kind]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,38 +171,59 @@ def set_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([shape(s).tobytes() for s in sets], pa.binary()),
                 ],
-                ["node", "n", "bitmap", "tokens"],
+                ["node", "n", "data"],
             )
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
         small_side(ids).withColumnRenamed("id", "node"), "node", "left_semi"
     )
-    return wanted.mapInArrow(read, "node long, n long, bitmap binary, tokens binary")
+    return wanted.mapInArrow(read, "node long, n long, data binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def tested(pairs: DataFrame, rows: DataFrame, test: Callable) -> DataFrame:
+    """The pairs (a, b) of sizes near enough whose data pass the test."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (
-                [np.frombuffer(x, dtype=np.uint64) for x in batch.column(i).to_pylist()]
-                for i in (2, 3)
+            sizes = zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)
+            data = zip(
+                *(
+                    [np.frombuffer(x, dtype=np.uint64) for x in batch.column(i).to_pylist()]
+                    for i in (4, 5)
+                ),
+                strict=True,
             )
-            good = [
-                similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
-                for x, y in zip(a, b, strict=True)
-            ]
+            good = [test(x, y, m, n) for (x, y), (m, n) in zip(data, sizes, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"), F.col("n").alias("na"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"), F.col("n").alias("nb"))
+    sides = [
+        rows.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("data").alias(f"d{k}"))
+        for k in ("a", "b")
+    ]
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    both = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "left", "right")
-    return both.mapInArrow(test, "a long, b long")
+    both = pairs.join(sides[0], "a").join(sides[1], "b").where(near)
+    return both.select("a", "b", "na", "nb", "da", "db").mapInArrow(run, "a long, b long")
+
+
+def reach(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
+    """Whether sets of m and n tokens with these bitmaps can be similar."""
+    x, y = fold(x, len(y)), fold(y, len(x))
+    spare = min(m - np.bitwise_count(x).sum(), n - np.bitwise_count(y).sum())
+    return similar(min(m, n, int(np.bitwise_count(x & y).sum() + spare)), m, n)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; bitmaps spare most of the sets a shuffle."""
+    wide = materialize(set_rows(docs, ids_of(pairs), "wide"))
+    left = materialize(tested(pairs, wide, reach))
+    tokens = materialize(set_rows(docs, ids_of(left), "tokens"))
+    return tested(
+        left,
+        tokens,
+        lambda x, y, m, n: similar(len(np.intersect1d(x, y, assume_unique=True)), m, n),
+    )
 
 
 # ---------------------------------------------------------------- signature trees
@@ -211,6 +236,19 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """As many bits as tokens at least, a power of two, chosen by the same low bits."""
+    words = max(BITMAP_WORDS, 1 << max(0, (len(tokens) - 1).bit_length() - 5))
+    bits = np.zeros(64 * words, dtype=np.uint8)
+    bits[(tokens & np.uint64(64 * words - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same tokens with fewer bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words)) if len(bits) > words else bits
+
+
 @dataclass
 class Tree:
     """Levels from the leaves up; ``start`` has the first child of each node and the end."""
@@ -219,11 +257,13 @@ class Tree:
     order: np.ndarray
 
 
-def build_tree(n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> Tree:
+def build_tree(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, rest: np.ndarray) -> Tree:
     order = np.lexsort((bits[:, 0], n))
-    n, bits, comp = n[order], bits[order], comp[order]
+    n, bits, comp, rest = n[order], bits[order], comp[order], rest[order]
     slack = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    level = {"lo": n, "hi": n, "bits": bits, "slack": slack, "c0": comp, "c1": comp}
+    level = {
+        "lo": n, "hi": n, "bits": bits, "slack": slack, "rest": rest, "c0": comp, "c1": comp
+    }
     levels = [level]
     while len(level["lo"]) > FANOUT:
         at = np.arange(0, len(level["lo"]), FANOUT)
@@ -232,6 +272,7 @@ def build_tree(n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> Tree:
             "hi": np.maximum.reduceat(level["hi"], at),
             "bits": np.bitwise_or.reduceat(level["bits"], at, axis=0),
             "slack": np.maximum.reduceat(level["slack"], at),
+            "rest": np.maximum.reduceat(level["rest"], at),
             "c0": np.minimum.reduceat(level["c0"], at),
             "c1": np.maximum.reduceat(level["c1"], at),
         }
@@ -249,6 +290,7 @@ def possible(x: dict, i: np.ndarray, y: dict, j: np.ndarray) -> np.ndarray:
         k = left[at : at + (1 << 14)]
         both = np.bitwise_count(x["bits"][i[k]] & y["bits"][j[k]]).sum(axis=1).astype(np.int64)
         most = np.minimum(hi[k], both + np.minimum(x["slack"][i[k]], y["slack"][j[k]]))
+        most = np.minimum(most, np.minimum(x["rest"][i[k]], y["rest"][j[k]]))
         least = x["lo"][i[k]] + y["lo"][j[k]]
         keep[k] = (100 + PERCENT) * most >= PERCENT * least
     return keep
@@ -277,13 +319,36 @@ def children(i: np.ndarray, size: int, j: np.ndarray) -> tuple[np.ndarray, np.nd
     return below[below < size], np.repeat(j, FANOUT)[below < size]
 
 
+def leaf_rows(rows: DataFrame) -> DataFrame:
+    """(node, n, bits, slack): the bitmap as numbers, and the tokens that add no bit of their own."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int64)
+            set_bits = np.bitwise_count(bits.view(np.uint64)).reshape(-1, BITMAP_WORDS).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(bits.reshape(-1, BITMAP_WORDS).tolist(), pa.list_(pa.int64())),
+                    pa.array(batch.column(1).to_numpy() - set_bits.astype(np.int64)),
+                ],
+                ["node", "n", "bits", "slack"],
+            )
+
+    return rows.mapInArrow(read, "node long, n long, bits array<long>, slack long")
+
+
 def tree_pairs(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of buckets (token, node, comp, n, bitmap).
+    """Candidate pairs (a, b), a < b, of buckets (token, node, comp, rest, n, bits, slack).
 
-    A bucket is cut by set size and, where many share a size, by a hash into pages of about
-    PAGE sets: the upper nodes of its tree. Pages are joined as far as their size ranges
-    allow, and a task follows the trees of two pages.
+    ``rest`` counts the tokens of the set from the bucket's token on: if it is the first one
+    that two sets share, they share no more than that. A bucket is cut by set size and, where
+    many sets share a size, by a hash into pages of about PAGE sets: the upper nodes of its
+    tree. Spark pairs the pages that the bounds of a node allow; where a page holds several
+    sets, a task follows the trees below.
     """
+    words = [f"w{i}" for i in range(BITMAP_WORDS)]
     sized = buckets.withColumn(
         "class", F.floor(F.log(F.col("n").cast("double")) / F.lit(0.06)).cast("int")
     )
@@ -297,25 +362,40 @@ def tree_pairs(buckets: DataFrame) -> DataFrame:
         .agg(
             F.min("n").alias("lo"),
             F.max("n").alias("hi"),
+            F.max("rest").alias("rest"),
+            F.max("slack").alias("slack"),
             F.min("comp").alias("c0"),
             F.max("comp").alias("c1"),
-            F.collect_list(F.struct("node", "comp", "n", "bitmap")).alias("sets"),
+            *(F.bit_or(F.col("bits")[i]).alias(w) for i, w in enumerate(words)),
+            F.collect_list(F.struct("node", "comp", "n", "rest", "bits")).alias("sets"),
         )
     )
     x, y = paged.alias("x"), paged.alias("y")
     first = F.struct("x.class", "x.page") <= F.struct("y.class", "y.page")
     sizes = 100 * F.least("x.hi", "y.hi") >= PERCENT * F.greatest("x.lo", "y.lo")
-    mixed = (F.least("x.c0", "y.c0") != F.greatest("x.c1", "y.c1"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & first & sizes & mixed).select(
-        F.col("x.sets").alias("left"), F.col("y.sets").alias("right")
+    mixed = F.least("x.c0", "y.c0") != F.greatest("x.c1", "y.c1")
+    shared = sum(
+        (F.bit_count(F.col(f"x.{w}").bitwiseAND(F.col(f"y.{w}"))) for w in words), F.lit(0)
+    )
+    most = F.least(
+        "x.hi", "y.hi", "x.rest", "y.rest", shared + F.least("x.slack", "y.slack")
     )
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("x.lo") + F.col("y.lo"))
+    met = x.join(
+        y, (F.col("x.token") == F.col("y.token")) & first & sizes & mixed & enough
+    ).select(F.col("x.sets").alias("left"), F.col("y.sets").alias("right"))
+    single = (F.size("left") == 1) & (F.size("right") == 1)
+    lone = met.where(single).select(
+        F.col("left")[0]["node"].alias("u"), F.col("right")[0]["node"].alias("v")
+    )
+    lone = lone.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
     def arrays(sets: list[dict]) -> tuple[np.ndarray, Tree]:
-        bits = np.frombuffer(b"".join(s["bitmap"] for s in sets), dtype=np.uint64)
         tree = build_tree(
             np.array([s["n"] for s in sets], dtype=np.int64),
-            bits.reshape(-1, BITMAP_WORDS),
+            np.array([s["bits"] for s in sets], dtype=np.int64).view(np.uint64),
             np.array([s["comp"] for s in sets], dtype=np.int64),
+            np.array([s["rest"] for s in sets], dtype=np.int64),
         )
         return np.array([s["node"] for s in sets], dtype=np.int64), tree
 
@@ -330,21 +410,21 @@ def tree_pairs(buckets: DataFrame) -> DataFrame:
                     [pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"]
                 )
 
-    return met.mapInArrow(follow, "a long, b long").distinct()
+    return met.where(~single).mapInArrow(follow, "a long, b long").union(lone).distinct()
 
 
 # ---------------------------------------------------------------- the join
 
 
 def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(token, node, comp) for the tokens of each document's prefix; ``docs`` has doc_id, comp, text."""
+    """(token, node, comp, rest) for the tokens of each document's prefix; ``docs`` has doc_id, comp, text."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             nodes, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            out, of = [], []
+            out, of, rest = [], [], []
             for at, tokens in enumerate(shingle_sets(batch.column(2))):
                 n = len(tokens)
                 if n:
@@ -352,6 +432,7 @@ def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     late = last[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                     out.append(np.concatenate([tokens[~late], tokens[late]])[:size])
                     of.append(np.full(size, at))
+                    rest.append(n - np.arange(size))
             if out:
                 at = np.concatenate(of)
                 yield pa.RecordBatch.from_arrays(
@@ -359,12 +440,13 @@ def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                         pa.array(np.concatenate(out).view(np.int64)),
                         pa.array(nodes[at], pa.int64()),
                         pa.array(comps[at], pa.int64()),
+                        pa.array(np.concatenate(rest), pa.int64()),
                     ],
-                    ["token", "node", "comp"],
+                    ["token", "node", "comp", "rest"],
                 )
 
     return docs.select("doc_id", "comp", "text").mapInArrow(
-        read, "token long, node long, comp long"
+        read, "token long, node long, comp long, rest long"
     )
 
 
@@ -408,7 +490,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
         .select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
         .distinct()
     )
-    links = materialize(verified(pairs, materialize(set_rows(linked, ids_of(pairs)))))
+    links = materialize(verified(pairs, linked))
     start = copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     known = materialize(components(links.unionByName(start)).where("node <> component"))
 
@@ -423,13 +505,12 @@ def ngram_components(documents: DataFrame) -> DataFrame:
         .withColumn("c0", F.min("comp").over(token))
         .withColumn("c1", F.max("comp").over(token))
         .where("c0 <> c1")
-        .select("token", "node", "comp")
-    )
-    sets = materialize(
-        set_rows(linked, materialize(buckets.select(F.col("node").alias("id")).distinct()))
+        .select("token", "node", "comp", "rest")
     )
-    candidates = tree_pairs(buckets.join(sets.select("node", "n", "bitmap"), "node"))
-    more = verified(candidates, sets)
+    inside = materialize(buckets.select(F.col("node").alias("id")).distinct())
+    leaves = materialize(leaf_rows(set_rows(linked, inside, "fixed")))
+    candidates = materialize(tree_pairs(buckets.join(leaves, "node")))
+    more = verified(candidates, linked)
     whole = components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     return rows.join(whole, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
