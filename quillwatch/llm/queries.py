@@ -13,6 +13,7 @@ from quillwatch.llm import (
     ngram_join,
     packing,
     perspectives,
+    pitman_yor,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -30,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_id,
         op2_packing,
+        op3_pitman_yor,
         op4_decontamination,
         op5_exact_dedup,
         op6_perspective_chats,
