@@ -9,7 +9,8 @@ each block sorts its own suffixes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.llm.common import materialize, mix64, powers, prefix_hashes, text_slices
+from quillwatch.llm.common import (
+    materialize,
+    mix64,
+    powers,
+    prefix_hashes,
+    small_side,
+    text_slices,
+)
 
 LENGTH, SEED = 50, 24
 #: Grams of a string, less one: bytes on either side of a gram that its strings reach.
@@ -27,6 +35,10 @@ WIDTH = 2 * SIDE + SEED
 PART_BYTES, BLOCKS = 32 << 20, 8
 #: Occurrences of one gram that a block takes; beyond it its strings are grouped by Spark.
 HOT = 100_000
+#: Bytes of the filter of shared grams that may be broadcast; beyond it they are joined by id.
+FILTER_BYTES, BITS, HASHES = 32 << 20, 16, 3
+#: Documents with removed bytes whose spans may be broadcast; beyond it they are joined by id.
+SMALL_SPANS = 200_000
 
 
 def sliding(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
@@ -59,8 +71,8 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 # ---------------------------------------------------------------- grams of several documents
 
 
-def shared_grams(docs: DataFrame, parts: int, hot: int) -> DataFrame:
-    """(doc_id, grams, hot) per document and part: its grams that other documents have, too."""
+def sampled(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, docs, counts, keys): the sampled grams of runs of documents, dealt by hash."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +82,7 @@ def shared_grams(docs: DataFrame, parts: int, hot: int) -> DataFrame:
                 counts = np.array([len(h) for h in found])
                 keys = np.concatenate([*found, np.zeros(0, np.uint64)])
                 of = np.repeat(np.arange(last - first), counts)
-                part = (keys % np.uint64(parts)).astype(np.int64)
+                part = part_of(keys, parts)
                 order = np.argsort(part, kind="stable")
                 keys, of, part = keys[order], of[order], part[order]
                 names, starts = np.unique(part, return_index=True)
@@ -88,37 +100,109 @@ def shared_grams(docs: DataFrame, parts: int, hot: int) -> DataFrame:
                     ["part", "docs", "counts", "keys"],
                 )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        who = np.frombuffer(b"".join(group["docs"]), dtype=np.int64)
-        who = np.repeat(who, np.frombuffer(b"".join(group["counts"]), dtype="<u4"))
-        keys = widen(b"".join(group["keys"]))
-        order = np.argsort(keys, kind="stable")
+    return docs.mapInArrow(sample, "part long, docs binary, counts binary, keys binary")
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+
+
+def shared_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, document, occurrences) of the grams of a part that stand in several documents."""
+    who = np.frombuffer(b"".join(group["docs"]), dtype=np.int64)
+    who = np.repeat(who, np.frombuffer(b"".join(group["counts"]), dtype="<u4"))
+    keys = widen(b"".join(group["keys"]))
+    order = np.argsort(keys, kind="stable")
+    keys, who = keys[order], who[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+    if not len(starts):
+        return keys, who, starts
+    sizes = np.diff(np.append(starts, len(keys)))
+    several = np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)
+    keep = np.repeat(several, sizes)
+    return keys[keep], who[keep], np.repeat(sizes, sizes)[keep]
+
+
+def gram_filters(grams: DataFrame, hot: int) -> DataFrame:
+    """(part, bits, filter, hot): a Bloom filter of each part's shared grams, and the hot grams."""
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        keys, _, often = shared_of(group)
+        many = np.unique(keys[often > hot])
+        keys = np.unique(keys[often <= hot])
+        bits = max(64, BITS * len(keys))
+        flags = np.zeros((bits + 63) // 64 * 64, dtype=np.uint8)
+        for k in range(HASHES):
+            flags[bit_of(keys, np.uint64(bits), k)] = 1
+        return pd.DataFrame(
+            {
+                "part": [group["part"].iloc[0]],
+                "bits": [bits],
+                "filter": [np.packbits(flags, bitorder="little").tobytes()],
+                "hot": [many.tobytes()],
+            }
+        )
+
+    return grams.groupBy("part").applyInPandas(
+        build, "part long, bits long, filter binary, hot binary"
+    )
+
+
+def bit_of(keys: np.ndarray, bits: np.ndarray | np.uint64, which: int) -> np.ndarray:
+    return (mix64(keys + np.uint64(which)) % bits).astype(np.int64)
+
+
+def gram_lists(grams: DataFrame, hot: int) -> DataFrame:
+    """(doc_id, grams): each document's shared grams, but the hot ones."""
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        keys, who, often = shared_of(group)
+        keys, who = keys[often <= hot], who[often <= hot]
+        order = np.lexsort((keys, who))
         keys, who = keys[order], who[order]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        several = np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)
-        keep = np.repeat(several, sizes)
-        keys, who, often = keys[keep], who[keep], np.repeat(sizes > hot, sizes)[keep]
-        order = np.lexsort((keys, often, who))
-        keys, who, often = keys[order], who[order], often[order]
-        starts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else []
-        out: dict[str, list] = {"doc_id": [], "grams": [], "hot": []}
-        for a, b in zip(starts, [*starts[1:], len(who)], strict=False):
-            some, many = np.unique(keys[a:b][~often[a:b]]), np.unique(keys[a:b][often[a:b]])
-            out["doc_id"].append(who[a])
-            out["grams"].append(some.tobytes())
-            out["hot"].append(many.tobytes())
-        return pd.DataFrame(out)
-
-    sampled = docs.mapInArrow(sample, "part long, docs binary, counts binary, keys binary")
-    return sampled.groupBy("part").applyInPandas(compare, "doc_id long, grams binary, hot binary")
+        starts = np.flatnonzero(np.append(True, who[1:] != who[:-1]))[: len(who)]
+        ends = np.append(starts[1:], len(who))
+        lists = [np.unique(keys[a:b]).tobytes() for a, b in zip(starts, ends, strict=False)]
+        return pd.DataFrame({"doc_id": who[starts], "grams": lists})
+
+    rows = grams.groupBy("part").applyInPandas(split, "doc_id long, grams binary")
+    return rows.groupBy("doc_id").agg(F.collect_list("grams").alias("grams"))
+
+
+@dataclass(frozen=True)
+class GramFilter:
+    """All parts' filters side by side; false positives only cost a look at their bytes."""
+
+    bits: np.ndarray
+    starts: np.ndarray
+    data: np.ndarray
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        part = part_of(keys, len(self.bits))
+        keys = keys >> np.uint64(16) << np.uint64(16)
+        out = self.bits[part] > 0
+        for k in range(HASHES):
+            at = bit_of(keys, np.maximum(self.bits[part], np.uint64(1)), k)
+            byte = self.data[np.minimum(self.starts[part] + (at >> 3), len(self.data) - 1)]
+            out &= (byte >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def join_filters(rows: list, parts: int) -> GramFilter:
+    bits, starts = np.zeros(parts, dtype=np.uint64), np.zeros(parts, dtype=np.int64)
+    blobs, size = [b"\0"], 1
+    for row in rows:
+        bits[row["part"]], starts[row["part"]] = row["bits"], size
+        blobs.append(row["filter"])
+        size += len(row["filter"])
+    return GramFilter(bits, starts, np.frombuffer(b"".join(blobs), dtype=np.uint8))
 
 
 def widen(low: bytes) -> np.ndarray:
-    """The upper 48 bits of gram hashes, as integers."""
+    """Gram hashes of which the upper 48 bits were kept; the others are 0."""
     rows = np.frombuffer(low, dtype=np.uint8).reshape(-1, 6)
     out = np.zeros((len(rows), 8), dtype=np.uint8)
-    out[:, :6] = rows
+    out[:, 2:] = rows
     return out.view(np.uint64).ravel()
 
 
@@ -134,31 +218,38 @@ def cut_outs(
     return bytes_, np.minimum(at, SIDE), np.minimum(len(text) - SEED - at, SIDE)
 
 
-def chosen(blobs: list[bytes] | None, keys: np.ndarray) -> np.ndarray:
-    wanted = np.frombuffer(b"".join(blobs or []), dtype=np.uint64)
-    return np.isin(keys >> np.uint64(16), wanted)
+def listed(keys: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return np.isin(keys >> np.uint64(16) << np.uint64(16), grams)
 
 
 def found_in(
-    batch: pa.RecordBatch,
+    batch: pa.RecordBatch, wanted: Callable[[np.ndarray], np.ndarray] | None
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, bytes, places, hashes) of the listed grams in a batch of (doc_id, text, lists)."""
-    ids, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+    """(doc_id, bytes, places, hashes) of the wanted grams in a batch of (doc_id, text, lists).
+
+    Without ``wanted`` the lists of the documents tell.
+    """
+    ids = batch.column(0).to_pylist()
+    lists = batch.column(2).to_pylist() if wanted is None else None
     for first, _, data, offsets in text_slices(batch.column(1)):
         for i, (at, keys) in enumerate(grams_of(data, offsets)):
-            keep = chosen(lists[first + i], keys)
+            if lists is None:
+                keep = wanted(keys)
+            else:
+                keep = listed(keys, np.frombuffer(b"".join(lists[first + i]), dtype=np.uint64))
             if keep.any():
                 yield ids[first + i], data[offsets[i] : offsets[i + 1]], at[keep], keys[keep]
 
 
-def blocks_of(joined: DataFrame, blocks: int) -> DataFrame:
+def blocks_of(docs: DataFrame, blocks: int, wanted: Callable | None) -> DataFrame:
+    """Byte rows around the wanted grams, dealt to blocks by the gram."""
     schema = "block long, docs binary, places binary, sides binary, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for key, text, at, keys in found_in(batch):
+            for key, text, at, keys in found_in(batch, wanted):
                 pieces, before, behind = cut_outs(text, at)
                 held.append((np.full(len(at), key), at, before, behind, pieces, keys))
                 size += pieces.nbytes
@@ -168,12 +259,12 @@ def blocks_of(joined: DataFrame, blocks: int) -> DataFrame:
         if held:
             yield block_batch(held, blocks)
 
-    return joined.mapInArrow(cut, schema)
+    return docs.mapInArrow(cut, schema)
 
 
 def block_batch(held: list[tuple], blocks: int) -> pa.RecordBatch:
     who, at, before, behind, pieces, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-    block = ((keys >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
+    block = part_of(keys, blocks)
     order = np.argsort(block, kind="stable")
     names, starts = np.unique(block[order], return_index=True)
     rows = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
@@ -317,12 +408,14 @@ def merged(who: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return who[head], start[head], start[tail] + LENGTH
 
 
-def hot_spans(joined: DataFrame) -> DataFrame:
+def hot_spans(docs: DataFrame, grams: np.ndarray) -> DataFrame:
     """The spans around grams of very many documents: each string is a row, grouped by Spark."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, at, _ in found_in(batch):
+            for key, text, at, _ in found_in(batch, lambda k: listed(k, shared.value)):
                 starts = np.unique((at[:, None] - np.arange(SIDE + 1)).ravel())
                 starts = starts[(starts >= 0) & (starts + LENGTH <= len(text))]
                 for a in range(0, len(starts), 1 << 16):
@@ -336,7 +429,7 @@ def hot_spans(joined: DataFrame) -> DataFrame:
                         ["doc_id", "start", "string"],
                     )
 
-    rows = materialize(joined.mapInArrow(strings, "doc_id long, start long, string binary"))
+    rows = materialize(docs.mapInArrow(strings, "doc_id long, start long, string binary"))
     least = rows.groupBy("string").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"))
     return (
         rows.join(least.where("owner < top"), "string")
@@ -348,37 +441,91 @@ def hot_spans(joined: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, n) of documents whose whole text, of LENGTH bytes at least, a smaller id has."""
+    keyed = materialize(
+        docs.where(F.octet_length("text") >= LENGTH).select(
+            "doc_id",
+            F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"),
+            F.octet_length("text").cast("long").alias("n"),
+        )
+    )
+    owners = keyed.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c"))
+    return materialize(
+        keyed.join(owners.where("c > 1"), "digest")
+        .where("doc_id <> owner")
+        .select("doc_id", "n")
+        .distinct()
+    )
+
+
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, spans): the maximal removed runs of each document."""
+    kind = "doc_id long, spans array<struct<start long, end long>>"
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
+        for batch in batches:
+            runs = [
+                [{"start": a, "end": b} for a, b in union(x)] for x in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(runs, shape)], ["doc_id", "spans"]
+            )
+
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return lists.mapInArrow(join, kind)
+
+
 def remove_repeats(
-    documents: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTES
+    documents: DataFrame,
+    hot: int = HOT,
+    part_bytes: int = PART_BYTES,
+    filter_bytes: int = FILTER_BYTES,
 ) -> DataFrame:
     """doc_id, n_bytes, spans and kept (the bytes that stay) of every document.
 
     Removed is each byte covered by a LENGTH-byte string that also starts in a document with a
     smaller doc_id; strings are judged on the input. ``spans`` are the maximal removed runs.
 
-    Null text is empty. A document with null id is left as it is and removes nothing. Rows that
-    share one id are one document: their bytes are judged against smaller ids, not against each
-    other. An empty table gives no rows; further columns are ignored.
+    Of equal texts only the one with the smallest id is searched; the others go as a whole if
+    they have LENGTH bytes. Null text is empty. A document with null id is left as it is and
+    removes nothing. Rows repeated with one id are one document: they are judged against smaller
+    ids, not against each other. An empty table gives no rows; further columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
+    copies = whole_copies(named)
+    texts = named.join(small_side(copies.select("doc_id")), "doc_id", "left_anti")
     size = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = -(-size // part_bytes) or 1
-    shared = materialize(shared_grams(named, parts, hot))
-    lists = shared.where("length(grams) > 0").groupBy("doc_id").agg(
-        F.collect_list("grams").alias("grams")
+    hot = max(hot, size // 10**7)  # so at most some 10**5 grams are hot
+    grams = sampled(texts, parts)
+    filters = materialize(gram_filters(grams, hot))
+    sizes = filters.agg(F.sum(F.length("filter")).alias("n")).first()["n"] or 0
+    often = [np.frombuffer(r["hot"], dtype=np.uint64) for r in filters.where("length(hot) > 0").select("hot").collect()]
+    many = np.concatenate([*often, np.zeros(0, dtype=np.uint64)])
+    if sizes <= filter_bytes:
+        found = filters.select("part", "bits", "filter").collect()  # of checked size
+        shared = docs.sparkSession.sparkContext.broadcast(join_filters(found, parts))
+
+        def wanted(keys: np.ndarray) -> np.ndarray:
+            return shared.value.holds(keys) & ~listed(keys, many)
+
+        blocks = blocks_of(texts, parts * BLOCKS, wanted)
+    else:
+        lists = texts.join(gram_lists(grams, hot), "doc_id").select("doc_id", "text", "grams")
+        blocks = blocks_of(lists, parts * BLOCKS, None)
+    spans = repeated_spans(blocks)
+    if len(many):
+        spans = spans.unionByName(hot_spans(texts, many))
+    spans = spans.unionByName(
+        copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     )
-    joined = named.join(lists, "doc_id").select("doc_id", "text", "grams")
-    spans = repeated_spans(blocks_of(joined, parts * BLOCKS))
-    often = shared.where("length(hot) > 0").groupBy("doc_id").agg(
-        F.collect_list("hot").alias("grams")
+    removed = materialize(joined_spans(spans))
+    whole = named.join(small_side(removed, SMALL_SPANS), "doc_id", "left").select(
+        "doc_id", "text", "spans"
     )
-    if not often.isEmpty():
-        spans = spans.unionByName(
-            hot_spans(named.join(often, "doc_id").select("doc_id", "text", "grams"))
-        )
-    removed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    whole = named.join(removed, "doc_id", "left").select("doc_id", "text", "spans")
     rest = docs.where("doc_id is null").withColumn(
         "spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     )
@@ -388,7 +535,7 @@ def remove_repeats(
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column(1)):
                 lists = batch.column(2)[first:last].to_pylist()
-                runs = [union(x) if x else [] for x in lists]
+                runs = [[(s["start"], s["end"]) for s in x or []] for x in lists]
                 kept = [
                     keep(data[a:b], r)
                     for a, b, r in zip(offsets[:-1], offsets[1:], runs, strict=True)
