@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +68,7 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
 
 
 def text_slices(
-    texts: pa.Array, limit: int = 1 << 21, most: int = 4096
+    texts: pa.Array, limit: int = 1 << 19, most: int = 4096
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch of texts into runs of whole texts of about ``limit`` bytes and at most ``most`` texts.
 
@@ -93,6 +93,19 @@ def text_slices(
         first = last
 
 
+def flushed(rows: Iterator[tuple], make: Callable, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches that ``make`` builds of about ``limit`` bytes of rows (size, row)."""
+    held, size = [], 0
+    for bytes_, row in rows:
+        held.append(row)
+        size += bytes_ + 64
+        if size > limit:
+            yield make(held)
+            held, size = [], 0
+    if held:
+        yield make(held)
+
+
 # ---------------------------------------------------------------- hashes of words
 
 _RANDOM = np.random.default_rng(20240229)

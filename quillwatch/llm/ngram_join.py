@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillwatch.llm.common import (
     SPACED_MAP,
+    flushed,
     fresh,
     materialize,
     mix64,
@@ -164,17 +165,22 @@ def set_rows(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
     """
     shape = {"tokens": lambda x: x, "wide": wide_bitmap, "fixed": bitmap}[kind]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(held: list[tuple]) -> pa.RecordBatch:
+        nodes, sizes, data = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())],
+            ["node", "n", "data"],
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([shape(s).tobytes() for s in sets], pa.binary()),
-                ],
-                ["node", "n", "data"],
-            )
+            nodes = batch.column(0).to_pylist()
+            for node, tokens in zip(nodes, shingle_sets(batch.column(1)), strict=True):
+                data = shape(tokens).tobytes()
+                yield len(data), (node, len(tokens), data)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from flushed(rows(batches), make)
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
         small_side(ids).withColumnRenamed("id", "node"), "node", "left_semi"
@@ -187,15 +193,13 @@ def tested(pairs: DataFrame, rows: DataFrame, test: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)
-            data = zip(
-                *(
-                    [np.frombuffer(x, dtype=np.uint64) for x in batch.column(i).to_pylist()]
-                    for i in (4, 5)
-                ),
-                strict=True,
-            )
-            good = [test(x, y, m, n) for (x, y), (m, n) in zip(data, sizes, strict=True)]
+            good = []
+            for i in range(batch.num_rows):
+                m, n = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                x, y = (
+                    np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (4, 5)
+                )
+                good.append(test(x, y, m, n))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     sides = [
@@ -420,30 +424,29 @@ def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """(token, node, comp, rest) for the tokens of each document's prefix; ``docs`` has doc_id, comp, text."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(held: list[tuple]) -> pa.RecordBatch:
+        tokens, nodes, comps, rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tokens), pa.array(nodes), pa.array(comps), pa.array(rest)],
+            ["token", "node", "comp", "rest"],
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         last = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            nodes, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            out, of, rest = [], [], []
-            for at, tokens in enumerate(shingle_sets(batch.column(2))):
+            nodes, comps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for node, comp, tokens in zip(nodes, comps, shingle_sets(batch.column(2)), strict=True):
                 n = len(tokens)
                 if n:
                     size = n - -(-PERCENT * n // 100) + 1
                     late = last[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                    out.append(np.concatenate([tokens[~late], tokens[late]])[:size])
-                    of.append(np.full(size, at))
-                    rest.append(n - np.arange(size))
-            if out:
-                at = np.concatenate(of)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(out).view(np.int64)),
-                        pa.array(nodes[at], pa.int64()),
-                        pa.array(comps[at], pa.int64()),
-                        pa.array(np.concatenate(rest), pa.int64()),
-                    ],
-                    ["token", "node", "comp", "rest"],
-                )
+                    prefix = np.concatenate([tokens[~late], tokens[late]])[:size].view(np.int64)
+                    yield 32 * size, (
+                        prefix, np.full(size, node), np.full(size, comp), n - np.arange(size)
+                    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from flushed(rows(batches), make)
 
     return docs.select("doc_id", "comp", "text").mapInArrow(
         read, "token long, node long, comp long, rest long"
