@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.llm.common import ALNUM_MAP, fresh, materialize
+from quillwatch.llm.common import ALNUM_MAP, bound_batches, fresh, materialize
 
 WINDOW = 10
 #: Bytes of item text in one automaton. Its patterns take about WINDOW times as much; items
@@ -137,6 +137,7 @@ def scan_items(
     take another scan.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text"
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.llm.common import ALNUM_MAP, hash_bucket, text_slices
+from quillwatch.llm.common import ALNUM_MAP, bound_batches, hash_bucket, text_slices
 
 #: Bytes of an n-gram, rows of the filter (a power of two), and rows set for each n-gram.
 N, ROW_BITS, HASHES = 4, 19, 3
@@ -90,7 +90,7 @@ class LanguageFilters:
             n = last - first
             total = np.bincount(of, minlength=n)[:, None]
             # of `total` n-grams about rate * (total - true) pass by mistake
-            true = np.maximum(self.counts(keys, of, n) - total * rates, 0) / (1 - rates)
+            true = np.maximum(self.counts(keys, of, n) - total * rates, 0) / np.maximum(1 - rates, 1e-9)
             best, everything = true.argmax(axis=1), true.sum(axis=1)
             best[everything == 0] = self.usual
             share = true[np.arange(n), best] / np.maximum(everything, 1e-9)
@@ -226,6 +226,7 @@ def identify_languages(documents: DataFrame, folds: int = 5) -> DataFrame:
     out. Repeated rows are scored row by row; an empty table gives no rows; further columns
     are ignored.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text", "lang").withColumn(
         "held_out", hash_bucket(F.col("doc_id"), folds) == 0
     )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillwatch.llm.common import (
     SPACED_MAP,
+    bound_batches,
     flushed,
     fresh,
     materialize,
@@ -464,6 +465,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     with nothing and has a null component. Ids name documents: rows repeated with one id get
     one component. An empty table gives no rows; further columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     linked = docs.where("doc_id is not null")
     profile = materialize(profiles(docs))

@@ -12,6 +12,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwatch.llm.common import bound_batches
+
 CAPACITY = 2048
 #: Id that ends every document.
 END_ID = 1
@@ -139,6 +141,7 @@ def pack(
     """
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).first()["n"]
     blocks = -(-(size or 1) // block_bytes)

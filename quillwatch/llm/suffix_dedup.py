@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwatch.llm.common import (
+    bound_batches,
     materialize,
     mix64,
     powers,
@@ -493,6 +494,7 @@ def remove_repeats(
     removes nothing. Rows repeated with one id are one document: they are judged against smaller
     ids, not against each other. An empty table gives no rows; further columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     copies = whole_copies(named)

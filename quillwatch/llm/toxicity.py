@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillwatch.llm.common import (
     ALNUM_MAP,
+    bound_batches,
     fresh,
     hash_bucket,
     mix64,
@@ -76,8 +77,8 @@ def text_sets(texts: pa.Array) -> list[np.ndarray]:
         index, of = features(data, offsets)
         keys = np.unique((of << 32) | index)
         cut = np.searchsorted(keys, np.arange(last - first + 1) << 32)
-        keys &= (1 << 32) - 1
-        out += [np.append(keys[a:b], 1 << WEIGHT_BITS) for a, b in zip(cut, cut[1:], strict=False)]
+        keys = (keys & ((1 << 32) - 1)).astype(np.int32)
+        out += [np.append(keys[a:b], np.int32(1 << WEIGHT_BITS)) for a, b in zip(cut, cut[1:], strict=False)]
     return out
 
 
@@ -115,6 +116,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> ToxicMod
     driver gets at most 2**WEIGHT_BITS + 1 weights of each of the few learners. Rows with null label or id
     are left out; an id is toxic if one of its label rows says so.
     """
+    bound_batches(docs.sparkSession)
     usable = (
         labels.select("doc_id", "toxic")
         .where("doc_id is not null and toxic is not null")
