@@ -8,7 +8,11 @@ from checks import views as v
 from quillwatch.operators.detection import ACTIONS, DEFAULT_RULES
 
 TIE = "CAST(x * 1152921504606846976e0 AS HUGEINT) * 20000 + 1152921504606846976"
-ROUND4 = f"CAST(({TIE}) // 2305843009213693952 AS BIGINT) / 10000e0"
+# half-even: an exact tie above an even step was rounded up and goes back
+ROUND4 = (
+    f"CAST(({TIE}) // 2305843009213693952 - CASE WHEN ({TIE}) % 2305843009213693952 = 0 AND "
+    f"(({TIE}) // 2305843009213693952) % 2 = 1 THEN 1 ELSE 0 END AS BIGINT) / 10000e0"
+)
 
 # RE2 has no backreferences; the eighth rule compares two extracted words instead.
 _OR_WORDS = r"""(?i)\bOR\s+[''"]?(\w+)[''"]?\s*=\s*[''"]?(\w+)"""

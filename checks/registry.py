@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.oracles import action_case, iso, rank, sql
+from checks.oracles import ROUND4, action_case, iso, rank, sql
 from quillwatch.functions.text import escape_label
 from quillwatch.operators import (
     alerts,
@@ -117,8 +117,8 @@ register(
 for _position, _rule in enumerate(detection.DEFAULT_RULES, start=1):
     register(
         "rule_" + _rule.name.replace("-", "_"),
-        lambda s, d, bit=_position - 1: detection.match_rules(v.events(s, d))
-        .where(F.col("rule_mask").bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0)
+        lambda s, d, rule=_rule: detection.match_rules(v.events(s, d), [rule])
+        .where("rule_mask = 1")
         .select("event_id", "query"),
         sql(f"SELECT event_id, query FROM hits WHERE r{_position}", "hits"),
     )
@@ -203,6 +203,72 @@ register(
     ),
     sql(r"SELECT event_id FROM ev WHERE regexp_matches(query, '(?i)\bSELECT\s+\*')", "ev"),
 )
+# Many rules, boundaries beside groups, classes and escapes, and weights that give exact ties.
+_SHAPES = (
+    (r"\b(orders_{0}|t_{0})\b", r"\b(orders_{0}|t_{0})\b"),
+    (r"\b\w+\s+from\s+orders_{0}", r"\b\w+\s+from\s+orders_{0}"),
+    (r"from\s+\b[a-z]+_{0}\b", r"from\s+\b[a-z]+_{0}\b"),
+    (r"(table)\b\s+\bt_{0}\b", r"(table)\b\s+\bt_{0}\b"),
+)
+_TIES = (0.03125, 0.09375, 0.00005, 0.25)
+
+
+def _many(count: int) -> list[detection.Rule]:
+    return [
+        detection.Rule(
+            f"many-{i}", _SHAPES[i % 4][0].format(i % 7), _TIES[i % 4], f"Rule {i} fired."
+        )
+        for i in range(count)
+    ]
+
+
+def _many_sql(count: int) -> str:
+    terms = " * ".join(
+        f"CASE WHEN regexp_matches(query, '(?i){_SHAPES[i % 4][1].format(i % 7)}') "
+        f"THEN {1.0 - _TIES[i % 4]!r}e0 ELSE 1e0 END"
+        for i in range(count)
+    )
+    return (
+        f"SELECT event_id, {ROUND4} AS risk_score FROM "
+        f"(SELECT event_id, 1e0 - (1e0 * {terms}) AS x FROM ev)"
+    )
+
+
+def _many_report_sql(count: int) -> str:
+    hits = " UNION ALL ".join(
+        f"SELECT event_id, username, 'many-{i}' AS rule, 'Rule {i} fired.' AS description "
+        f"FROM ev WHERE regexp_matches(query, '(?i){_SHAPES[i % 4][1].format(i % 7)}')"
+        for i in range(count)
+    )
+    return (
+        f"SELECT rule, description, count(*) AS hits, count(DISTINCT username) AS actors, "
+        "CAST(sum(CAST(round(risk_score * 10000) AS BIGINT)) AS BIGINT) / 10000e0 / count(*) "
+        f"AS mean_score FROM ({hits}) JOIN ({_many_sql(count)}) USING (event_id) GROUP BY ALL"
+    )
+
+
+for _count in (20, 70):
+    register(
+        f"rules_{_count}",
+        lambda s, d, n=_count: detection.detect(v.events(s, d), _many(n)).select(
+            "event_id", "risk_score"
+        ),
+        sql(_many_sql(_count), "ev"),
+    )
+    register(
+        f"rule_report_{_count}",
+        lambda s, d, n=_count: detection.rule_report(v.events(s, d), _many(n)),
+        sql(_many_report_sql(_count), "ev"),
+    )
+
+
+def _sql_ties(spark: SparkSession, sf: str) -> DataFrame:
+    detection.sql_functions(spark, _many(4))
+    v.events(spark, sf).createOrReplaceTempView("quillwatch_events")
+    return spark.sql("SELECT event_id, risk_score(query) AS risk_score FROM quillwatch_events")
+
+
+register("sql_risk_score_ties", _sql_ties, sql(_many_sql(4), "ev"))
 
 
 def _sql_functions(spark: SparkSession, sf: str) -> DataFrame:

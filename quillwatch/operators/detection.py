@@ -1,9 +1,8 @@
 """Weighted statement rules, their combined score and the decision texts.
 
-The rules of a statement are one bit mask, and score, severity, indicators and texts are
-functions of the mask alone. They are worked out once per mask in a small table that is
-broadcast to the events, so an event only pays for its regexes and one hash probe: no
-shuffle, no Python.
+The rules of a statement are bit masks of up to 62 rules each, and score, severity,
+indicators and texts are expressions of the masks: no shuffle, no join, no Python, and one
+plan for any number of rules. Columns that a query does not use are pruned.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from quillwatch.operators.once import computed_once
 _WORD = r"[\p{L}\p{N}_]"
 _SPACE = f"[{WHITESPACE_CLASS}]"
 _START = f"(?<!{_WORD})"
-_END = f"(?!{_WORD})"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 DETECTOR_NAME = "rule-detector"
 DETECTOR_VERSION = "0.1.0"
@@ -65,17 +64,28 @@ class Rule:
 def _bounded(pattern: str) -> str:
     r"""Write ``\b`` as lookarounds over the Unicode word class.
 
-    The meaning of ``\b`` depends on the JDK version. Next to a letter it is one-sided,
-    so before a word character it can only be a start and after one only an end.
+    The meaning of ``\b`` depends on the JDK version. Next to a plain word character only one
+    side is open; everywhere else both sides are tested. An escaped backslash before a ``b``
+    and a ``\b`` inside a character class stay as they are.
     """
     out: list[str] = []
-    rest = pattern
-    while r"\b" in rest:
-        head, rest = rest.split(r"\b", 1)
-        out.append(head)
-        opens = rest[:1].isalnum() or rest.startswith(("(?:", "_"))
-        out.append(_START if opens else _END)
-    return "".join(out) + rest
+    in_class, at = False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\b" and not in_class:
+            rest = pattern[at + 2 :]
+            plain = rest[:1].isalnum() or rest[:1] == "_"
+            optional = rest[1:2] in {"?", "*", "|", "{"}
+            out.append(_START if plain and not optional else _EDGE)
+            at += 2
+        elif two[:1] == "\\" and len(two) == 2:
+            out.append(two)
+            at += 2
+        else:
+            in_class = two[:1] == "[" or (in_class and two[:1] != "]")
+            out.append(two[:1])
+            at += 1
+    return "".join(out)
 
 
 # Rule names, patterns, weights and descriptions, in scoring order.
@@ -237,36 +247,58 @@ def noisy_or(hits: Sequence[Column], weights: Sequence[float]) -> Column:
     return F.lit(1.0) - safety
 
 
+RULES_PER_MASK = 62
+
+
+def mask_names(rules: Sequence[Rule]) -> list[str]:
+    """Names of the mask columns: ``rule_mask`` for the first 62 rules, then ``rule_mask_1`` ..."""
+    words = -(-len(rules) // RULES_PER_MASK)
+    return ["rule_mask", *(f"rule_mask_{i}" for i in range(1, words))]
+
+
 def match_rules(
     events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, statement: str = "query"
 ) -> DataFrame:
-    """Add ``rule_mask``: bit ``i`` is set when rule ``i`` fires.
+    """Add the mask columns: bit ``i % 62`` of mask ``i // 62`` is set when rule ``i`` fires.
 
     The lower-cased text is computed once, in its own projection.
     """
-    if not 0 < len(rules) <= 62:
-        raise ValueError("between 1 and 62 rules are supported")
+    if not rules:
+        raise ValueError("at least one rule is needed")
     prepared = events.withColumns(
         {"_lowered": F.lower(F.col(statement)), "_ascii": is_ascii(F.col(statement))}
     )
-    mask = F.lit(0).cast("bigint")
+    masks = [F.lit(0).cast("bigint") for _ in mask_names(rules)]
     for position, rule in enumerate(rules):
+        word, bit = divmod(position, RULES_PER_MASK)
         hit = rule.hit(F.col(statement), F.col("_lowered"), F.col("_ascii"))
-        mask = mask + F.when(hit, F.lit(1 << position).cast("bigint")).otherwise(
+        masks[word] = masks[word] + F.when(hit, F.lit(1 << bit).cast("bigint")).otherwise(
             F.lit(0).cast("bigint")
         )
-    return prepared.withColumn("rule_mask", mask).drop("_lowered", "_ascii")
+    return prepared.withColumns(dict(zip(mask_names(rules), masks, strict=True))).drop(
+        "_lowered", "_ascii"
+    )
+
+
+def mask_hits(rules: Sequence[Rule]) -> list[Column]:
+    names = mask_names(rules)
+    return [
+        F.col(names[i // RULES_PER_MASK]).bitwiseAND(
+            F.lit(1 << i % RULES_PER_MASK).cast("bigint")
+        )
+        != 0
+        for i in range(len(rules))
+    ]
 
 
 def mask_decisions(
     masks: DataFrame, rules: Sequence[Rule], detector_name: str, detector_version: str
 ) -> DataFrame:
-    """Every decision column as a function of ``rule_mask``."""
-    hits = [
-        F.col("rule_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0 for i in range(len(rules))
-    ]
+    """Every decision column as a function of the masks."""
+    hits = mask_hits(rules)
     raw = computed_once(masks, _raw_score=noisy_or(hits, [rule.weight for rule in rules]))
-    scored = raw.withColumns(
+    rated = computed_once(raw, risk_score=round_unit(F.col("_raw_score"), 4))
+    scored = rated.withColumns(
         {
             "indicators": F.array_compact(
                 F.array(
@@ -275,16 +307,14 @@ def mask_decisions(
             ),
             "detector_name": F.lit(detector_name),
             "detector_version": F.lit(detector_version),
-        }
-    )
-    rated = computed_once(scored, risk_score=round_unit(F.col("_raw_score"), 4))
-    classed = rated.withColumns(
-        {
             "severity": severity_of(F.col("risk_score")),
-            "classification": F.when(
-                F.size("indicators") > 0, "suspicious_sql_activity"
-            ).otherwise("normal_sql_activity"),
         }
+    )
+    classed = scored.withColumn(
+        "classification",
+        F.when(F.size("indicators") > 0, "suspicious_sql_activity").otherwise(
+            "normal_sql_activity"
+        ),
     ).drop("_raw_score")
     return _with_advice(classed)
 
@@ -304,10 +334,6 @@ def _with_advice(detected: DataFrame) -> DataFrame:
     )
 
 
-# 2**14 table rows at most; with more rules the columns are computed per event instead.
-MAX_TABLE_RULES = 14
-
-
 def detect(
     events: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
@@ -327,15 +353,17 @@ def _decide(
     detector_version: str,
     statement: str,
 ) -> DataFrame:
-    """Events joined with every column of the mask table; unused ones are pruned."""
-    matched = match_rules(events, rules, statement)
-    if len(rules) > MAX_TABLE_RULES:
-        once = computed_once(matched, _mask=F.col("rule_mask"))
-        once = once.withColumn("rule_mask", F.col("_mask")).drop("_mask")
-        return mask_decisions(once, rules, detector_name, detector_version).drop("rule_mask")
-    masks = events.sparkSession.range(0, 1 << len(rules), 1, 1).withColumnRenamed("id", "rule_mask")
-    table = mask_decisions(masks, rules, detector_name, detector_version)
-    return matched.join(F.broadcast(table), "rule_mask").drop("rule_mask")
+    """Events with every decision column; unused ones are pruned."""
+    fixed = _fixed_masks(match_rules(events, rules, statement), rules)
+    return mask_decisions(fixed, rules, detector_name, detector_version).drop(*mask_names(rules))
+
+
+def _fixed_masks(matched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Keep later filters on the masks from running the regexes again below."""
+    names = mask_names(rules)
+    once = computed_once(matched, **{f"_{name}": F.col(name) for name in names})
+    fixed = once.withColumns({name: F.col(f"_{name}") for name in names})
+    return fixed.drop(*[f"_{name}" for name in names])
 
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -401,20 +429,22 @@ def rule_report(events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> Dat
 
     Events are counted per user and mask first; only those few rows are spread over rules.
     """
-    per_mask = match_rules(events, rules).groupBy("rule_mask", "username").agg(
-        F.count("*").alias("n")
+    per_mask = (
+        match_rules(events, rules)
+        .groupBy(*mask_names(rules), "username")
+        .agg(F.count("*").alias("n"))
     )
-    masks = events.sparkSession.range(0, 1 << len(rules), 1, 1).withColumnRenamed("id", "rule_mask")
-    table = mask_decisions(masks, rules, DETECTOR_NAME, DETECTOR_VERSION).select(
-        "rule_mask",
+    # the scores of the masks that occur, worked out after grouping
+    fixed = _fixed_masks(per_mask, rules)
+    rated = mask_decisions(fixed, rules, DETECTOR_NAME, DETECTOR_VERSION).select(
+        "username",
+        "n",
         F.round(F.col("risk_score") * 10_000).cast("bigint").alias("units"),
         F.explode("indicators").alias("description"),
     )
     names = F.create_map(*[F.lit(x) for r in rules for x in (r.description, r.name)])
-    per_user = (
-        per_mask.join(F.broadcast(table), "rule_mask")
-        .groupBy("description", "username")
-        .agg(F.sum("n").alias("hits"), F.sum(F.col("n") * F.col("units")).alias("units"))
+    per_user = rated.groupBy("description", "username").agg(
+        F.sum("n").alias("hits"), F.sum(F.col("n") * F.col("units")).alias("units")
     )
     return (
         per_user.groupBy("description")
@@ -439,11 +469,17 @@ def sql_functions(spark, rules: Sequence[Rule] = DEFAULT_RULES) -> None:
         keep = 1.0 - min(max(rule.weight, 0.0), 1.0)
         terms.append(f"if(q rlike '{pattern}', {keep!r}D, 1.0D)")
     raw = "1.0D - " + "(1.0D * " + " * ".join(terms) + ")"
+    # doubled units in steps of 2**-60: half-even division by 2**61 of an exact integer
+    spark.sql(
+        "create or replace temporary function unit_half_even(t decimal(38,0)) returns double "
+        "return (t div cast(2305843009213693952 as decimal(20,0)) - if("
+        "t % cast(2305843009213693952 as decimal(20,0)) = 0 and "
+        "t div cast(2305843009213693952 as decimal(20,0)) % 2 = 1, 1, 0)) / 10000.0D"
+    )
     m = "cast(cast(x * 1152921504606846976D as bigint) as decimal(20,0))"
     spark.sql(
         "create or replace temporary function unit_round4(x double) returns double return "
-        f"(({m} * 20000 + cast(1152921504606846976 as decimal(20,0))) "
-        "div cast(2305843009213693952 as decimal(20,0))) / 10000.0D"
+        f"unit_half_even({m} * 20000 + cast(1152921504606846976 as decimal(20,0)))"
     )
     spark.sql(
         "create or replace temporary function risk_score(q string) returns double "
