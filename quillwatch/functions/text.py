@@ -151,8 +151,9 @@ def sha256_prefixed(prefix: str, canonical: Column, length: int = 24) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """First letter of every word in upper case."""
-    return F.initcap(c)
+    """First letter of every run of letters in upper case, the others in lower case."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def escape_label(c: Column) -> Column:

@@ -33,13 +33,21 @@ def _json_or_null(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("null")).otherwise(json_ascii_string(c))
 
 
+def _required(c: Column, what: str) -> Column:
+    """Stripped text; blank or missing text stops the job."""
+    text = strip(F.coalesce(c, F.lit("")))
+    return F.when(text != "", text).otherwise(
+        F.raise_error(F.lit(f"{what} cannot be empty")).cast("string")
+    )
+
+
 def recommend(
     assessed: DataFrame, *, created_at: str, previous_recommendation_id: Column | None = None
 ) -> DataFrame:
     """One proposed recommendation per assessed incident.
 
     The identifier depends on the incident, the proposal, the score and the previous
-    recommendation, not on the time.
+    recommendation, not on the time. An incident without id or action stops the job.
     """
     previous = optional_text(
         F.lit(None).cast("string")
@@ -47,11 +55,12 @@ def recommend(
         else previous_recommendation_id
     )
     named = assessed.select(
-        strip(F.col("incident_id")).alias("incident_id"),
-        strip(
+        _required(F.col("incident_id"), "incident_id").alias("incident_id"),
+        _required(
             F.coalesce(
                 "triple_loop.loop3_reflection.governance_action", F.lit("retain_current_policy")
-            )
+            ),
+            "proposed_action",
         ).alias("proposed_action"),
         round_unit(clamp_unit(F.col("triple_loop.learning_score")), 4).alias("learning_score"),
         F.coalesce(F.nullif(fold_key(F.col("severity")), F.lit("")), F.lit("unknown")).alias(
@@ -59,7 +68,7 @@ def recommend(
         ),
         positive_long(F.col("occurrence_count")).alias("occurrences"),
         previous.alias("previous_recommendation_id"),
-    ).where((F.col("incident_id") != "") & (F.col("proposed_action") != ""))
+    )
     canonical = json_object(
         {
             "incident_id": json_ascii_string(F.col("incident_id")),
@@ -144,11 +153,12 @@ def build_feedback(entries: DataFrame) -> DataFrame:
 
 def conflicting_ids(frame: DataFrame, key: str) -> DataFrame:
     """Identifiers that occur with more than one content."""
-    content = F.xxhash64(*[c for c in frame.columns if c != key])
+    # a struct compares nulls by their place, which a hash of the values does not
+    content = F.struct(*[c for c in frame.columns if c != key])
     return (
         frame.groupBy(key)
         .agg(F.min(content).alias("low"), F.max(content).alias("high"))
-        .where(F.col("low") != F.col("high"))
+        .where(~F.col("low").eqNullSafe(F.col("high")))
         .select(key)
     )
 
@@ -156,15 +166,16 @@ def conflicting_ids(frame: DataFrame, key: str) -> DataFrame:
 def save_recommendations(stored: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Idempotent save: the union without repeats, and the ids that conflict.
 
-    A conflicting id keeps its stored row; rows that conflict only among the added ones
-    are left out.
+    A conflicting id keeps its stored row; of rows that conflict only among the added ones the
+    first by time stays.
     """
     both = stored.select(*RECOMMENDATION_COLUMNS).unionByName(added.select(*RECOMMENDATION_COLUMNS))
     conflicts = conflicting_ids(both, "recommendation_id")
     fresh = (
-        added.select(*RECOMMENDATION_COLUMNS)
-        .dropDuplicates(["recommendation_id"])
-        .join(conflicts, "recommendation_id", "left_anti")
+        added.groupBy("recommendation_id")
+        .agg(F.min(F.struct(F.col("created_at").alias("_at"), *RECOMMENDATION_COLUMNS)).alias("first"))
+        .select("first.*")
+        .select(*RECOMMENDATION_COLUMNS)
         .join(stored.select("recommendation_id"), "recommendation_id", "left_anti")
     )
     return stored.select(*RECOMMENDATION_COLUMNS).unionByName(fresh), conflicts

@@ -299,62 +299,59 @@ def replay_log(occurrences: DataFrame, updates: DataFrame) -> DataFrame:
     its last written value whichever kind of record wrote it, and an empty note does not
     overwrite an earlier one.
     """
+    update = F.col("_update")
     line = F.struct("file", "line_no")
 
-    def newest(value: Column) -> Column:
-        return F.max(F.when(value.isNotNull(), F.struct(line.alias("line"), value.alias("v"))))
+    def newest(value: Column, of_update: bool) -> Column:
+        rows = value.isNotNull() & (update == F.lit(of_update))
+        return F.max(F.when(rows, F.struct(line.alias("line"), value.alias("v"))))
 
-    seen = occurrences.groupBy("alert_id").agg(
-        F.min(F.struct(line.alias("line"), F.col("status"))).alias("opening"),
+    def written(key: str, value: Column) -> Column:
+        rows = update & F.array_contains("_fields", key)
+        return F.max(F.when(rows, F.struct(line.alias("line"), value.alias("v"))))
+
+    noted = updates.select(
+        "file",
+        "line_no",
+        "alert_id",
+        F.lit(True).alias("_update"),
+        F.col("fields").alias("_fields"),
+        *[F.col(c).alias(f"_{c}") for c in ("status", "actor", "note", "timestamp", "action")],
+    )
+    rows = occurrences.withColumn("_update", F.lit(False)).unionByName(
+        noted, allowMissingColumns=True
+    )
+    # of every field only the newest update matters; it counts if it stands behind the opening
+    last = rows.groupBy("alert_id").agg(
+        F.min(F.when(~update, F.struct(line.alias("line"), F.col("status")))).alias("opening"),
         F.sum("occurrence_count").alias("occurrence_count"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        *[newest(F.col(name)).alias(name) for name in (*_LOG_PAYLOAD, *_LOG_HISTORY)],
+        *[newest(F.col(name), False).alias(name) for name in (*_LOG_PAYLOAD, *_LOG_HISTORY)],
+        written("status", F.col("_status")).alias("new_status"),
+        written("actor", F.col("_actor")).alias("new_updated_by"),
+        newest(F.col("_note"), True).alias("new_status_note"),
+        written("timestamp", F.col("_timestamp")).alias("new_status_updated_at"),
+        written("action", F.col("_action")).alias("new_last_action"),
     )
-    opened = seen.select("alert_id", F.col("opening.line").alias("opened_at"))
-    applied = updates.join(opened, "alert_id").where(line > F.col("opened_at"))
 
-    def written(key: str, value: Column) -> Column:
-        return F.max(
-            F.when(
-                F.array_contains("fields", key), F.struct(line.alias("line"), value.alias("v"))
-            )
-        )
-
-    changed = applied.groupBy("alert_id").agg(
-        written("status", F.col("status")).alias("new_status"),
-        written("actor", F.col("actor")).alias("new_updated_by"),
-        newest(F.col("note")).alias("new_status_note"),
-        written("timestamp", F.col("timestamp")).alias("new_status_updated_at"),
-        written("action", F.col("action")).alias("new_last_action"),
-    )
+    def counts(new: Column) -> Column:
+        return new.isNotNull() & (new["line"] > F.col("opening.line"))
 
     def later(name: str) -> Column:
         old, new = F.col(name), F.col(f"new_{name}")
-        takes_new = new.isNotNull() & (old.isNull() | (new["line"] > old["line"]))
+        takes_new = counts(new) & (old.isNull() | (new["line"] > old["line"]))
         return F.when(takes_new, new["v"]).otherwise(old["v"]).alias(name)
 
-    return seen.join(changed, "alert_id", "left").select(
+    return last.where(F.col("opening").isNotNull()).select(
         "alert_id",
         F.col("fingerprint.v").alias("fingerprint"),
-        F.coalesce("new_status.v", "opening.status").alias("status"),
+        F.coalesce(
+            F.when(counts(F.col("new_status")), F.col("new_status.v")), "opening.status"
+        ).alias("status"),
         "occurrence_count",
         "first_seen",
         "last_seen",
-        *[
-            F.col(f"{name}.v").alias(name)
-            for name in (
-                "severity",
-                "risk_score",
-                "database",
-                "username",
-                "client_ip",
-                "classification",
-                "source_system",
-                "query",
-                "batch_id",
-                "generated_at",
-            )
-        ],
+        *[F.col(f"{name}.v").alias(name) for name in _LOG_PAYLOAD if name != "fingerprint"],
         *[later(name) for name in _LOG_HISTORY],
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwatch.functions.hashing import canonicalize, hmac_signature
+from quillwatch.functions.text import strip
 from quillwatch.functions.times import iso_text
 from quillwatch.operators.alerts import flat_records
 from quillwatch.operators.metrics import exposition_lines, health_summary
@@ -86,21 +89,40 @@ def write_batches(occurrences: DataFrame, path: str, batch_type: str = "alert_ba
     ).write.mode("overwrite").json(f"{path}/batches")
 
 
+_SEQUENCE = re.compile(r"^seq-(\d{10})$")
+
+
+def _append(records: DataFrame, path: str, **options: object) -> None:
+    """Write one append below the next sequence folder of the log.
+
+    Folder names sort by sequence, so replay applies appends in the order they were made. An
+    append that meets another one under its number fails and may be repeated.
+    """
+    spark = records.sparkSession
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+    taken = [int(m[1]) for m in map(_SEQUENCE.match, names) if m]
+    target = f"{path.rstrip('/')}/seq-{max(taken, default=0) + 1:010d}"
+    records.write.mode("errorifexists").options(**options).json(target)
+
+
 def append_log(occurrences: DataFrame, path: str) -> None:
-    batch_records(occurrences).write.mode("append").json(path)
+    _append(batch_records(occurrences), path)
 
 
 def append_updates(actions: DataFrame, path: str, update_type: str = "alert_update") -> None:
     """Analyst actions as log records; a missing note is written as null."""
-    actions.select(
+    records = actions.select(
         F.lit(update_type).alias("type"),
         "alert_id",
         iso_text(F.col("at")).alias("timestamp"),
         "action",
         F.col("action").alias("status"),
         "actor",
-        F.trim("note").alias("note"),
-    ).write.mode("append").option("ignoreNullFields", False).json(path)
+        strip(F.col("note")).alias("note"),
+    )
+    _append(records, path, ignoreNullFields=False)
 
 
 def write_compacted_log(states: DataFrame, path: str) -> None:

@@ -27,6 +27,7 @@ from quillwatch.operators.alerts import (
 )
 from quillwatch.operators.lifecycle import update_statuses
 from quillwatch.operators.summaries import cascade_events, prune, store_info, verify_alerts
+from quillwatch.functions.text import strip
 from quillwatch.schemas import ALERT, ALERT_COLUMNS, ALERT_EVENT
 
 BACKUP_FORMAT = "alert-store-backup-v1"
@@ -167,8 +168,8 @@ class AlertStore:
                 F.col("action").alias("event_type"),
                 F.col("at").alias("timestamp"),
                 F.lit(None).cast("string").alias("batch_id"),
-                F.trim("actor").alias("actor"),
-                F.trim("note").alias("note"),
+                strip(F.col("actor")).alias("actor"),
+                strip(F.col("note")).alias("note"),
                 F.to_json(F.struct("alert_id", "action", "at", "actor", "note")).alias(
                     "payload_json"
                 ),

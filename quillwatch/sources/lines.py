@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, raw`` for every line of every file under ``path``.
+    """``file, line_no, raw`` for every line of every file under ``path`` and its folders.
 
     Rows of one file split are read in order by one task, so a line number is the number
     of lines in earlier splits plus the position inside the split. Only the per-split
     counts are shuffled; they are as many as the file has splits.
     """
     lines = (
-        spark.read.text(path)
+        spark.read.option("recursiveFileLookup", "true")
+        .text(path)
         .select(
             F.col("value").alias("raw"),
             F.col("_metadata.file_path").alias("file"),

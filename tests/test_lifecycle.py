@@ -215,6 +215,9 @@ def test_log_sinks_replay(spark, tmp_path):
     )
     states = replay(spark, path)
     assert states.first().occurrence_count == 2
+    assert [states.first()[c] for c in ("status", "updated_by")] == ["resolved", "ana"]
+    append_log(occ, path)
+    assert replay(spark, path).first().status == "resolved"
     write_compacted_log(states, str(tmp_path / "compact"))
     again = replay(spark, str(tmp_path / "compact")).first()
     assert again.occurrence_count == 2 and again.alert_id == alert_id
