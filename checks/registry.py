@@ -856,13 +856,32 @@ register(
         {_URGENT} AS human_approval_required FROM o_inc
         WHERE status <> 'resolved' AND sr >= 2""", "o_inc"),
 )
+_SECRET = "check-secret"
+_PADS = [bytes(k ^ p for k in _SECRET.encode().ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+_BODY = " || ',' || ".join(
+    f"""'"{name}":' || coalesce(CAST(to_json({value}) AS VARCHAR), 'null')"""
+    for name, value in (
+        ("alert_count", "alert_count"), ("classifications", "classifications"),
+        ("database", "database"), ("escalation_required", f"{_URGENT} OR occurrence_count >= 3"),
+        ("first_seen", iso("first_seen")), ("human_approval_required", _URGENT),
+        ("incident_id", "incident_id"), ("last_seen", iso("last_seen")),
+        ("occurrence_count", "occurrence_count"), ("risk_score", "risk_score"),
+        ("severity", "severity"), ("source_system", "source_system"), ("status", "status"),
+        ("title", "title"), ("type", "'incident_notification'"),
+    )
+)
 register(
     "notification_outbox",
     lambda s, d: exports.outbox(
         incidents.notification_rows(incidents.notify_selection(v.assessed(s, d))),
-        secret="check-secret",
+        secret=_SECRET,
         sent_at=v.GENERATED,
     ),
+    sql(f"""SELECT sha256(body) AS message_key, body, '1706745600' AS "timestamp",
+        'sha256=' || sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') ||
+          encode('1706745600.' || body)))) AS signature
+        FROM (SELECT '{{' || {_BODY} || '}}' AS body FROM o_inc
+              WHERE status <> 'resolved' AND sr >= 3)""", "o_inc"),
 )
 
 # ---------------------------------------------------------------- recommendations, feedback

@@ -1,9 +1,8 @@
-"""Arrow-batched helpers for what has no built-in form: hashing free-form JSON, HMAC."""
+"""Arrow-batched hashing of free-form JSON, and HMAC from built-in hashes."""
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import json
 
 import pandas as pd
@@ -70,30 +69,17 @@ def inspect_audit_record(text: Column) -> Column:
     return inspect(text)
 
 
-def canonicalize(json_text: Column) -> Column:
-    """Free-form JSON text with sorted keys and no blanks."""
-
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: canonical_json(json.loads(t)), na_action="ignore")
-
-    return rewrite(json_text)
-
-
 def hmac_signature(body: Column, epoch_seconds: Column, secret: str) -> Column:
-    """``sha256=`` + HMAC-SHA256 of ``<epoch seconds>.<body>``."""
+    """``sha256=`` + HMAC-SHA256 of ``<epoch seconds>.<body>``.
+
+    The key is fixed, so the two padded keys are constants and the code is two nested hashes.
+    """
     if not secret:
         raise ValueError("signing secret is missing")
     key = secret.encode("utf-8")
-
-    @F.pandas_udf("string")
-    def sign(bodies: pd.Series, stamps: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                "sha256="
-                + hmac.new(key, f"{int(t)}.{b}".encode("utf-8"), hashlib.sha256).hexdigest()
-                for b, t in zip(bodies, stamps, strict=True)
-            ]
-        )
-
-    return sign(body, epoch_seconds)
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner_pad, outer_pad = (bytes(k ^ pad for k in key).hex() for pad in (0x36, 0x5C))
+    message = F.concat(epoch_seconds.cast("bigint").cast("string"), F.lit("."), body)
+    inner = F.sha2(F.concat(F.unhex(F.lit(inner_pad)), F.encode(message, "UTF-8")), 256)
+    outer = F.sha2(F.concat(F.unhex(F.lit(outer_pad)), F.unhex(inner)), 256)
+    return F.concat(F.lit("sha256="), outer)

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.functions.hashing import canonicalize, hmac_signature
-from quillwatch.functions.text import strip
+from quillwatch.functions.hashing import hmac_signature
+from quillwatch.functions.text import json_number, json_object, json_string, strip
 from quillwatch.functions.times import iso_text
 from quillwatch.operators.alerts import flat_records
 from quillwatch.operators.metrics import exposition_lines, health_summary
@@ -156,15 +156,33 @@ def write_metrics(series: DataFrame, path: str) -> None:
     exposition_lines(series).coalesce(1).write.mode("overwrite").text(path)
 
 
+def _json_value(name: str, kind: str) -> Column:
+    """JSON text of one column of a flat message; scores are in [0, 1] with four decimals."""
+    c = F.col(f"`{name}`")
+    if kind == "double":
+        text = json_number(c)
+    elif kind == "array<string>":
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, json_string), ","), F.lit("]"))
+    elif kind in {"boolean", "tinyint", "smallint", "int", "bigint"}:
+        text = c.cast("string")
+    else:
+        text = json_string(c.cast("string"))
+    return F.when(c.isNull(), F.lit("null")).otherwise(text)
+
+
+def message_body(messages: DataFrame) -> Column:
+    """Canonical JSON of a flat row: sorted keys, no blanks, raw UTF-8."""
+    return json_object({name: _json_value(name, kind) for name, kind in messages.dtypes})
+
+
 def outbox(messages: DataFrame, *, secret: str, sent_at: str | Column) -> DataFrame:
     """Signed notification bodies: ``message_key, body, timestamp, signature``.
 
     ``messages`` rows become canonical JSON; delivery is left to whoever reads the table.
     """
     at = sent_at if isinstance(sent_at, Column) else F.lit(sent_at)
-    body = canonicalize(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
     stamped = messages.select(
-        body.alias("body"), F.unix_seconds(at.cast("timestamp")).alias("timestamp")
+        message_body(messages).alias("body"), F.unix_seconds(at.cast("timestamp")).alias("timestamp")
     )
     return stamped.select(
         F.sha2("body", 256).alias("message_key"),
