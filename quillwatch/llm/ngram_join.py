@@ -159,12 +159,19 @@ def similar(shared: int, a: int, b: int) -> bool:
     return 100 * shared >= PERCENT * (a + b - shared)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the documents whose id is in ``ids`` (a materialized column id)."""
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
+        small_side(ids).withColumnRenamed("id", "node"), "node", "left_semi"
+    )
+
+
 def set_rows(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
-    """(node, n, data) of the documents whose id is in ``ids`` (a materialized column id).
+    """(node, n, data) of the documents whose id is in ``ids``.
 
-    data is the sorted tokens, a token bitmap as wide as the set is large, or one of fixed width.
+    data is the sorted tokens, or a token bitmap as wide as the set is large.
     """
-    shape = {"tokens": lambda x: x, "wide": wide_bitmap, "fixed": bitmap}[kind]
+    shape = {"tokens": lambda x: x, "wide": wide_bitmap}[kind]
 
     def make(held: list[tuple]) -> pa.RecordBatch:
         nodes, sizes, data = zip(*held, strict=True)
@@ -183,10 +190,7 @@ def set_rows(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flushed(rows(batches), make)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
-        small_side(ids).withColumnRenamed("id", "node"), "node", "left_semi"
-    )
-    return wanted.mapInArrow(read, "node long, n long, data binary")
+    return texts_of(docs, ids).mapInArrow(read, "node long, n long, data binary")
 
 
 def tested(pairs: DataFrame, rows: DataFrame, test: Callable) -> DataFrame:
@@ -324,24 +328,36 @@ def children(i: np.ndarray, size: int, j: np.ndarray) -> tuple[np.ndarray, np.nd
     return below[below < size], np.repeat(j, FANOUT)[below < size]
 
 
-def leaf_rows(rows: DataFrame) -> DataFrame:
-    """(node, n, bits, slack): the bitmap as numbers, and the tokens that add no bit of their own."""
+def leaf_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, n, bits, slack) of the documents whose id is in ``ids``.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits are the words of the bitmap of fixed width, slack the tokens that add no bit of their own.
+    """
+
+    def make(held: list[tuple]) -> pa.RecordBatch:
+        nodes, sizes, bits, slack = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(nodes, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.array(bits, pa.list_(pa.int64())),
+                pa.array(slack, pa.int64()),
+            ],
+            ["node", "n", "bits", "slack"],
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int64)
-            set_bits = np.bitwise_count(bits.view(np.uint64)).reshape(-1, BITMAP_WORDS).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(bits.reshape(-1, BITMAP_WORDS).tolist(), pa.list_(pa.int64())),
-                    pa.array(batch.column(1).to_numpy() - set_bits.astype(np.int64)),
-                ],
-                ["node", "n", "bits", "slack"],
-            )
+            nodes = batch.column(0).to_pylist()
+            for node, tokens in zip(nodes, shingle_sets(batch.column(1)), strict=True):
+                bits = bitmap(tokens)
+                slack = len(tokens) - int(np.bitwise_count(bits).sum())
+                yield 8 * BITMAP_WORDS, (node, len(tokens), bits.view(np.int64), slack)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from flushed(rows(batches), make)
 
-    return rows.mapInArrow(read, "node long, n long, bits array<long>, slack long")
+    return texts_of(docs, ids).mapInArrow(read, "node long, n long, bits array<long>, slack long")
 
 
 def tree_pairs(buckets: DataFrame) -> DataFrame:
@@ -513,7 +529,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
         .select("token", "node", "comp", "rest")
     )
     inside = materialize(buckets.select(F.col("node").alias("id")).distinct())
-    leaves = materialize(leaf_rows(set_rows(linked, inside, "fixed")))
+    leaves = materialize(leaf_rows(linked, inside))
     candidates = materialize(tree_pairs(buckets.join(leaves, "node")))
     more = verified(candidates, linked)
     whole = components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
