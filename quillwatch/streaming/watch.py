@@ -1,7 +1,7 @@
 """Continuous detection on a stream of audit rows.
 
-Each micro-batch is analyzed, filtered and handed to one ``foreachBatch`` that merges it
-into the alert store and, where asked, exports it. The batch id is derived from the
+Each micro-batch is handed to one ``foreachBatch`` that sets late and bad rows aside, analyzes
+the rest, merges it into the alert store and, where asked, exports it. The batch id is derived from the
 stream's epoch, and the store ignores an id it has seen, so a replayed epoch changes
 nothing.
 """
@@ -17,12 +17,12 @@ from pyspark.sql.streaming import StreamingQuery
 from quillwatch.functions.times import iso_text
 from quillwatch.operators.alerts import enrich_detections, restrict_to_batch
 from quillwatch.operators.detection import DEFAULT_RULES, Detector, Rule, analyze, threshold
-from quillwatch.operators.incidents import actor_of, notification_rows
+from quillwatch.operators.incidents import actor_of, notification_rows, notify_selection
 from quillwatch.plans.exports import outbox, write_batches
 from quillwatch.plans.reports import incidents_from_alerts
 from quillwatch.plans.store import AlertStore
 from quillwatch.schemas import AUDIT_ROW
-from quillwatch.sources.audit import accepted, normalize_events
+from quillwatch.sources.audit import accepted, normalize_events, quarantined
 
 
 def read_audit_stream(
@@ -58,6 +58,26 @@ def late_counts(rows: DataFrame, mark: str) -> DataFrame:
     return rows.agg(F.count_if(late).alias("late_rows"), F.count_if(~late).alias("fresh_rows"))
 
 
+def split_late(
+    rows: DataFrame, marks: str, epoch: int, late_after: str
+) -> tuple[DataFrame, DataFrame]:
+    """(fresh, late) rows of an epoch, and its newest event time written below ``marks``.
+
+    The mark is the newest event time of all earlier epochs, so a replayed epoch is split alike.
+    """
+    spark = rows.sparkSession
+    kind = "at timestamp, epoch bigint"
+    newest = rows.agg(F.max(F.col("event_time").cast("timestamp")).alias("at"))
+    newest.write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
+    earlier = spark.read.schema(kind).parquet(marks).where(F.col("epoch") < epoch)
+    mark = earlier.agg(F.max("at").alias("mark")).first()["mark"]
+    if mark is None:
+        return rows, rows.where(F.lit(False))
+    limit = F.lit(mark) - F.expr(f"interval {late_after}")
+    late = F.coalesce(F.col("event_time").cast("timestamp") <= limit, F.lit(False))
+    return rows.where(~late), rows.where(late)
+
+
 def watch(
     rows: DataFrame,
     store: AlertStore,
@@ -66,8 +86,11 @@ def watch(
     stream_id: str = "watch",
     min_risk: float = 0.7,
     min_severity: str | None = None,
+    rules: Sequence[Rule] = DEFAULT_RULES,
     detector: Detector | None = None,
     late_after: str | None = None,
+    late_dir: str | None = None,
+    quarantine_dir: str | None = None,
     export_dir: str | None = None,
     outbox_dir: str | None = None,
     outbox_secret: str | None = None,
@@ -76,39 +99,68 @@ def watch(
 ) -> StreamingQuery:
     """Start the watch. ``once`` drains what is there and stops.
 
-    ``late_after`` drops rows that arrive that long behind the newest event time.
+    Bad rows go to ``quarantine_dir``; without one the first bad row stops the watch. With
+    ``late_after`` rows that arrive that long behind the newest event time of earlier batches go
+    to ``late_dir`` and no further. Exports hold the current state of the alerts a batch
+    touched; notices come from every alert of the actors it touched, so incidents are those of
+    the whole store.
     """
     if interval_seconds is not None and not 1.0 <= interval_seconds <= 3_600.0:
         raise ValueError("interval_seconds must be between 1 and 3600")
-    timed = rows.withWatermark("event_time", late_after) if late_after else rows
-    detections = detection_stream(
-        timed, min_risk=min_risk, min_severity=min_severity, detector=detector
-    )
+    if late_after and not late_dir:
+        raise ValueError("late rows need late_dir")
 
     def deliver(batch: DataFrame, epoch: int) -> None:
         batch_id = f"{stream_id}-{epoch:012d}"
-        # one clock value per epoch, taken from the data so that a replay repeats it
-        generated_at = batch.agg(iso_text(F.max("timestamp")).alias("t")).first()["t"]
-        if generated_at is None:
-            return
-        occurrences = enrich_detections(
-            batch, batch_id=batch_id, generated_at=generated_at
-        ).persist()
+        batch = batch.persist()
+        try:
+            fresh = batch
+            if late_after:
+                fresh, late = split_late(batch, f"{checkpoint.rstrip('/')}-marks", epoch, late_after)
+                late.write.mode("overwrite").parquet(f"{late_dir}/{batch_id}")
+            if quarantine_dir:
+                quarantined(normalize_events(fresh)).write.mode("overwrite").parquet(
+                    f"{quarantine_dir}/{batch_id}"
+                )
+                events = accepted(normalize_events(fresh))
+            else:
+                events = accepted(normalize_events(fresh, mode="failfast"))
+            found = threshold(analyze(events, rules, detector=detector), min_risk, min_severity)
+            store_and_send(found.persist(), batch_id)
+        finally:
+            batch.unpersist()
+
+    def store_and_send(found: DataFrame, batch_id: str) -> None:
         try:
+            # one clock value per epoch, taken from the data so that a replay repeats it
+            generated_at = found.agg(iso_text(F.max("timestamp")).alias("t")).first()["t"]
+            if generated_at is None:
+                return
+            occurrences = enrich_detections(found, batch_id=batch_id, generated_at=generated_at)
             store.persist_batch(occurrences, batch_id=batch_id, generated_at=generated_at)
+            state = store.state()
+            touched = restrict_to_batch(state, occurrences)
             if export_dir:
-                write_batches(occurrences, f"{export_dir}/{batch_id}")
+                write_batches(
+                    touched.withColumn("batch_id", F.lit(batch_id)), f"{export_dir}/{batch_id}"
+                )
             if outbox_dir and outbox_secret:
-                current = restrict_to_batch(store.state(), occurrences)
-                notices = notification_rows(incidents_from_alerts(current))
+                key = ["source_system", "database"]
+                actors = touched.select(*key, actor_of().alias("actor")).distinct()
+                current = (
+                    state.withColumn("actor", actor_of())
+                    .join(actors, [*key, "actor"], "left_semi")
+                    .drop("actor")
+                )
+                notices = notification_rows(notify_selection(incidents_from_alerts(current)))
                 outbox(notices, secret=outbox_secret, sent_at=generated_at).write.mode(
                     "overwrite"
                 ).parquet(f"{outbox_dir}/{batch_id}")
         finally:
-            occurrences.unpersist()
+            found.unpersist()
 
     writer = (
-        detections.writeStream.foreachBatch(deliver)
+        rows.writeStream.foreachBatch(deliver)
         .option("checkpointLocation", checkpoint)
         .queryName(stream_id)
     )

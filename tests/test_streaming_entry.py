@@ -38,6 +38,28 @@ def test_watch_restart_matches_batch(spark, tmp_path):
     assert signed.where("signature like 'sha256=%'").count() > 0
 
 
+def test_watch_sets_late_and_bad_rows_aside(spark, tmp_path):
+    source = str(tmp_path / "audit")
+    row = "select '{0}' event_id, timestamp'{1}' event_time, 'DROP TABLE {0}' query_text, {2} " \
+          "username, 'db' database_name, string(null) client_ip, 1.0D duration_ms, 0L rows_affected"
+    store = AlertStore(spark, str(tmp_path / "store"))
+    for rows in (
+        [("a", "2024-02-10", "'u'"), ("b", "2024-02-10 01:00:00", "' '")],
+        [("c", "2024-01-01", "'u'"), ("d", "2024-02-10 00:30:00", "'u'")],
+    ):
+        text = " union all ".join(row.format(*r) for r in rows)
+        spark.sql(text).coalesce(1).write.mode("append").parquet(source)
+        watch(
+            read_audit_stream(spark, source, schema=SCHEMA), store,
+            checkpoint=str(tmp_path / "ckpt"), once=True, late_after="1 day",
+            late_dir=str(tmp_path / "late"), quarantine_dir=str(tmp_path / "bad"),
+        ).awaitTermination()
+    assert {r.query for r in store.state().collect()} == {"DROP TABLE a", "DROP TABLE d"}
+    late = spark.read.parquet(str(tmp_path / "late") + "/*").collect()
+    bad = spark.read.parquet(str(tmp_path / "bad") + "/*").collect()
+    assert [r.event_id for r in late] == ["c"] and [r.event_id for r in bad] == ["b"]
+
+
 def test_incident_sessions_stream(spark, tmp_path):
     alerts = views.alerts(spark, SF).select(
         "alert_id", "source_system", "database", "username", "client_ip", "first_seen",
