@@ -9,18 +9,25 @@ from quillwatch.functions.text import strip
 
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _SECONDS = r"\d{2}:\d{2}:\d{2}(?:\.\d+)?"
-_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
+_ZONE = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::\d{2})?)?)"
 
 
 def parse_iso(c: Column) -> Column:
     """ISO-8601 text to a timestamp; no zone means UTC; unreadable text becomes null.
 
+    Compact dates and times, hours alone and offsets of hours or with seconds are read, too.
     Missing parts are filled in one after the other, so the argument is used only once.
     """
     text = F.translate(strip(c), ",", ".")
-    clocked = F.regexp_replace(text, f"^({_DATE})$", "$1T00:00:00")
-    exact = F.regexp_replace(clocked, rf"([T ]\d{{2}}:\d{{2}})({_ZONE}?)$", "$1:00$2")
-    zoned = F.regexp_replace(exact, f"([T ]{_SECONDS})$", "$1Z")
+    dated = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    for digits, marks in ((3, "$1$2:$3:$4"), (2, "$1$2:$3")):
+        compact = r"^(.{10}[T ])" + r"(\d{2})" * digits + r"(?=$|[.Z+-])"
+        dated = F.regexp_replace(dated, compact, marks)
+    clocked = F.regexp_replace(dated, f"^({_DATE})$", "$1T00:00:00")
+    hours = F.regexp_replace(clocked, rf"^(.{{10}}[T ]\d{{2}})({_ZONE}?)$", "$1:00$2")
+    exact = F.regexp_replace(hours, rf"([T ]\d{{2}}:\d{{2}})({_ZONE}?)$", "$1:00$2")
+    offset = F.regexp_replace(exact, rf"([T ]{_SECONDS}[+-]\d{{2}})$", "$1:00")
+    zoned = F.regexp_replace(offset, f"([T ]{_SECONDS})$", "$1Z")
     readable = F.regexp_extract(zoned, f"^{_DATE}[T ]{_SECONDS}{_ZONE}$", 0)
     return readable.try_cast("timestamp")
 

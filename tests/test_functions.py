@@ -119,3 +119,23 @@ def test_fingerprint_normalizes_and_both_forms_agree(spark):
     }
     canonical = json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert got[0].staged == hashlib.sha256(canonical.encode()).hexdigest()
+
+
+def test_iso_forms_like_python(spark):
+    from datetime import UTC, datetime
+
+    from quillwatch.functions.times import parse_iso
+
+    texts = [
+        "20240101T000000", "20240101", "2024-01-01T10", "20240101T1015", "2024-01-01T10+05",
+        "2024-01-01T10:15:30+05:30:15", "20240229T101530.25Z", "2024-01-01 10:15-0330",
+        "2024-01-01T10:15:30,5", "2024-01-01", "2024-01-01T10:15:30.123456+00:00",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", F.unix_micros(parse_iso(F.col("t"))).alias("u")).collect()
+    for row in got:
+        when = datetime.fromisoformat(row.t.replace(",", "."))
+        when = when if when.tzinfo else when.replace(tzinfo=UTC)
+        assert row.u == round(when.timestamp() * 1_000_000), row.t
+    bad = spark.createDataFrame([("2024-1-1",), ("x",), ("",), ("2024-13-01",)], "t string")
+    assert bad.where(parse_iso(F.col("t")).isNotNull()).count() == 0
