@@ -265,10 +265,11 @@ CTES["entries"] = (
       ['accept', 'reject', 'revision_required'][CAST(c_custkey % 3 AS INT) + 1] AS decision,
       CASE WHEN c_custkey % 7 = 0 THEN 'short' ELSE 'Reviewed for ' || c_mktsegment END AS
       rationale, {GENERATED} + c_custkey * INTERVAL '1' SECOND AS created_at
-    FROM recs JOIN customer ON c_custkey % 4096 =
-      (strpos('0123456789abcdef', substr(incident_id, 5, 1)) - 1) * 256 +
+    FROM (SELECT *, unnest([0, 4096, 8192]) AS turn FROM recs) JOIN customer ON c_custkey =
+      ((strpos('0123456789abcdef', substr(incident_id, 5, 1)) - 1) * 256 +
       (strpos('0123456789abcdef', substr(incident_id, 6, 1)) - 1) * 16 +
-      (strpos('0123456789abcdef', substr(incident_id, 7, 1)) - 1)""",
+      (strpos('0123456789abcdef', substr(incident_id, 7, 1)) - 1) + turn)
+      % (SELECT count(*) FROM customer) + 1""",
 )
 CTES["fb_all"] = (
     ("entries",),

@@ -252,21 +252,23 @@ def recommendations(spark: SparkSession, sf: str) -> DataFrame:
 
 @planned_once
 def feedback_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as analysts; an analyst meets the recommendations of one hash bucket."""
+    """Customers as analysts; every recommendation is seen by three of them, by its id."""
     recs = recommendations(spark, sf).select(
         "recommendation_id",
         "incident_id",
         F.conv(F.substring("incident_id", 5, 3), 16, 10).cast("bigint").alias("bucket"),
     )
-    people = table(spark, sf, "customer").select(
-        (F.col("c_custkey") % 4096).alias("bucket"), "c_custkey", "c_name", "c_mktsegment"
+    people = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    turn = F.explode(F.array(*(F.lit(k * 4096) for k in range(3))))
+    recs = recs.withColumn("turn", turn).withColumn(
+        "c_custkey", (F.col("bucket") + F.col("turn")) % F.lit(max(people.count(), 1)) + 1
     )
     decision = (
         F.when(F.col("c_custkey") % 3 == 0, "accept")
         .when(F.col("c_custkey") % 3 == 1, "reject")
         .otherwise("revision_required")
     )
-    return recs.join(people, "bucket").select(
+    return recs.join(people, "c_custkey").select(
         F.when(F.col("c_custkey") % 13 == 0, F.lit("prec_missing"))
         .otherwise(F.col("recommendation_id"))
         .alias("recommendation_id"),
