@@ -38,8 +38,8 @@ PART_BYTES, BLOCKS = 32 << 20, 8
 HOT = 100_000
 #: Bytes of the filter of shared grams that may be broadcast; beyond it they are joined by id.
 FILTER_BYTES, BITS, HASHES = 32 << 20, 16, 3
-#: Documents with removed bytes whose spans may be broadcast; beyond it they are joined by id.
-SMALL_SPANS = 200_000
+#: Removed runs that may be broadcast, some 40 bytes each; beyond it they are joined by id.
+SMALL_SPANS = 1_000_000
 
 
 def sliding(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
@@ -525,9 +525,9 @@ def remove_repeats(
         copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     )
     removed = materialize(joined_spans(spans))
-    whole = named.join(small_side(removed, SMALL_SPANS), "doc_id", "left").select(
-        "doc_id", "text", "spans"
-    )
+    runs = removed.agg(F.sum(F.size("spans") + 1).alias("n")).first()["n"] or 0
+    side = F.broadcast(removed) if runs <= SMALL_SPANS else removed
+    whole = named.join(side, "doc_id", "left").select("doc_id", "text", "spans")
     rest = docs.where("doc_id is null").withColumn(
         "spans", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     )

@@ -202,7 +202,8 @@ def test_repeats_against_python(spark, hot, part, most):
     assert digests(got) == repeats_brute(rows)
 
 
-def test_repeats_of_nulls_and_nothing(spark):
+def test_repeats_of_nulls_and_nothing(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SMALL_SPANS", 0)
     line = "q" * 30 + "r" * 40
     rows = [(None, line), (5, line), (5, line), (6, line)]
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
