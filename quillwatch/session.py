@@ -34,6 +34,10 @@ def build_session(app: str = "quillwatch", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is set."""
+    """The shared folder the cluster names; a fresh one of our own only for a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="quillwatch-ckpt-")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quillwatch-ckpt-")
