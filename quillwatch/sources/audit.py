@@ -23,25 +23,52 @@ AUDIT_COLUMNS = (
 )
 
 
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def audit_page_sql(
+    relation: str,
+    *,
+    schema: str = "public",
+    since: datetime | str | None = None,
+    limit: int | None = None,
+) -> str:
+    """What the database is asked for: the relation, or its oldest rows after a mark."""
+    source = f"{_quoted(schema)}.{_quoted(relation)}"
+    if limit is None:
+        return source
+    if not 1 <= limit <= MAX_SCAN:
+        raise ValueError(f"limit must be between 1 and {MAX_SCAN}")
+    text = since.isoformat(sep=" ") if isinstance(since, datetime) else since
+    mark = "" if text is None else " WHERE event_time > TIMESTAMP '" + text.replace("'", "''") + "'"
+    columns = ", ".join(AUDIT_COLUMNS)
+    return f"(SELECT {columns} FROM {source}{mark} ORDER BY event_time LIMIT {limit}) AS page"
+
+
 def read_audit_jdbc(
     spark: SparkSession,
     url: str,
     relation: str,
     *,
     schema: str = "public",
+    since: datetime | str | None = None,
+    limit: int | None = None,
     partition_bounds: tuple[str, str, int] | None = None,
     **options: str,
 ) -> DataFrame:
-    """The audit relation over JDBC; filters, columns and top-N are pushed to the database.
+    """The audit relation over JDBC; filters and columns are pushed to the database.
 
-    ``partition_bounds`` (lower, upper, partitions) on ``event_time`` makes the read parallel.
+    The source does not push a limit down, so a limited poll hands ``since`` and ``limit`` here
+    and the database itself sorts and cuts. ``partition_bounds`` (lower, upper, partitions) on
+    ``event_time`` makes an unlimited read parallel.
     """
+    if limit is not None and partition_bounds:
+        raise ValueError("a limited poll is one page; leave partition_bounds out")
     reader = spark.read.format("jdbc").options(
         url=url,
-        dbtable=f'"{schema}"."{relation}"',
+        dbtable=audit_page_sql(relation, schema=schema, since=since, limit=limit),
         pushDownPredicate="true",
-        pushDownLimit="true",
-        pushDownOffset="true",
         fetchsize="10000",
         sessionInitStatement="SET default_transaction_read_only = on",
         **options,

@@ -139,3 +139,12 @@ def test_iso_forms_like_python(spark):
         assert row.u == round(when.timestamp() * 1_000_000), row.t
     bad = spark.createDataFrame([("2024-1-1",), ("x",), ("",), ("2024-13-01",)], "t string")
     assert bad.where(parse_iso(F.col("t")).isNotNull()).count() == 0
+
+
+def test_audit_page_sql():
+    from quillwatch.sources.audit import audit_page_sql
+
+    assert audit_page_sql('a"b') == '"public"."a""b"'
+    page = audit_page_sql("audit", since="2024-01-01' OR 1=1", limit=5)
+    assert "event_time > TIMESTAMP '2024-01-01'' OR 1=1'" in page
+    assert page.endswith("ORDER BY event_time LIMIT 5) AS page")
