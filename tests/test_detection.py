@@ -127,3 +127,19 @@ def test_scan_and_quarantine(spark):
     assert scan_audit(rows, limit=1).first().query_text == " SELECT 1 "
     with pytest.raises(ValueError):
         scan_audit(rows, limit=0)
+
+
+def test_word_boundaries_like_python(spark):
+    import re
+
+    patterns = [
+        r"\b(foo|bar)\b", r"\b\w+\s+from\b", r"\b[a-z]+\b", r"x\b\.", r"[\w]\b-\bq", r"\bfoo?\b",
+        r"\\b", r"(ab)\b\s\b(cd)", r"é\b",
+    ]
+    texts = ["select foo from t", "bar", "foobar", "x.", "a-q", "fo", "a\\b", "ab cd", "é", "éa", "-"]
+    rows = spark.createDataFrame([(t,) for t in texts], "query string")
+    rules = [Rule(f"r{i}", p, 0.1, f"d{i}") for i, p in enumerate(patterns)]
+    for row in match_rules(rows, rules).collect():
+        for bit, pattern in enumerate(patterns):
+            expected = re.search(pattern, row.query, re.IGNORECASE) is not None
+            assert bool(row.rule_mask >> bit & 1) == expected, (row.query, pattern)

@@ -148,3 +148,12 @@ def test_audit_page_sql():
     page = audit_page_sql("audit", since="2024-01-01' OR 1=1", limit=5)
     assert "event_time > TIMESTAMP '2024-01-01'' OR 1=1'" in page
     assert page.endswith("ORDER BY event_time LIMIT 5) AS page")
+
+
+def test_title_case_like_python(spark):
+    from quillwatch.functions.text import title_case
+
+    texts = ["very-high", "o'brien x2y", "ÉTÉ d'or", "", "a_b  C"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in rows.select("t", title_case(F.col("t")).alias("u")).collect():
+        assert row.u == row.t.title()
