@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -73,6 +74,14 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Hand a Python worker's free memory to the system; workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 # ---------------------------------------------------------------- bytes of a batch of texts
 
 
@@ -100,6 +109,7 @@ def text_slices(
         base = offsets[first]
         yield first, last, data[base : offsets[last]], offsets[first : last + 1] - base
         first = last
+    give_back()
 
 
 def flushed(rows: Iterator[tuple], make: Callable, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.llm.common import ALNUM_MAP, bound_batches, fresh, materialize
+from quillwatch.llm.common import ALNUM_MAP, bound_batches, fresh, give_back, materialize
 
 WINDOW = 10
 #: Bytes of item text in one automaton. Its patterns take about WINDOW times as much; items
@@ -114,6 +114,7 @@ def scanner(shared: Broadcast) -> Callable[..., Column]:
             dict(zip(_FIELDS, find(machine, a, b), strict=True))
             for a, b in zip(texts.to_pylist(), before.to_pylist(), strict=True)
         ]
+        give_back()
         return pa.array(rows, pa.struct(_FIELDS))
 
     return scan

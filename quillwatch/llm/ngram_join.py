@@ -24,6 +24,7 @@ from quillwatch.llm.common import (
     bound_batches,
     flushed,
     fresh,
+    give_back,
     materialize,
     mix64,
     small_side,
@@ -206,6 +207,7 @@ def tested(pairs: DataFrame, rows: DataFrame, test: Callable) -> DataFrame:
                 )
                 good.append(test(x, y, m, n))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            give_back()
 
     sides = [
         rows.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("data").alias(f"d{k}"))
@@ -430,6 +432,7 @@ def tree_pairs(buckets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"]
                 )
+            give_back()
 
     return met.where(~single).mapInArrow(follow, "a long, b long").union(lone).distinct()
 

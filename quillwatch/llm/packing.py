@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwatch.llm.common import bound_batches
+from quillwatch.llm.common import bound_batches, give_back
 
 CAPACITY = 2048
 #: Id that ends every document.
@@ -72,6 +72,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY)
                     rows, held = [], 0
             if rows:
                 yield piece_batch(rows)
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
@@ -157,6 +158,7 @@ def pack(
         width = np.dtype(kind).itemsize
         placed = assign(block["length"].to_numpy(), capacity)
         which = np.array([p[0] for p in placed], dtype=np.int64)
+        give_back()
         tokens = [
             np.frombuffer(ids[i], dtype=kind, count=n, offset=at * width).astype("<u4").tobytes()
             for i, at, n, _, _ in placed
