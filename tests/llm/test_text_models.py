@@ -203,6 +203,37 @@ def test_model_counts_against_python_and_salts(spark, monkeypatch):
     assert pitman_yor.score_documents(frame(spark, [])).count() == 0
 
 
+def test_distinct_of_nothing():
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in pitman_yor.distinct(none, none, none)] == [0, 0, 0]
+
+
+def test_model_parts_of_a_frequent_context_stay_bounded(spark, monkeypatch):
+    """One context with a third of all tokens, its followers and one bigram of it in every text."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(800):
+        words = [x for _ in range(12) for x in ("the", f"a{rng.randrange(300)}", f"b{rng.randrange(300)}")]
+        rows.append((i, " ".join([*words, "the the the of of"]), None))
+    docs = frame(spark, rows)
+    plain = {r.doc_id: r.score for r in pitman_yor.score_documents(docs, hot_share=1.0).collect()}
+    largest = spark.sparkContext.accumulator(0)
+    score_part = pitman_yor.score_part
+
+    def watched(group, *rest):
+        times = [pitman_yor.unpack(b).sum() for b in group["times"] if b is not None]
+        largest.add(int(sum(times) > 1200))
+        return score_part(group, *rest)
+
+    monkeypatch.setattr(pitman_yor, "score_part", watched)
+    monkeypatch.setattr(pitman_yor, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(pitman_yor, "CONTEXT_BYTES", 1500)
+    monkeypatch.setattr(pitman_yor, "CONTEXT_TOKENS", 100, raising=False)
+    split = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
+    assert split == pytest.approx(plain, rel=1e-5, abs=1e-4)
+    assert largest.value == 0
+
+
 def test_predictive_probabilities_sum_to_one():
     counts = np.array([1, 2, 5, 40, 900])
     root = pitman_yor.seat_root(counts, np.array([50, 20, 6, 3, 1]))
