@@ -29,11 +29,15 @@ from quillwatch.llm.common import (
 )
 
 LENGTH, SEED = 50, 24
+#: The bits of a gram's hash that are kept.
+UPPER = np.uint64(0xFFFFFFFFFFFF0000)
 #: Grams of a string, less one: bytes on either side of a gram that its strings reach.
 SIDE = LENGTH - SEED
 WIDTH = 2 * SIDE + SEED
 #: Bytes of text whose grams are compared in one task, and blocks of suffixes for each of them.
 PART_BYTES, BLOCKS = 32 << 20, 8
+#: Occurrences that a task reduces to one entry a gram before it sends them.
+HELD = 1 << 20
 #: Occurrences of one gram that a block takes; beyond it its strings are grouped by Spark.
 HOT = 100_000
 #: Bytes of the filter of shared grams that may be broadcast; beyond it they are joined by id.
@@ -72,17 +76,87 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 # ---------------------------------------------------------------- grams of several documents
 
 
-def sampled(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, docs, counts, keys): the sampled grams of runs of documents, dealt by hash."""
+def counted(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, docs, counts, keys, places, times, tops): sampled grams reduced and dealt by hash.
+
+    An entry is a gram with the least document of those a task held at a time. Entries of several
+    occurrences are told by place, with the number of them and their greatest document.
+    """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, last, data, offsets in text_slices(batch.column(1)):
                 found = [h for _, h in grams_of(data, offsets)]
+                keys = np.concatenate([*found, np.zeros(0, np.uint64)]) & UPPER
+                held.append((keys, np.repeat(ids[first:last], [len(h) for h in found])))
+                size += len(keys)
+                if size > HELD:
+                    yield send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def send(keys: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys, kind="stable")
+        keys, low, top, times = reduced(keys[order], who[order], who[order], np.ones(len(keys), np.int64))
+        part = part_of(keys, parts)
+        order = np.lexsort((low, part))
+        keys, low, top, times, part = (x[order] for x in (keys, low, top, times, part))
+        columns: list[list] = [[], [], [], [], [], [], []]
+        names, starts = np.unique(part, return_index=True)
+        for name, a, b in zip(names.tolist(), starts, [*starts[1:], len(part)], strict=False):
+            docs, n = np.unique(low[a:b], return_counts=True)
+            more = np.flatnonzero(times[a:b] > 1)
+            columns[0].append(name)
+            columns[1].append(docs.tobytes())
+            columns[2].append(n.astype("<u4").tobytes())
+            columns[3].append(narrow(keys[a:b]))
+            columns[4].append(more.astype("<u4").tobytes())
+            columns[5].append(times[a:b][more].tobytes())
+            columns[6].append(top[a:b][more].tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+            ["part", "docs", "counts", "keys", "places", "times", "tops"],
+        )
+
+    return docs.mapInArrow(
+        sample,
+        "part long, docs binary, counts binary, keys binary, places binary, times binary, tops binary",
+    )
+
+
+def reduced(
+    keys: np.ndarray, low: np.ndarray, top: np.ndarray, times: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each of the sorted keys: least and greatest document, occurrences."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if not len(starts):
+        return keys, low, top, times
+    return (
+        keys[starts],
+        np.minimum.reduceat(low, starts),
+        np.maximum.reduceat(top, starts),
+        np.add.reduceat(times, starts),
+    )
+
+
+def sampled(docs: DataFrame, parts: int, many: np.ndarray) -> DataFrame:
+    """(part, docs, counts, keys): different sampled grams of documents, without the hot ones."""
+    hot = docs.sparkSession.sparkContext.broadcast(many)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, last, data, offsets in text_slices(batch.column(1)):
+                found = [np.unique(h & UPPER) for _, h in grams_of(data, offsets)]
                 counts = np.array([len(h) for h in found])
                 keys = np.concatenate([*found, np.zeros(0, np.uint64)])
                 of = np.repeat(np.arange(last - first), counts)
+                rest = ~listed(keys, hot.value)
+                keys, of = keys[rest], of[rest]
                 part = part_of(keys, parts)
                 order = np.argsort(part, kind="stable")
                 keys, of, part = keys[order], of[order], part[order]
@@ -91,11 +165,10 @@ def sampled(docs: DataFrame, parts: int) -> DataFrame:
                 columns: list[list] = [[], [], [], []]
                 for name, a, b in zip(names.tolist(), starts, ends, strict=False):
                     who, n = np.unique(of[a:b], return_counts=True)
-                    low = np.ascontiguousarray(keys[a:b].view(np.uint8).reshape(-1, 8)[:, 2:])
                     columns[0].append(name)
                     columns[1].append(ids[first:last][who].tobytes())
                     columns[2].append(n.astype("<u4").tobytes())
-                    columns[3].append(low.tobytes())
+                    columns[3].append(narrow(keys[a:b]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
                     ["part", "docs", "counts", "keys"],
@@ -108,29 +181,48 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
 
 
-def shared_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, document, occurrences) of the grams of a part that stand in several documents."""
+def read_grams(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, document) of the rows of a part, in order of entry."""
     who = np.frombuffer(b"".join(group["docs"]), dtype=np.int64)
     who = np.repeat(who, np.frombuffer(b"".join(group["counts"]), dtype="<u4"))
-    keys = widen(b"".join(group["keys"]))
+    return widen(b"".join(group["keys"])), who
+
+
+def often_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, occurrences) of the grams of a part that stand in several documents."""
+    keys, low = read_grams(group)
+    top, times = low.copy(), np.ones(len(keys), dtype=np.int64)
+    sizes = [len(x) // 6 for x in group["keys"]]
+    more = np.frombuffer(b"".join(group["places"]), dtype="<u4").astype(np.int64)
+    more += np.repeat(np.cumsum([0, *sizes[:-1]]), [len(x) // 4 for x in group["places"]])
+    top[more] = np.frombuffer(b"".join(group["tops"]), dtype=np.int64)
+    times[more] = np.frombuffer(b"".join(group["times"]), dtype=np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, low, top, times = reduced(keys[order], low[order], top[order], times[order])
+    return keys[low != top], times[low != top]
+
+
+def shared_of(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, document) of the grams of a part that stand in several documents."""
+    keys, who = read_grams(group)
     order = np.argsort(keys, kind="stable")
     keys, who = keys[order], who[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
     if not len(starts):
-        return keys, who, starts
+        return keys, who
     sizes = np.diff(np.append(starts, len(keys)))
     several = np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts)
     keep = np.repeat(several, sizes)
-    return keys[keep], who[keep], np.repeat(sizes, sizes)[keep]
+    return keys[keep], who[keep]
 
 
 def gram_filters(grams: DataFrame, hot: int) -> DataFrame:
     """(part, bits, filter, hot): a Bloom filter of each part's shared grams, and the hot grams."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        keys, _, often = shared_of(group)
-        many = np.unique(keys[often > hot])
-        keys = np.unique(keys[often <= hot])
+        keys, often = often_of(group)
+        many = keys[often > hot]
+        keys = keys[often <= hot]
         bits = max(64, BITS * len(keys))
         flags = np.zeros((bits + 63) // 64 * 64, dtype=np.uint8)
         for k in range(HASHES):
@@ -153,12 +245,11 @@ def bit_of(keys: np.ndarray, bits: np.ndarray | np.uint64, which: int) -> np.nda
     return (mix64(keys + np.uint64(which)) % bits).astype(np.int64)
 
 
-def gram_lists(grams: DataFrame, hot: int) -> DataFrame:
-    """(doc_id, grams): each document's shared grams, but the hot ones."""
+def gram_lists(grams: DataFrame) -> DataFrame:
+    """(doc_id, grams): each document's shared grams."""
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
-        keys, who, often = shared_of(group)
-        keys, who = keys[often <= hot], who[often <= hot]
+        keys, who = shared_of(group)
         order = np.lexsort((keys, who))
         keys, who = keys[order], who[order]
         starts = np.flatnonzero(np.append(True, who[1:] != who[:-1]))[: len(who)]
@@ -199,6 +290,10 @@ def join_filters(rows: list, parts: int) -> GramFilter:
     return GramFilter(bits, starts, np.frombuffer(b"".join(blobs), dtype=np.uint8))
 
 
+def narrow(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
 def widen(low: bytes) -> np.ndarray:
     """Gram hashes of which the upper 48 bits were kept; the others are 0."""
     rows = np.frombuffer(low, dtype=np.uint8).reshape(-1, 6)
@@ -502,8 +597,7 @@ def remove_repeats(
     size = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = -(-size // part_bytes) or 1
     hot = max(hot, size // 10**7)  # so at most some 10**5 grams are hot
-    grams = sampled(texts, parts)
-    filters = materialize(gram_filters(grams, hot))
+    filters = materialize(gram_filters(counted(texts, parts), hot))
     sizes = filters.agg(F.sum(F.length("filter")).alias("n")).first()["n"] or 0
     often = [np.frombuffer(r["hot"], dtype=np.uint64) for r in filters.where("length(hot) > 0").select("hot").collect()]
     many = np.concatenate([*often, np.zeros(0, dtype=np.uint64)])
@@ -516,7 +610,7 @@ def remove_repeats(
 
         blocks = blocks_of(texts, parts * BLOCKS, wanted)
     else:
-        lists = texts.join(gram_lists(grams, hot), "doc_id").select("doc_id", "text", "grams")
+        lists = texts.join(gram_lists(sampled(texts, parts, many)), "doc_id").select("doc_id", "text", "grams")
         blocks = blocks_of(lists, parts * BLOCKS, None)
     spans = repeated_spans(blocks)
     if len(many):

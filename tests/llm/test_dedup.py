@@ -202,6 +202,27 @@ def test_repeats_against_python(spark, hot, part, most):
     assert digests(got) == repeats_brute(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_a_separator_line_is_reduced_before_it_is_dealt(spark, monkeypatch, most):
+    """One gram 57 times in every third text must not meet in one group occurrence by occurrence."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, 6, 9999)) + ("\n" + "=" * 80 if i % 3 == 0 else "")) for i in range(600)]
+    large = spark.sparkContext.accumulator(0)
+
+    def watched(read):
+        def of(group):
+            large.add(int(sum(len(x) for x in group["keys"]) // 6 > 2000))
+            return read(group)
+
+        return of
+
+    for name in {"shared_of", "often_of"} & set(vars(suffix_dedup)):
+        monkeypatch.setattr(suffix_dedup, name, watched(getattr(suffix_dedup, name)))
+    got = suffix_dedup.remove_repeats(frame(spark, rows), hot=300, part_bytes=2000, filter_bytes=most).collect()
+    assert digests(got) == repeats_brute(rows)
+    assert large.value == 0
+
+
 def test_repeats_of_nulls_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SMALL_SPANS", 0)
     line = "q" * 30 + "r" * 40
