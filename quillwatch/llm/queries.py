@@ -14,9 +14,12 @@ from quillwatch.llm import (
     packing,
     perspectives,
     pitman_yor,
+    residual_packing,
+    source_audit,
     suffix_dedup,
     toxicity,
     url_filter,
+    word_runs,
 )
 from quillwatch.llm.common import table
 
@@ -68,6 +71,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_digests(word_runs.with_repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.packing_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,6 +96,9 @@ QUERIES: dict[str, Query] = {
         op8_ngram_join,
         op9_suffix_dedup,
         op10_url_filter,
+        op11_word_runs,
+        op12_residual_packing,
+        op13_source_audit,
     )
 }
 ORACLES: dict[str, str] = {
@@ -89,4 +107,5 @@ ORACLES: dict[str, str] = {
     "op6_perspective_chats": perspectives.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op13_source_audit": source_audit.ORACLE,
 }
