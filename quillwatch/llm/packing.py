@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwatch.llm.common import bound_batches, give_back
+from quillwatch.llm.token_ids import default_vocabulary, encoder, id_type
 
 CAPACITY = 2048
 #: Id that ends every document.
@@ -23,45 +21,22 @@ BLOCK_BYTES = 8 << 20
 #: token at a time and for attention within the piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
-_encoders: dict[str, tiktoken.Encoding] = {}
 
-
-def default_vocabulary() -> tuple[str, str]:
-    """(file of the ranks, split pattern) of the byte-level BPE with 50,256 ids.
-
-    These are the ranks of ``byte_bpe_50k.json``: both files give the same ids, and this
-    library splits and merges several times as fast.
-    """
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    if path not in _encoders:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
-        _encoders[path] = tiktoken.Encoding(
-            "file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _encoders[path]
-
-
-def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, start, length, ids, doc_tokens.
 
     ``ids`` are 16-bit numbers while the vocabulary allows, else 32-bit, little-endian.
     """
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long"
+    kind = id_type(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
-        kind = id_type(encode.n_vocab)
+        encode = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.array([*encode.encode_ordinary(text or ""), END_ID], dtype=kind)
+                ids = np.array([*encode(text or ""), END_ID], dtype=kind)
                 n = len(ids)
                 for at in range(0, n, capacity):
                     part = ids[at : at + capacity]
@@ -77,10 +52,6 @@ def tokenize(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY)
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def id_type(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-
 def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     key, start, length, ids, total = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
@@ -126,56 +97,55 @@ def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int,
 def pack(
     docs: DataFrame,
     path: str | None = None,
-    pattern: str | None = None,
     capacity: int = CAPACITY,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``ids`` are the token ids as little-endian unsigned 32-bit numbers; a document is its ids
-    and END_ID, special tokens in a text are ordinary text. Pieces are dealt by a hash to
+    and END_ID; the vocabulary's added tokens in a text are their own ids. Pieces are dealt by a hash to
     blocks of about ``block_bytes`` of text, and each block packs its own pieces: all its
     sequences are full but for the last tokens it lacks, less than one sequence.
 
     Null text is an empty document of one token. Rows repeated with one id are packed each,
     and a null id stays null. An empty table gives no rows; further columns are ignored.
     """
-    if path is None or pattern is None:
-        path, pattern = default_vocabulary()
+    path = path or default_vocabulary()
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).first()["n"]
     blocks = -(-(size or 1) // block_bytes)
-    kind = id_type(encoder(path, pattern).n_vocab)
+    kind = id_type(path)
     spread = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(blocks))
-    pieces = tokenize(docs, path, pattern, capacity).withColumn("block", spread)
+    pieces = tokenize(docs, path, capacity).withColumn("block", spread)
 
-    def place(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(
-            ["length", "doc_id", "start"], ascending=[False, True, True], kind="stable"
-        )
-        ids, starts = block["ids"].tolist(), block["start"].to_numpy()
+    def place(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        ids, starts = block["ids"].to_pylist(), block["start"].to_numpy()
         width = np.dtype(kind).itemsize
         placed = assign(block["length"].to_numpy(), capacity)
-        which = np.array([p[0] for p in placed], dtype=np.int64)
+        which, cuts, sizes, sequences, offsets = (
+            np.array(x, dtype=np.int64) for x in zip(*placed, strict=True)
+        )
         give_back()
         tokens = [
             np.frombuffer(ids[i], dtype=kind, count=n, offset=at * width).astype("<u4").tobytes()
             for i, at, n, _, _ in placed
         ]
-        return pd.DataFrame(
+        taken = block.select(["doc_id", "doc_tokens"]).take(pa.array(which))
+        return pa.table(
             {
-                "doc_id": block["doc_id"].astype("Int64").to_numpy()[which],
-                "start": starts[which] + np.array([p[1] for p in placed]),
-                "length": np.array([p[2] for p in placed]),
-                "ids": tokens,
-                "doc_tokens": block["doc_tokens"].to_numpy()[which],
-                "sequence_id": (int(key[0]) << 32) + np.array([p[3] for p in placed]),
-                "offset": np.array([p[4] for p in placed]),
+                "doc_id": taken["doc_id"],
+                "start": pa.array(starts[which] + cuts),
+                "length": pa.array(sizes),
+                "ids": pa.array(tokens, pa.binary()),
+                "doc_tokens": taken["doc_tokens"],
+                "sequence_id": pa.array((key[0].as_py() << 32) + sequences),
+                "offset": pa.array(offsets),
             }
         )
 
-    return pieces.groupBy("block").applyInPandas(
+    return pieces.groupBy("block").applyInArrow(
         place,
         "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
         "offset long",

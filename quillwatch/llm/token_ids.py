@@ -41,6 +41,12 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     return _encoders[path]
 
 
+def id_type(path: str) -> str:
+    """The narrower of 16 and 32 bits that holds all ids of the vocabulary."""
+    size = tokenizers.Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def _load(path: str) -> Callable[[str], list[int]]:
     import public_tokenizers
 
