@@ -29,6 +29,7 @@ from quillwatch.plans.store import AlertStore
 from quillwatch.session import checkpoint_dir
 from quillwatch.sources import alert_log
 from quillwatch.sources import audit as audit_source
+from quillwatch.streaming.incident_table import IncidentTable, watch_incidents
 from quillwatch.streaming.watch import late_counts, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,6 +722,36 @@ register(
     v.interval_incidents,
     sql(f"SELECT {INCIDENT_SQL.format(4320)} FROM o_inc", "o_inc"),
 )
+def _table_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """All alerts in six micro-batches, each with alerts of all times and actors."""
+    root = f"{checkpoint_dir(spark)}/incidents-{uuid.uuid4().hex}"
+    alerts = v.intervals(spark, sf)
+    alerts.repartition(6, F.xxhash64("alert_id")).write.parquet(f"{root}/alerts")
+    stream = (
+        spark.readStream.schema(alerts.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{root}/alerts")
+    )
+    table = IncidentTable(spark, f"{root}/table", window_minutes=4320)
+    watch_incidents(
+        stream, table, checkpoint=f"{root}/checkpoint", once=True, fold_every=4
+    ).awaitTermination()
+    return incidents.with_names(table.incidents(), table.names())
+
+
+register(
+    "incident_table",
+    _table_incidents,
+    sql(f"SELECT {INCIDENT_SQL.format(4320)} FROM o_inc", "o_inc"),
+)
+register(
+    "incident_names",
+    lambda s, d: incidents.incident_names(v.intervals(s, d), window_minutes=4320),
+    sql("""SELECT incident_id, 'username' AS kind, unnest(usernames) AS name FROM o_inc
+        UNION ALL SELECT incident_id, 'client_ip', unnest(client_ips) FROM o_inc
+        UNION ALL SELECT incident_id, 'classification', unnest(classifications) FROM o_inc""",
+        "o_inc"),
+)
 register(
     "incident_members",
     lambda s, d: incidents.incident_members(v.intervals(s, d), window_minutes=4320),

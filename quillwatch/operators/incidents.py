@@ -99,6 +99,7 @@ def _cells(keyed: DataFrame) -> DataFrame:
     """One row per actor, time cell and distinct names, with the partial measures."""
     return keyed.groupBy(*_CELL).agg(
         F.min("start").alias("start"),
+        F.max("start").alias("last_start"),
         F.max("stop").alias("stop"),
         F.max("severity_rank").alias("severity_rank"),
         F.max("risk_score").alias("risk_score"),
@@ -171,52 +172,122 @@ def correlate(
     The alert ids are not an array column here, because an incident can hold any number
     of alerts; :func:`incident_members` gives them as rows.
     """
-    keyed = _keyed(alerts, window_minutes, null_ip_as_text)
-    rolled = _clustered(_cells(keyed), window_minutes).groupBy(*KEY, "cluster").agg(
+    cells = _cells(_keyed(alerts, window_minutes, null_ip_as_text))
+    rows = cells.withColumn("low_severity", F.coalesce("odd_severity", F.lit("info")))
+    rolled = _clustered(rows, window_minutes).groupBy(*KEY, "cluster").agg(
+        *cluster_measures(),
+        F.array_sort(F.collect_set("username")).alias("usernames"),
+        F.array_sort(F.collect_set("client_ip")).alias("client_ips"),
+        F.array_sort(F.collect_set("classification")).alias("classifications"),
+    )
+    return incident_rows(rolled, window_minutes).select(
+        *INCIDENT_FIELDS[:-1], "usernames", "client_ips", "classifications", INCIDENT_FIELDS[-1]
+    )
+
+
+#: Columns of a cluster that parts of it are added up to; see ``cluster_measures``.
+CLUSTER = (
+    "source_system string, database string, actor string, start bigint, last_start bigint, "
+    "stop bigint, severity_rank int, low_severity string, risk_score double, alert_count bigint, "
+    "occurrence_count bigint, any_new int, any_ack int"
+)
+
+
+def cluster_measures() -> list[Column]:
+    """Measures of a cluster from its cells, or from clusters that became one."""
+    return [
         F.min("start").alias("start"),
+        F.max("last_start").alias("last_start"),
         F.max("stop").alias("stop"),
         F.max("severity_rank").alias("severity_rank"),
-        F.min_by(F.coalesce("odd_severity", F.lit("info")), "start").alias("low_severity"),
+        F.min(F.struct("start", "low_severity")).getField("low_severity").alias("low_severity"),
         F.max("risk_score").alias("risk_score"),
         F.sum("alert_count").alias("alert_count"),
         F.sum("occurrence_count").alias("occurrence_count"),
         F.max("any_new").alias("any_new"),
         F.max("any_ack").alias("any_ack"),
-        F.array_sort(F.collect_set("username")).alias("usernames"),
-        F.array_sort(F.collect_set("client_ip")).alias("client_ips"),
-        F.array_sort(F.collect_set("classification")).alias("classifications"),
-    )
-    first, last = F.timestamp_micros("start"), F.timestamp_micros("stop")
+    ]
+
+
+INCIDENT_FIELDS = (
+    "incident_id", "title", "status", "severity", "risk_score", "alert_count", "occurrence_count",
+    "first_seen", "last_seen", "correlation_window_minutes", *KEY, "recommended_action",
+)
+
+
+def incident_rows(clusters: DataFrame, window_minutes: int) -> DataFrame:
+    """The given clusters with the fields of an incident (INCIDENT_FIELDS), others kept."""
     severity = F.when(
         F.col("severity_rank") > 0, severity_name(F.col("severity_rank"))
     ).otherwise(F.col("low_severity"))
-    timed = rolled.withColumns({"first_seen": first, "last_seen": last, "severity": severity})
+    timed = clusters.withColumns(
+        {
+            "first_seen": F.timestamp_micros("start"),
+            "last_seen": F.timestamp_micros("stop"),
+            "severity": severity,
+        }
+    )
+    about = F.concat(
+        title_case(F.col("severity")), F.lit(" database-security activity on "), F.col("database")
+    )
+    return computed_once(timed, incident_id=incident_id_of(F.col("first_seen"))).withColumns(
+        {
+            "title": about,
+            "status": _status(F.col("any_new"), F.col("any_ack")),
+            "risk_score": round_unit(F.col("risk_score"), 4),
+            "correlation_window_minutes": F.lit(window_minutes),
+            "recommended_action": incident_action(F.col("severity"), F.col("occurrence_count")),
+        }
+    )
+
+
+#: Names that an incident has any number of, and the column each kind is taken from.
+NAME_KINDS = ("username", "client_ip", "classification")
+
+
+def cell_names(cells: DataFrame) -> DataFrame:
+    """``cells`` with a row (kind, name) for each name of a cell."""
+    kinds = F.array(
+        *(F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in NAME_KINDS)
+    )
     return (
-        computed_once(timed, incident_id=incident_id_of(F.col("first_seen")))
-        .select(
-            "incident_id",
-            F.concat(
-                title_case(F.col("severity")),
-                F.lit(" database-security activity on "),
-                F.col("database"),
-            ).alias("title"),
-            _status(F.col("any_new"), F.col("any_ack")).alias("status"),
-            "severity",
-            round_unit(F.col("risk_score"), 4).alias("risk_score"),
-            "alert_count",
-            "occurrence_count",
-            "first_seen",
-            "last_seen",
-            F.lit(window_minutes).alias("correlation_window_minutes"),
-            *KEY,
-            "usernames",
-            "client_ips",
-            "classifications",
-            incident_action(F.col("severity"), F.col("occurrence_count")).alias(
-                "recommended_action"
-            ),
+        cells.withColumn("_named", F.explode(kinds))
+        .withColumns({"kind": F.col("_named.kind"), "name": F.col("_named.name")})
+        .where(F.col("name").isNotNull())
+        .drop("_named")
+    )
+
+
+def incident_names(
+    alerts: DataFrame, *, window_minutes: int = 30, null_ip_as_text: bool = False
+) -> DataFrame:
+    """``incident_id, kind, name``: user names, addresses and classes as rows.
+
+    A pooled address may have any number of users; arrays of them belong on a page only
+    (``with_names``).
+    """
+    cells = _clustered(_cells(_keyed(alerts, window_minutes, null_ip_as_text)), window_minutes)
+    start = F.min("start").over(Window.partitionBy(*KEY, "cluster"))
+    opened = cells.withColumn("first_seen", F.timestamp_micros(start))
+    named = cell_names(opened).groupBy(*KEY, "first_seen", "kind", "name").agg(F.lit(1))
+    return named.select(incident_id_of(F.col("first_seen")).alias("incident_id"), "kind", "name")
+
+
+def with_names(incidents: DataFrame, names: DataFrame) -> DataFrame:
+    """Attach sorted arrays of names; meant for one incident or one page of them."""
+    plural = dict(zip(NAME_KINDS, ("usernames", "client_ips", "classifications"), strict=True))
+    arrays = (
+        names.join(incidents.select("incident_id"), "incident_id", "left_semi")
+        .groupBy("incident_id")
+        .agg(
+            *(
+                F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(out)
+                for kind, out in plural.items()
+            )
         )
     )
+    filled = {c: F.coalesce(c, F.array().cast("array<string>")) for c in plural.values()}
+    return incidents.join(arrays, "incident_id", "left").withColumns(filled)
 
 
 def incident_members(
