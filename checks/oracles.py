@@ -171,6 +171,56 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "iv": ((), v.INTERVALS_SQL.format(orders="orders")),
     "access": ((), v.ACCESS_SQL.format(events="events")),
+    "metric": ((), v.METRIC_SQL.format(events="events")),
+    "errors": (
+        ("metric",),
+        """SELECT 'job=quillwatch,status=' || status AS series, epoch_us(ts) AS t, value,
+          CASE WHEN value < before THEN value ELSE coalesce(value - before, 0) END AS step
+        FROM (SELECT *, lag(value) OVER (PARTITION BY status ORDER BY ts) AS before FROM metric
+              WHERE kind = 7 AND status LIKE '5__')""",
+    ),
+    # growth within the last 300 seconds of every time that has a sample, carried to the borders
+    "growth": (
+        ("errors",),
+        """SELECT series, t, CASE WHEN n > 1 THEN grown * ((covered + least(
+            CASE WHEN lead < mean * 1.1e0 THEN lead ELSE mean / 2 END,
+            CASE WHEN grown > 0 THEN covered * first_value / grown ELSE 1e18 END)
+          + CASE WHEN trail < mean * 1.1e0 THEN trail ELSE mean / 2 END) / covered) END AS increase
+        FROM (SELECT *, covered / (n - 1) AS mean FROM (
+          SELECT series, t, count(*) AS n, sum(step) - arg_min(step, s) AS grown,
+            arg_min(value, s) AS first_value, CAST(max(s) - min(s) AS DOUBLE) AS covered,
+            CAST(min(s) - (t - 300000000) AS DOUBLE) AS lead, CAST(t - max(s) AS DOUBLE) AS trail
+          FROM (SELECT DISTINCT t FROM errors) a JOIN (SELECT series, t AS s, value, step
+            FROM errors) b ON s > t - 300000000 AND s <= t GROUP BY series, t))""",
+    ),
+    "rule_values": (
+        ("metric", "growth"),
+        """SELECT 'ServiceDown' AS rule, 120 AS hold, 'instance=' || instance || ',job=quillwatch' AS
+            series, ts, value = 0 AS holds FROM metric WHERE kind = 0
+        UNION ALL SELECT 'AlertStoreUnavailable', 60, 'job=quillwatch', ts, value = 0 FROM metric
+          WHERE kind = 1
+        UNION ALL SELECT 'CriticalAlertsPresent', 60, 'job=quillwatch,severity=critical', ts,
+          value > 0 FROM metric WHERE kind = 2 AND severity = 'critical'
+        UNION ALL SELECT 'CriticalIncidentOpen', 60, '', ts, sum(value) > 0 FROM metric
+          WHERE kind = 3 AND severity = 'critical' AND status <> 'resolved' GROUP BY ts
+        UNION ALL SELECT 'RecurringIncidentActivity', 120, 'job=quillwatch', ts, value >= 3
+          FROM metric WHERE kind = 4
+        UNION ALL SELECT 'RequiredComponentDown', 120, 'component=' || component, ts,
+          max(CASE WHEN kind = 5 THEN value END) = 0 AND max(CASE WHEN kind = 6 THEN value END) = 1
+          FROM metric WHERE kind IN (5, 6) GROUP BY component, ts
+        UNION ALL SELECT 'ServerErrors', 60, '', make_timestamp(t), sum(increase) > 0 FROM growth
+          WHERE increase IS NOT NULL GROUP BY t""",
+    ),
+    "rule_spells": (
+        ("rule_values",),
+        """SELECT rule, series, min(ts) AS started, max(ts) AS ended, count(*) AS samples,
+          bool_or(due) AS fires, min(ts) FILTER (due) AS fires_at
+        FROM (SELECT *, ts >= min(ts) OVER (PARTITION BY rule, series, g) + hold *
+                INTERVAL '1' SECOND AS due
+              FROM (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY rule, series
+                      ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM rule_values) WHERE holds)
+        GROUP BY rule, series, g""",
+    ),
     "probes": ((), v.PROBES_SQL.format(nation="nation")),
 }
 

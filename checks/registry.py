@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from checks import views as v
 from checks.oracles import ROUND4, action_case, iso, rank, sql
 from quillwatch.functions.text import escape_label
 from quillwatch.operators import (
+    alert_rules,
     alerts,
     audit_chain,
     detection,
@@ -1067,6 +1069,45 @@ register(
             THEN 0 ELSE 1 END) OVER (PARTITION BY client ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g
           FROM access) WHERE ok) GROUP BY series, g""", "access"),
 )
+for _alert_rule in alert_rules.RULES:
+    register(
+        "fired_" + re.sub(r"(?<!^)([A-Z])", r"_\1", _alert_rule.name).lower(),
+        lambda s, d, name=_alert_rule.name: alert_rules.fired_rules(v.metric_samples(s, d))
+        .where(F.col("rule") == name)
+        .drop("rule"),
+        sql(f"""SELECT '{_alert_rule.severity}' AS severity, '{_alert_rule.summary}' AS summary,
+            series, started, ended, samples, fires, fires_at FROM rule_spells
+            WHERE rule = '{_alert_rule.name}'""", "rule_spells"),
+    )
+
+
+def _increases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every server-error counter at every time that any of them has a sample."""
+    counters = v.metric_samples(spark, sf).where(
+        (F.col("metric") == "quillwatch_http_requests_total") & F.col("labels.status").like("5__")
+    ).select(alert_rules.series_key(F.col("labels")).alias("series"), "ts", "value")
+    cell = F.floor(F.unix_seconds("ts") / 300)
+    near = counters.select("series", F.explode(F.array(cell, cell + 1)).alias("cell")).distinct()
+    times = counters.select(F.col("ts").alias("at"), cell.alias("cell")).distinct()
+    asked = near.join(times, "cell").drop("cell")
+    grown = metrics.counter_increase(counters, asked, range_seconds=300)
+    return grown.where("increase is not null").withColumnRenamed("at", "moment")
+
+
+register(
+    "counter_increase",
+    _increases,
+    sql("SELECT series, make_timestamp(t) AS moment, increase FROM growth "
+        "WHERE increase IS NOT NULL", "growth"),
+)
+register(
+    "server_error_growth",
+    lambda s, d: alert_rules.server_error_growth(v.metric_samples(s, d)).select(
+        F.col("ts").alias("moment"), F.round("increase", 6).alias("increase")
+    ),
+    sql("SELECT make_timestamp(t) AS moment, round(sum(increase), 6) AS increase FROM growth "
+        "WHERE increase IS NOT NULL GROUP BY t", "growth"),
+)
 _PREFIX = metrics.DEFAULT_PREFIX
 register(
     "exposition_lines",
@@ -1182,6 +1223,51 @@ register(
        AS k FROM events) GROUP BY user_id)""",
 )
 
+
+
+def _mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains that begin with a record of the old kind; some lines are no records at all."""
+    events = v.table(spark, sf, "events").withColumn(
+        "chain", F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    )
+    first = events.groupBy("chain").agg(F.min("event_id").alias("event_id"))
+    old = first.select(
+        "chain", "event_id", F.to_json(F.struct(F.lit("login").alias("action"), "event_id")).alias("raw")
+    )
+    tails = old.select(
+        "chain", F.lit(1).cast("bigint").alias("sequence"), F.sha2("raw", 256).alias("link_hash")
+    )
+    entries = events.join(first, ["chain", "event_id"], "left_anti").select(
+        "chain",
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("order_key"),
+        F.lit(v.GENERATED).alias("at"),
+        F.col("event_type").alias("action"),
+        F.lit("success").alias("status"),
+        F.to_json(F.struct("event_id")).alias("details"),
+    )
+    added = audit_chain.append_audit_events(tails, entries).select(
+        "chain", F.col("sequence").alias("line_no"), "raw"
+    )
+    lines = old.select("chain", F.lit(1).cast("bigint").alias("line_no"), "raw").unionByName(added)
+    number = F.regexp_extract("raw", '"event_id": ?(\\d+)', 1).cast("bigint") % 500
+    return lines.withColumn(
+        "raw", F.when(number == 207, "{").when(number == 308, "[1]").otherwise(F.col("raw"))
+    )
+
+
+register(
+    "audit_chain_mixed",
+    lambda s, d: audit_chain.verify_audit_log(_mixed_lines(s, d), chain="chain", block_lines=16),
+    """SELECT 'user_' || user_id AS chain, bad IS NULL AS valid, coalesce(bad, n) AS records,
+       greatest(coalesce(bad - 2, n - 1), 0) AS chained_records,
+       CAST(CASE WHEN bad = 1 THEN 0 ELSE 1 END AS BIGINT) AS legacy_records, bad AS failure_line,
+       CASE kind WHEN 207 THEN 'invalid_json' WHEN 308 THEN 'record_is_not_an_object' ELSE 'ok' END
+       AS message FROM (SELECT user_id, count(*) AS n, min(k) FILTER (m IN (207, 308)) AS bad,
+       arg_min(m, k) FILTER (m IN (207, 308)) AS kind FROM (SELECT user_id, event_id % 500 AS m,
+       row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+       GROUP BY user_id)""",
+)
+
 # ---------------------------------------------------------------- exports and batches
 
 register(

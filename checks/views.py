@@ -115,6 +115,41 @@ FROM {orders}
 """
 
 
+# One scrape every seven seconds; each reads one kind of metric, chosen by its number. Request
+# counters grow now and then, and start again after five requests.
+METRIC_SQL = """
+SELECT ts, value, 'quillwatch' AS job, kind,
+  CASE kind WHEN 0 THEN 'up' WHEN 1 THEN 'quillwatch_alert_store_up'
+    WHEN 2 THEN 'quillwatch_alerts_by_severity' WHEN 3 THEN 'quillwatch_incidents_total'
+    WHEN 4 THEN 'quillwatch_incident_recurrence_max' WHEN 5 THEN 'quillwatch_component_up'
+    WHEN 6 THEN 'quillwatch_component_required' ELSE 'quillwatch_http_requests_total' END AS metric,
+  CASE WHEN kind = 0 THEN 'node_' || CAST(u % 2 AS STRING) END AS instance,
+  CASE WHEN kind IN (2, 3) AND u % 3 < 2 THEN 'critical' WHEN kind IN (2, 3) THEN 'high' END
+    AS severity,
+  CASE WHEN kind = 3 THEN CASE part WHEN 0 THEN 'open' ELSE 'resolved' END
+       WHEN kind = 7 THEN CASE u % 3 WHEN 0 THEN '500' WHEN 1 THEN '503' ELSE '200' END END AS status,
+  CASE WHEN kind IN (5, 6) THEN 'part_' || CAST(u % 3 AS STRING) END AS component
+FROM (
+  SELECT event_id, ts, u, part,
+    CASE WHEN kind = 5 THEN 5 + part ELSE kind END AS kind,
+    CAST(CASE
+      WHEN kind = 7 THEN floor(CAST(row_number() OVER (
+        PARTITION BY kind, u % 3, part ORDER BY event_id) AS DOUBLE) / 12) % 6
+      WHEN kind = 4 THEN level * 3
+      WHEN kind = 5 AND part = 1 THEN CASE WHEN u % 3 = 0 THEN 0 ELSE 1 END
+      WHEN kind = 3 AND part = 1 THEN 1 - level
+      WHEN kind IN (0, 1, 5) THEN 1 - level ELSE level END AS DOUBLE) AS value
+  FROM (
+    SELECT event_id, user_id AS u, part,
+      CASE CAST(event_id % 8 AS INT) WHEN 6 THEN 5 ELSE CAST(event_id % 8 AS INT) END AS kind,
+      CASE WHEN event_id % 100 < 60 AND event_type <> 'signup' THEN 1 ELSE 0 END AS level,
+      TIMESTAMP '2024-01-01 00:00:00' + event_id * INTERVAL '7' SECOND AS ts
+    FROM {events} CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1) AS parts) AS scraped
+) AS valued
+WHERE NOT (kind NOT IN (3, 5, 6) AND part = 1)
+"""
+
+
 View = Callable[[SparkSession, str], DataFrame]
 
 
@@ -306,6 +341,20 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(PROBES_SQL, nation=table(spark, sf, "nation"))
 
 
+@planned_once
+def metric_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Metric, labels, ts, value."""
+    raw = spark.sql(METRIC_SQL, events=table(spark, sf, "events"))
+    names = ("job", "instance", "severity", "status", "component")
+    pairs = F.array(*(F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names))
+    return raw.select(
+        "metric",
+        F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("labels"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "value",
+    )
+
+
 def plain(frame: DataFrame) -> DataFrame:
     """Comparable columns: times without zone, lists joined by ``|``, no wide integers."""
     out = []

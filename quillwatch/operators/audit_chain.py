@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions.hashing import (
@@ -31,17 +31,7 @@ def audit_records(
 
     ``lines``: the chain column, line_no, raw.
     """
-    text = strip(F.col("raw"))
-    seen = (
-        lines.where(text != "")
-        .select(
-            F.col(chain).alias("chain"),
-            "line_no",
-            F.floor(F.col("line_no") / F.lit(block_lines)).cast("bigint").alias("block"),
-            inspect_audit_record(text).alias("r"),
-        )
-        .select("chain", "line_no", "block", "r.*")
-    )
+    seen = _inspected(lines, chain, block_lines)
     blocks = seen.groupBy("chain", "block").agg(
         F.count("*").alias("size"), F.max_by("link_hash", "line_no").alias("last_link")
     )
@@ -100,48 +90,136 @@ def verify_audit_log(
 
     Counts stop at the first failure. ``records`` is then its line number, otherwise the
     number of records.
+
+    Each line is inspected once. A block of lines is reduced to its size, its last link, and
+    the first failure that it shows whatever stands before it; what depends on earlier blocks
+    stays open: the link of its first line and the number of its first chained record. These
+    are closed where the summaries, one row a block, are put in order.
     """
-    judged = audit_failures(audit_records(lines, chain=chain, block_lines=block_lines))
-    earlier = (
-        Window.partitionBy("chain", "block")
-        .orderBy("line_no")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    good = F.col("failed_so_far") == 0
-    blocks = (
-        judged.withColumn(
-            "failed_so_far", F.count("failure").over(earlier)
+    return _closed_blocks(_block_summaries(_inspected(lines, chain, block_lines)))
+
+
+def _inspected(lines: DataFrame, chain: str, block_lines: int) -> DataFrame:
+    text = strip(F.col("raw"))
+    return (
+        lines.where(text != "")
+        .select(
+            F.col(chain).alias("chain"),
+            "line_no",
+            F.floor(F.col("line_no") / F.lit(block_lines)).cast("bigint").alias("block"),
+            inspect_audit_record(text).alias("r"),
         )
-        .groupBy("chain", "block")
-        .agg(
-            F.min(F.when(F.col("failure").isNotNull(), F.struct("line_no", "failure"))).alias(
-                "first_failure"
-            ),
-            F.count_if(good & (F.col("kind") == "chained")).alias("chained"),
-            F.count_if(good & (F.col("kind") == "legacy")).alias("legacy"),
+        .select("chain", "line_no", "block", "r.*")
+    )
+
+
+def _block_summaries(seen: DataFrame) -> DataFrame:
+    """One row per block; failures are (line_no, rank, failure, chained, legacy before them)."""
+    inside = Window.partitionBy("chain", "block").orderBy("line_no")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    chained, legacy = F.col("kind") == "chained", F.col("kind") == "legacy"
+    local = seen.withColumns(
+        {
+            "place": F.row_number().over(inside),
+            "link_before": F.lag("link_hash").over(inside),
+            "chained_before": F.count_if(chained).over(earlier),
+            "legacy_before": F.count_if(legacy).over(earlier),
+            # the same for all records in order of a block, whatever stands before it
+            "shift": F.when(chained, F.col("sequence") - F.row_number().over(inside)),
+        }
+    )
+    whole = Window.partitionBy("chain", "block")
+    opening = F.min(F.when(chained, F.struct("line_no", "shift")))
+    local = local.withColumn("opening", opening.over(whole))
+
+    def at(rank: int, failure: Column | str) -> Column:
+        text = F.lit(failure) if isinstance(failure, str) else failure
+        return F.struct(
+            "line_no", F.lit(rank).alias("rank"), text.alias("failure"),
+            "chained_before", "legacy_before",
+        )
+
+    first = F.col("place") == 1
+    shown = (
+        F.when(~chained & ~legacy, at(0, F.col("kind")))
+        .when(
+            chained
+            & (F.col("shift").isNull() | ~F.col("shift").eqNullSafe(F.col("opening.shift"))),
+            at(1, "invalid_sequence"),
+        )
+        .when(
+            chained & ~first & ~F.col("previous_hash").eqNullSafe(F.col("link_before")),
+            at(2, "previous_hash_mismatch"),
         )
+        .when(chained & (F.col("record_hash") != F.col("own_hash")), at(3, "record_hash_mismatch"))
     )
-    ordered = (
-        Window.partitionBy("chain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return local.groupBy("chain", "block").agg(
+        F.count("*").alias("size"),
+        F.count_if(chained).alias("chained"),
+        F.count_if(legacy).alias("legacy"),
+        F.max(F.struct("line_no", "link_hash"))["link_hash"].alias("last_link"),
+        F.min(shown).alias("shown"),
+        # open: holds if the records before the block number this much
+        F.min(F.when(chained, F.struct(at(1, "invalid_sequence").alias("f"), "shift"))).alias("number"),
+        # open: holds if this is the link of the record before
+        F.min(
+            F.when(
+                first & chained, F.struct(at(2, "previous_hash_mismatch").alias("f"), "previous_hash")
+            )
+        ).alias("link"),
     )
-    intact = F.count("first_failure").over(ordered) == 0
-    counted = blocks.withColumn("counts", intact).where("counts")
-    summary = counted.groupBy("chain").agg(
-        F.min("first_failure").alias("failure"),
-        F.sum("chained").alias("chained_records"),
-        F.sum("legacy").alias("legacy_records"),
+
+
+def _closed_blocks(blocks: DataFrame) -> DataFrame:
+    ordered = Window.partitionBy("chain").orderBy("block")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+
+    def sum_before(name: str) -> Column:
+        return F.coalesce(F.sum(name).over(before), F.lit(0))
+
+    link_in = F.when(F.row_number().over(ordered) == 1, F.lit(GENESIS_HASH)).otherwise(
+        F.lag("last_link").over(ordered)
+    )
+    placed = blocks.withColumns(
+        {
+            "records_before": sum_before("size"),
+            "link_in": link_in,
+            "all_chained": sum_before("chained"),
+            "all_legacy": sum_before("legacy"),
+        }
     )
-    broken = F.col("failure").isNotNull()
-    return summary.select(
+    failure = F.least(
+        "shown",
+        F.when(~F.col("number.shift").eqNullSafe(F.col("records_before")), F.col("number.f")),
+        F.when(~F.col("link.previous_hash").eqNullSafe(F.col("link_in")), F.col("link.f")),
+    )
+    first = F.struct(
+        "block", failure.alias("f"), F.col("all_chained").alias("c"), F.col("all_legacy").alias("l")
+    )
+    summary = placed.groupBy("chain").agg(
+        F.min(F.when(failure.isNotNull(), first)).alias("first"),
+        F.sum("chained").alias("chained"),
+        F.sum("legacy").alias("legacy"),
+    )
+    broken = F.col("first").isNotNull()
+    line = F.col("first.f.line_no")
+    return summary.withColumns(
+        {
+            "chained": F.when(broken, F.col("first.c") + F.col("first.f.chained_before")).otherwise(
+                F.col("chained")
+            ),
+            "legacy": F.when(broken, F.col("first.l") + F.col("first.f.legacy_before")).otherwise(
+                F.col("legacy")
+            ),
+        }
+    ).select(
         "chain",
         (~broken).alias("valid"),
-        F.when(broken, F.col("failure.line_no"))
-        .otherwise(F.col("chained_records") + F.col("legacy_records"))
-        .alias("records"),
-        "chained_records",
-        "legacy_records",
-        F.col("failure.line_no").alias("failure_line"),
-        F.coalesce("failure.failure", F.lit("ok")).alias("message"),
+        F.when(broken, line).otherwise(F.col("chained") + F.col("legacy")).alias("records"),
+        F.col("chained").alias("chained_records"),
+        F.col("legacy").alias("legacy_records"),
+        line.alias("failure_line"),
+        F.coalesce("first.f.failure", F.lit("ok")).alias("message"),
     )
 
 

@@ -17,36 +17,6 @@ def time_block(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def running_sum_before(
-    frame: DataFrame,
-    keys: Sequence[str],
-    block: str,
-    order: Sequence[Column],
-    value: str,
-    out: str,
-) -> DataFrame:
-    """Add the sum of ``value`` over all earlier rows of the key.
-
-    ``block`` must be non-decreasing along ``order``.
-    """
-    totals = frame.groupBy(*keys, block).agg(F.sum(value).alias("_block_sum"))
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, block, F.coalesce(F.sum("_block_sum").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = (
-        Window.partitionBy(*keys, block)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = frame.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return (
-        local.join(offsets, [*keys, block])
-        .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset")
-    )
-
-
 def rolling_count(
     frame: DataFrame,
     keys: Sequence[str],

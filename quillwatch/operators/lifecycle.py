@@ -1,29 +1,60 @@
 """Alert lifecycle: full history from raw occurrences and analyst actions, status
 changes on a stored state, and replay of an append-only log.
 
-No operator walks an alert's rows one by one. Occurrences are reduced to one row per
-alert and second before any window runs, because one alert may own a large part of all
-occurrences while analyst actions stay few. Only occurrences that share a second with an
-action on the same alert keep their own row, since their order against it matters.
+No task walks all rows of an alert. Occurrences are reduced to one row per alert and second
+before they are ordered, because one alert may own a large part of all occurrences. Only
+occurrences that share a second with an action on the same alert are kept by instant, since
+their order against it matters. What is left is ordered in blocks of time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwatch.functions.text import strip
 from quillwatch.operators.alerts import REOPEN_ACTOR, REOPEN_NOTE, collapse_occurrences
+from quillwatch.operators.blocks import time_block
 from quillwatch.schemas import ALERT_COLUMNS
 
 ACKNOWLEDGE = "acknowledged"
 RESOLVE = "resolved"
 
-_UPTO_PREVIOUS = (Window.unboundedPreceding, -1)
-_UPTO_CURRENT = (Window.unboundedPreceding, Window.currentRow)
+#: States of an alert before and after a step, and the codes of steps.
+NONE, NEW, ACKNOWLEDGED, RESOLVED = range(4)
+_OCCURS, _ACKS, _RESOLVES, _OTHER = range(4)
+#: State after a step, by its code (row) and the state before it (column).
+_AFTER = (
+    (NEW, NEW, ACKNOWLEDGED, NEW),
+    (NONE, ACKNOWLEDGED, ACKNOWLEDGED, RESOLVED),
+    (NONE, RESOLVED, RESOLVED, RESOLVED),
+    (NONE, NEW, ACKNOWLEDGED, RESOLVED),
+)
+
+
+def _after(code: Column, state: Column) -> Column:
+    table = F.array(*(F.lit(to) for row in _AFTER for to in row))
+    return F.get(table, code * 4 + state)
 
 
-def lifecycle_timeline(occurrences: DataFrame, actions: DataFrame) -> DataFrame:
+def _end_of(steps: Column, entry: int) -> Column:
+    """State after all steps of a block that is entered in a state."""
+    return F.aggregate(steps, F.lit(entry), lambda state, step: _after(step["code"], state))
+
+
+def _states_through(items: Column, entry: Column, follow) -> Column:
+    """One digit for the state before each item."""
+    last = lambda path: F.right(path, F.lit(1)).cast("int")
+    return F.aggregate(
+        items,
+        entry.cast("string"),
+        lambda path, item: F.concat(path, follow(item, last(path)).cast("string")),
+    )
+
+
+def lifecycle_timeline(
+    occurrences: DataFrame, actions: DataFrame, *, block_seconds: int = 900
+) -> DataFrame:
     """Ordered steps per alert with the effect of each one.
 
     ``occurrences``: alert_id, occurrence_key, last_seen. ``actions``: alert_id,
@@ -33,6 +64,10 @@ def lifecycle_timeline(occurrences: DataFrame, actions: DataFrame) -> DataFrame:
     Result: alert_id, step_key, at, kind, effect, actor, note. ``effect`` is created,
     occurrence, reopened, acknowledged, resolved or rejected. An ``occurrence`` row can
     stand for several; created and reopened rows carry the key of the one that did it.
+
+    A step maps the state before it to the state after it. The steps of an alert are cut into
+    blocks of ``block_seconds``; the maps of a block are composed into one, and only these
+    compositions, one row a block, are put in order to find the state each block is entered in.
     """
     second = F.date_trunc("second", F.col("at"))
     steps = occurrences.select(
@@ -47,9 +82,10 @@ def lifecycle_timeline(occurrences: DataFrame, actions: DataFrame) -> DataFrame:
         "note",
     ).withColumn("cell", second)
     contested = acts.select("alert_id", "cell").distinct().withColumn("contested", F.lit(True))
+    # occurrences of one instant precede its actions, so the first of them stands for all
     reduced = (
         steps.join(contested, ["alert_id", "cell"], "left")
-        .groupBy("alert_id", "cell", F.when(F.col("contested"), F.col("step_key")).alias("own_row"))
+        .groupBy("alert_id", "cell", F.when(F.col("contested"), F.col("at")).alias("instant"))
         .agg(F.min(F.struct("at", "step_key")).alias("opening"))
         .select(
             "alert_id",
@@ -60,67 +96,62 @@ def lifecycle_timeline(occurrences: DataFrame, actions: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("note"),
         )
     )
-    merged = reduced.unionByName(acts.drop("cell")).withColumns(
-        {
-            "is_occurrence": F.col("action").isNull().cast("int"),
-            "is_resolve": F.coalesce((F.col("action") == RESOLVE).cast("int"), F.lit(0)),
-            "is_ack": F.coalesce((F.col("action") == ACKNOWLEDGE).cast("int"), F.lit(0)),
-        }
+    code = (
+        F.when(F.col("action").isNull(), F.lit(_OCCURS))
+        .when(F.col("action") == ACKNOWLEDGE, F.lit(_ACKS))
+        .when(F.col("action") == RESOLVE, F.lit(_RESOLVES))
+        .otherwise(F.lit(_OTHER))
     )
-    order = [F.col("at"), F.col("is_occurrence").desc(), F.col("step_key")]
-    alert = Window.partitionBy("alert_id").orderBy(*order)
-    run = Window.partitionBy("alert_id", "run").orderBy(*order)
-
-    def before(column: str, window) -> Column:
-        return F.coalesce(F.sum(column).over(window.rowsBetween(*_UPTO_PREVIOUS)), F.lit(0))
-
-    # A run starts with an occurrence and holds the actions up to the next one.
-    with_run = merged.withColumn(
-        "run", F.sum("is_occurrence").over(alert.rowsBetween(*_UPTO_CURRENT))
+    known = acts.drop("cell").withColumn("action", F.coalesce("action", F.lit("")))
+    merged = reduced.unionByName(known).withColumns(
+        {"code": code, "block": time_block(F.col("at"), block_seconds)}
     )
-    resolved = with_run.withColumn(
-        "resolve_ok",
-        ((F.col("is_resolve") == 1) & (F.col("run") > 0) & (before("is_resolve", run) == 0)).cast(
-            "int"
-        ),
+    step = F.struct(
+        "at", (F.col("code") > 0).alias("acts"), "step_key", "code", "action", "actor", "note"
     )
-    # An epoch lasts until an accepted resolve.
-    with_epoch = resolved.withColumns(
-        {"epoch": before("resolve_ok", alert), "run_resolved": before("resolve_ok", run)}
+    blocks = (
+        merged.groupBy("alert_id", "block")
+        .agg(F.array_sort(F.collect_list(step)).alias("steps"))
+        .withColumn("ends", F.array(*(_end_of(F.col("steps"), entry) for entry in range(4))))
     )
-    eligible = with_epoch.withColumn(
-        "ack_eligible",
-        (
-            (F.col("is_ack") == 1) & (F.col("run") > 0) & (F.col("run_resolved") == 0)
-        ).cast("int"),
+    composed = blocks.groupBy("alert_id").agg(
+        F.array_sort(F.collect_list(F.struct("block", "ends"))).alias("blocks")
     )
-    epoch = Window.partitionBy("alert_id", "epoch").orderBy(*order)
-    by_kind = Window.partitionBy("alert_id", "is_occurrence").orderBy(*order)
-    effects = eligible.withColumns(
-        {
-            "ack_ok": (
-                (F.col("ack_eligible") == 1) & (before("ack_eligible", epoch) == 0)
-            ).cast("int"),
-            "previous_epoch": F.lag("epoch").over(by_kind),
-        }
+    entered = composed.select(
+        "alert_id",
+        F.posexplode("blocks.block").alias("_pos", "block"),
+        _states_through(
+            F.col("blocks"), F.lit(NONE), lambda block, state: F.get(block["ends"], state)
+        ).alias("_path"),
+    ).select(
+        "alert_id", "block", F.substr("_path", F.col("_pos") + 1, F.lit(1)).alias("entry")
+    )
+    walked = blocks.join(entered, ["alert_id", "block"]).select(
+        "alert_id",
+        F.posexplode("steps").alias("_pos", "step"),
+        _states_through(
+            F.col("steps"), F.col("entry"), lambda step, state: _after(step["code"], state)
+        ).alias("_path"),
     )
+    before = F.substr("_path", F.col("_pos") + 1, F.lit(1)).cast("int")
+    code, action = F.col("step.code"), F.col("step.action")
     occurrence_effect = (
-        F.when(F.col("run") == 1, "created")
-        .when(F.col("epoch") > F.col("previous_epoch"), "reopened")
-        .otherwise("occurrence")
+        F.when(before == NONE, "created").when(before == RESOLVED, "reopened").otherwise("occurrence")
     )
-    return effects.select(
+    accepted = ((code == _RESOLVES) & before.isin(NEW, ACKNOWLEDGED)) | (
+        (code == _ACKS) & (before == NEW)
+    )
+    return walked.select(
         "alert_id",
-        "step_key",
-        "at",
-        F.when(F.col("is_occurrence") == 1, "occurrence").otherwise(F.col("action")).alias("kind"),
-        F.when(F.col("is_occurrence") == 1, occurrence_effect)
-        .when(F.col("resolve_ok") == 1, RESOLVE)
-        .when(F.col("ack_ok") == 1, ACKNOWLEDGE)
+        "step.step_key",
+        "step.at",
+        F.when(code == _OCCURS, "occurrence").otherwise(F.nullif(action, F.lit(""))).alias("kind"),
+        F.when(code == _OCCURS, occurrence_effect)
+        .when(accepted, action)
         .otherwise("rejected")
         .alias("effect"),
-        "actor",
-        "note",
+        "step.actor",
+        "step.note",
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions.text import escape_label, strip
-from quillwatch.operators.blocks import running_sum_before, time_block
+from quillwatch.operators.blocks import time_block
 
 DEFAULT_PREFIX = "quillwatch"
 
@@ -117,42 +119,91 @@ def hold_rule(
     samples: DataFrame,
     condition: Column,
     *,
-    hold_seconds: int,
+    hold_seconds: int | Column,
     series: str = "series",
     ts: str = "ts",
-    block_seconds: int = 86_400,
+    block_seconds: int = 3_600,
 ) -> DataFrame:
     """Spells in which a condition holds at every sample, and whether they last long enough.
 
     Result: series, started, ended, samples, fires, fires_at (first sample at which the
-    condition has held for ``hold_seconds``). Two true samples belong to one spell when the
-    same number of false samples precedes them; that number is summed block by block.
+    condition has held for ``hold_seconds``, one value for a series). Of samples at one time those that
+    do not hold come first.
+
+    A series is cut into blocks of time. Spells inside a block are done there; of those that
+    touch its borders a block keeps one summary at either end, and only these are put in order
+    and joined. The samples are read and shuffled once.
     """
     flagged = samples.select(
         F.col(series).alias("series"),
         F.col(ts).alias("ts"),
         F.coalesce(condition, F.lit(False)).alias("holds"),
-    ).withColumns(
+        (hold_seconds if isinstance(hold_seconds, Column) else F.lit(hold_seconds)).alias("hold"),
+    ).withColumn("block", time_block(F.col("ts"), block_seconds))
+    inside = Window.partitionBy("series", "block").orderBy("ts", "holds")
+    numbered = flagged.withColumns(
         {
-            "block": time_block(F.col("ts"), block_seconds),
-            "misses": (~F.col("holds")).cast("int"),
+            "place": F.row_number().over(inside),
+            "run": F.count_if(~F.col("holds")).over(
+                inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
         }
     )
-    numbered = running_sum_before(
-        flagged, ["series"], "block", [F.col("ts"), F.col("holds")], "misses", "spell"
-    ).where("holds")
-    spells = numbered.groupBy("series", "spell").agg(
-        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("samples")
+    runs = (
+        numbered.groupBy("series", "block", "run")
+        .agg(
+            F.min(F.when(F.col("holds"), F.col("ts"))).alias("started"),
+            F.max(F.when(F.col("holds"), F.col("ts"))).alias("ended"),
+            F.count_if("holds").alias("samples"),
+            F.min("place").alias("first_place"),
+            F.max("place").alias("last_place"),
+            F.max("hold").alias("hold"),
+            F.array_sort(F.collect_list(F.when(F.col("holds"), F.col("ts")))).alias("times"),
+        )
+        .withColumns(
+            {
+                # run 0 has no sample before it; the others begin with one that does not hold
+                "leads": (F.col("run") == 0) & (F.col("samples") > 0),
+                "trails": F.col("last_place")
+                == F.max("last_place").over(Window.partitionBy("series", "block")),
+            }
+        )
+    )
+    hold = F.make_dt_interval(secs=F.col("hold"))
+    due = F.col("started") + hold
+    fired = F.get(F.filter("times", lambda t: t >= due), F.lit(0))
+    done = runs.where("samples > 0 and not leads and not trails").select(
+        "series", "started", "ended", "samples", fired.alias("fires_at")
     )
-    held = F.make_dt_interval(secs=F.lit(hold_seconds))
-    reached = (
-        numbered.select("series", "spell", "ts")
-        .join(spells.select("series", "spell", "started"), ["series", "spell"])
-        .where(F.col("ts") >= F.col("started") + held)
+    ends = runs.where("leads or trails").select(
+        "series", "block", "run", "leads", "trails", "started", "ended", "samples", "times", "hold",
+    )
+    in_order = Window.partitionBy("series").orderBy("block", "run")
+    # the run before a leading one is the one that ends the block before
+    joins = F.col("leads") & (F.coalesce(F.lag("samples").over(in_order), F.lit(0)) > 0)
+    spells = (
+        ends.withColumn("opens", (~joins).cast("int"))
+        .withColumn(
+            "spell",
+            F.sum("opens").over(
+                in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
+        )
+        .where("samples > 0")
+    )
+    opened = F.min("started").over(Window.partitionBy("series", "spell"))
+    joined = (
+        spells.withColumn("due", opened + hold)
         .groupBy("series", "spell")
-        .agg(F.min("ts").alias("fires_at"))
+        .agg(
+            F.min("started").alias("started"),
+            F.max("ended").alias("ended"),
+            F.sum("samples").alias("samples"),
+            F.min(F.get(F.filter("times", lambda t: t >= F.col("due")), F.lit(0))).alias("fires_at"),
+        )
+        .drop("spell")
     )
-    return spells.join(reached, ["series", "spell"], "left").select(
+    return done.unionByName(joined).select(
         "series",
         "started",
         "ended",
@@ -162,6 +213,78 @@ def hold_rule(
     )
 
 
+def counter_increase(
+    samples: DataFrame,
+    at: DataFrame,
+    *,
+    range_seconds: int,
+    keys: Sequence[str] = ("series",),
+) -> DataFrame:
+    """``at`` with ``increase``: growth of cumulative counters in the range before each time.
+
+    ``samples``: keys, ts, value; ``at``: keys, at. A value below the one before it is a reset,
+    after which the counter began at zero. Of the samples in (at - range, at] the growth from
+    the first to the last is carried on to the borders of the range: by the distance to a border
+    if that is below 1.1 times the mean distance of samples, else by half that mean; before the
+    first sample never further than to where the counter would have been zero. Fewer than two
+    samples give no increase (null).
+
+    Times and samples meet in cells of ``range_seconds``, so a time reads two cells of its
+    series and no range join walks the whole series. Growth within the range is a difference
+    of running totals that are summed block by block.
+    """
+    keys = list(keys)
+    span = range_seconds * 1_000_000
+    cell = F.floor(F.col("t") / F.lit(span)).cast("bigint")
+    placed = samples.select(*keys, F.unix_micros("ts").alias("t"), "value").withColumn("cell", cell)
+    # the value before, across cells: only the last sample of each cell is put in order
+    inside = Window.partitionBy(*keys, "cell").orderBy("t")
+    lasts = placed.groupBy(*keys, "cell").agg(F.max(F.struct("t", "value")).alias("last"))
+    entering = lasts.select(
+        *keys, "cell",
+        F.lag("last.value").over(Window.partitionBy(*keys).orderBy("cell")).alias("entering"),
+    )
+    grown = placed.join(entering, [*keys, "cell"]).withColumn(
+        "before", F.coalesce(F.lag("value").over(inside), "entering")
+    )
+    step = F.when(F.col("value") < F.col("before"), F.col("value")).otherwise(
+        F.col("value") - F.col("before")
+    )
+    grown = grown.select(*keys, "cell", "t", "value", F.coalesce(step, F.lit(0.0)).alias("step"))
+    # a sample of a cell is in range for times of this cell and of the next one
+    seen = grown.withColumn(
+        "cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1))
+    ).withColumnsRenamed({"t": "s"})
+    asked = at.select(*keys, "at").distinct().select(*keys, "at", F.unix_micros("at").alias("t"))
+    asked = asked.withColumn("cell", cell)
+    inner = (F.col("s") > F.col("t") - span) & (F.col("s") <= F.col("t"))
+    found = (
+        asked.join(seen, [*keys, "cell"])
+        .where(inner)
+        .groupBy(*keys, "at", "t")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct("s", "value", "step")).alias("first"),
+            F.max("s").alias("last"),
+            F.sum("step").alias("grown"),
+        )
+    )
+    # the first sample's own growth came from before the range
+    growth = F.col("grown") - F.col("first.step")
+    covered = (F.col("last") - F.col("first.s")).cast("double")
+    mean = covered / (F.col("n") - 1)
+    lead = (F.col("first.s") - (F.col("t") - span)).cast("double")
+    trail = (F.col("t") - F.col("last")).cast("double")
+    lead = F.when(lead < mean * 1.1, lead).otherwise(mean / 2)
+    trail = F.when(trail < mean * 1.1, trail).otherwise(mean / 2)
+    to_zero = F.when(growth > 0, covered * F.col("first.value") / growth)
+    lead = F.least(lead, F.coalesce(to_zero, lead))
+    increase = F.when(
+        (F.col("n") > 1) & (covered > 0), growth * ((covered + lead + trail) / covered)
+    )
+    return at.join(found.select(*keys, "at", increase.alias("increase")), [*keys, "at"], "left")
+
+
 def _labels(names: dict[str, Column]) -> Column:
     if not names:
         return F.lit("")
