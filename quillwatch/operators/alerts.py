@@ -15,6 +15,7 @@ from quillwatch.functions.text import (
     strip,
 )
 from quillwatch.functions.times import iso_text
+from quillwatch.operators.extra import merged_extra, newest_extra, spliced, with_extra
 from quillwatch.operators.once import computed_once
 from quillwatch.schemas import ALERT_COLUMNS, DETECTION_COLUMNS, FINGERPRINT_FIELDS
 
@@ -137,7 +138,7 @@ def collapse_occurrences(occurrences: DataFrame) -> DataFrame:
     the batch is reduced before the shuffle.
     """
     newest = F.max(F.struct("last_seen", "occurrence_key", *PAYLOAD))
-    return (
+    rows = (
         occurrences.groupBy("alert_id")
         .agg(
             F.sum("occurrence_count").alias("occurrence_count"),
@@ -155,6 +156,10 @@ def collapse_occurrences(occurrences: DataFrame) -> DataFrame:
             *[F.col(f"newest.{name}").alias(name) for name in PAYLOAD],
         )
     )
+    if "extra" not in occurrences.columns:
+        return rows
+    others = newest_extra(occurrences, "alert_id", ("last_seen", "occurrence_key"))
+    return rows.join(others, "alert_id", "left")
 
 
 def merge_batch(state: DataFrame, occurrences: DataFrame, *, generated_at: str) -> DataFrame:
@@ -164,8 +169,8 @@ def merge_batch(state: DataFrame, occurrences: DataFrame, *, generated_at: str)
     reopened or occurrence. The old rows are cut down to the touched alerts first, so a
     small batch never shuffles a large state.
     """
-    batch = collapse_occurrences(occurrences)
-    old = restrict_to_batch(state, occurrences).select(
+    batch = with_extra(collapse_occurrences(occurrences))
+    old = restrict_to_batch(with_extra(state), occurrences).select(
         "alert_id",
         *[
             F.col(name).alias(f"old_{name}")
@@ -178,6 +183,7 @@ def merge_batch(state: DataFrame, occurrences: DataFrame, *, generated_at: str)
                 "status_note",
                 "status_updated_at",
                 "last_action",
+                "extra",
             )
         ],
     )
@@ -203,6 +209,7 @@ def merge_batch(state: DataFrame, occurrences: DataFrame, *, generated_at: str)
         history("status_note", F.lit(REOPEN_NOTE)),
         history("status_updated_at", made),
         history("last_action", F.lit("reopened")),
+        merged_extra(F.col("old_extra"), F.col("extra")).alias("extra"),
         F.when(~known, "created")
         .when(reopened, "reopened")
         .otherwise("occurrence")
@@ -214,7 +221,11 @@ def merge_batch(state: DataFrame, occurrences: DataFrame, *, generated_at: str)
 def upsert(state: DataFrame, changed: DataFrame) -> DataFrame:
     """Whole current state: changed rows win over old rows with the same alert id."""
     kept = state.join(changed.select("alert_id"), "alert_id", "left_anti")
-    return kept.select(*ALERT_COLUMNS).unionByName(changed.select(*ALERT_COLUMNS))
+    return (
+        with_extra(kept)
+        .select(*ALERT_COLUMNS)
+        .unionByName(with_extra(changed).select(*ALERT_COLUMNS))
+    )
 
 
 def batch_events(occurrences: DataFrame, merged: DataFrame) -> DataFrame:
@@ -260,7 +271,7 @@ def merge_import(existing: DataFrame, imported: DataFrame) -> DataFrame:
 
 def imported_events(imported: DataFrame) -> DataFrame:
     """A ``migrated`` event for every imported alert."""
-    return imported.select(
+    return with_extra(imported).select(
         F.sha2(F.concat_ws("|", "alert_id", F.lit("migrated"), "batch_id"), 256).alias("event_key"),
         "alert_id",
         F.lit("migrated").alias("event_type"),
@@ -268,5 +279,5 @@ def imported_events(imported: DataFrame) -> DataFrame:
         optional_text(F.col("batch_id")).alias("batch_id"),
         F.lit("system").alias("actor"),
         F.lit("Imported from legacy JSONL lifecycle log.").alias("note"),
-        F.to_json(F.struct(*ALERT_COLUMNS)).alias("payload_json"),
+        spliced(F.to_json(F.struct(*ALERT_COLUMNS[:-1])), F.col("extra")).alias("payload_json"),
     )

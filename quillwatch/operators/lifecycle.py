@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillwatch.functions.text import strip
 from quillwatch.operators.alerts import REOPEN_ACTOR, REOPEN_NOTE, collapse_occurrences
 from quillwatch.operators.blocks import time_block
+from quillwatch.operators.extra import newest_extra, with_extra
 from quillwatch.schemas import ALERT_COLUMNS
 
 ACKNOWLEDGE = "acknowledged"
@@ -187,6 +188,7 @@ def lifecycle_states(occurrences: DataFrame, timeline: DataFrame) -> DataFrame:
                 "last_action": effect,
             }
         )
+        .transform(with_extra)
         .select(*ALERT_COLUMNS)
     )
 
@@ -301,6 +303,7 @@ def update_statuses(state: DataFrame, actions: DataFrame) -> tuple[DataFrame, Da
                 "last_action": F.col("last.action"),
             }
         )
+        .transform(with_extra)
         .select(*ALERT_COLUMNS)
     )
     return changed, verdicts
@@ -328,7 +331,8 @@ def replay_log(occurrences: DataFrame, updates: DataFrame) -> DataFrame:
     Records apply in line order. The first occurrence sets the status, only updates
     change it afterwards; updates before the first occurrence are dropped. A field keeps
     its last written value whichever kind of record wrote it, and an empty note does not
-    overwrite an earlier one.
+    overwrite an earlier one. Keys that the schema does not name stay in ``extra``, each with
+    the last value that an alert record gave it.
     """
     update = F.col("_update")
     line = F.struct("file", "line_no")
@@ -374,7 +378,7 @@ def replay_log(occurrences: DataFrame, updates: DataFrame) -> DataFrame:
         takes_new = counts(new) & (old.isNull() | (new["line"] > old["line"]))
         return F.when(takes_new, new["v"]).otherwise(old["v"]).alias(name)
 
-    return last.where(F.col("opening").isNotNull()).select(
+    states = last.where(F.col("opening").isNotNull()).select(
         "alert_id",
         F.col("fingerprint.v").alias("fingerprint"),
         F.coalesce(
@@ -386,3 +390,5 @@ def replay_log(occurrences: DataFrame, updates: DataFrame) -> DataFrame:
         *[F.col(f"{name}.v").alias(name) for name in _LOG_PAYLOAD if name != "fingerprint"],
         *[later(name) for name in _LOG_HISTORY],
     )
+    others = newest_extra(with_extra(occurrences), "alert_id", ("file", "line_no"))
+    return states.join(others, "alert_id", "left")

@@ -24,6 +24,14 @@ def written(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(match[1]) for match in map(_NUMBER.search, names) if match)
 
 
+def drop_before(spark: SparkSession, folder: str, number: int) -> None:
+    """Delete the sets below a number that later ones have taken over."""
+    for old in written(spark, folder):
+        if old < number:
+            path = spark._jvm.org.apache.hadoop.fs.Path(set_path(folder, old))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def set_path(folder: str, number: int) -> str:
     return f"{folder}/number={number:010d}"
 

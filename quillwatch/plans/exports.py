@@ -11,6 +11,7 @@ from quillwatch.functions.hashing import hmac_signature
 from quillwatch.functions.text import json_number, json_object, json_string, strip
 from quillwatch.functions.times import iso_text
 from quillwatch.operators.alerts import flat_records
+from quillwatch.operators.extra import spliced, with_extra
 from quillwatch.operators.metrics import exposition_lines, health_summary
 from quillwatch.operators.summaries import incident_summary, scan_summary
 from quillwatch.schemas import ALERT_COLUMNS
@@ -57,8 +58,10 @@ def write_detections(analyzed: DataFrame, path: str) -> None:
     scan_summary(analyzed).write.mode("overwrite").json(f"{path}/summary")
 
 
-def batch_records(occurrences: DataFrame, record_type: str = "alert") -> DataFrame:
-    """Occurrences as log records with ISO times."""
+def batch_records(
+    occurrences: DataFrame, record_type: str = "alert", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Occurrences as log records with ISO times; columns of ``keep`` follow as they are."""
     times = [F.col(c) for c in _LOG_TIMES if c in occurrences.columns]
     names = [c for c in _LOG_TIMES if c in occurrences.columns]
     plain = [c for c in _LOG_COLUMNS if c in occurrences.columns]
@@ -71,6 +74,7 @@ def batch_records(occurrences: DataFrame, record_type: str = "alert") -> DataFra
             if "first_seen" in occurrences.columns
             else []
         ),
+        *keep,
     )
 
 
@@ -104,11 +108,21 @@ def _append(records: DataFrame, path: str, **options: object) -> None:
     names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
     taken = [int(m[1]) for m in map(_SEQUENCE.match, names) if m]
     target = f"{path.rstrip('/')}/seq-{max(taken, default=0) + 1:010d}"
-    records.write.mode("errorifexists").options(**options).json(target)
+    if options:
+        records.write.mode("errorifexists").options(**options).json(target)
+    else:
+        records.write.mode("errorifexists").text(target)
+
+
+def log_lines(occurrences: DataFrame) -> DataFrame:
+    """Log records as JSON text; the keys of ``extra`` stand beside the named ones."""
+    records = batch_records(with_extra(occurrences), keep=("extra",))
+    text = F.to_json(F.struct(*records.columns[:-1]))
+    return records.select(spliced(text, F.col("extra")).alias("value"))
 
 
 def append_log(occurrences: DataFrame, path: str) -> None:
-    _append(batch_records(occurrences), path)
+    _append(log_lines(occurrences), path)
 
 
 def append_updates(actions: DataFrame, path: str, update_type: str = "alert_update") -> None:
@@ -127,8 +141,8 @@ def append_updates(actions: DataFrame, path: str, update_type: str = "alert_upda
 
 def write_compacted_log(states: DataFrame, path: str) -> None:
     """Current states only, newest first across the files; the target must be new."""
-    ordered = states.select(*ALERT_COLUMNS).orderBy(F.col("last_seen").desc(), "alert_id")
-    batch_records(ordered).write.mode("errorifexists").json(path)
+    ordered = with_extra(states).select(*ALERT_COLUMNS).orderBy(F.col("last_seen").desc(), "alert_id")
+    log_lines(ordered).write.mode("errorifexists").text(path)
 
 
 def write_incident_report(

@@ -1,12 +1,13 @@
 """Alert state kept as parquet: whole snapshots plus small change sets.
 
-    <root>/alerts/v0000000007-base/           every alert
-    <root>/alerts/v0000000008-change-<id>/    new rows of the alerts one batch touched
+    <root>/alerts/version=v0000000007-base/bucket=.../           every alert
+    <root>/alerts/version=v0000000008-change-<id>/bucket=.../    new rows of a batch's alerts
     <root>/events/version=v0000000008-change-<id>/event_date=.../   its lifecycle events
 
 A version counts once Spark has written its ``_SUCCESS`` file, so a lost job leaves
-nothing half visible. A batch writes only the rows it changed; reading overlays the change
-sets on the last snapshot; ``compact`` folds them into a new one. One writer at a time.
+nothing half visible. A batch reads the buckets of the alerts it touches and writes only the
+rows it changed; reading overlays the change sets, all read by one scan, on the last snapshot;
+``compact`` folds them into a new one. One writer at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 import re
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwatch.operators.alerts import (
@@ -25,6 +26,7 @@ from quillwatch.operators.alerts import (
     merge_import,
     upsert,
 )
+from quillwatch.operators.extra import with_extra
 from quillwatch.operators.lifecycle import update_statuses
 from quillwatch.operators.summaries import cascade_events, prune, store_info, verify_alerts
 from quillwatch.functions.text import strip
@@ -38,32 +40,43 @@ _NAME = re.compile(r"^v(\d{10})-(base|change)(?:-([0-9a-f]{16}))?$")
 class AlertStore:
     """Current alerts and their lifecycle events under one directory."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, *, buckets: int = 16) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     # -- layout
 
+    def _complete(self, pattern: str) -> list[str]:
+        """Names of the folders of that pattern with a ``_SUCCESS``, by one listing."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}/_SUCCESS")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = (s.getPath().getParent().getName() for s in fs.globStatus(path) or [])
+        return sorted(name.removeprefix("version=") for name in names)
+
     def _versions(self) -> list[tuple[int, str, str, str]]:
-        """Committed (number, kind, tag, name), oldest first. Lists directories, no data."""
-        jvm = self.spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.root}/alerts")
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return []
-        found = []
-        for status in fs.listStatus(base):
-            path = status.getPath()
-            match = _NAME.match(path.getName())
-            if match and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                found.append((int(match[1]), match[2], match[3] or "", path.getName()))
-        return sorted(found)
-
-    def _alerts(self, names: list[str]) -> DataFrame:
+        """Committed (number, kind, tag, name), oldest first."""
+        found = [(_NAME.match(name), name) for name in self._complete("alerts/version=*")]
+        return sorted((int(m[1]), m[2], m[3] or "", name) for m, name in found if m)
+
+    def _alerts(self, names: list[str], buckets: list[int] | None = None) -> DataFrame:
+        """Rows of versions with the ``number`` of theirs, in one scan."""
         if not names:
-            return self.spark.createDataFrame([], ALERT)
-        paths = [f"{self.root}/alerts/{name}" for name in names]
-        return self.spark.read.schema(ALERT).parquet(*paths)
+            empty = self.spark.createDataFrame([], ALERT)
+            return empty.withColumn("number", F.lit(0).cast("bigint"))
+        base = f"{self.root}/alerts"
+        rows = (
+            self.spark.read.schema(f"{ALERT}, version string, bucket int")
+            .option("basePath", base)
+            .parquet(*[f"{base}/version={name}" for name in names])
+            .withColumn("number", F.substring("version", 2, 10).cast("bigint"))
+        )
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        return rows
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("alert_id"), F.lit(self.buckets)).cast("int")
 
     def _live(self) -> tuple[list[str], list[tuple[int, str]]]:
         """Name of the last snapshot, and numbered names of the change sets after it."""
@@ -87,32 +100,31 @@ class AlertStore:
 
     # -- reading
 
-    def state(self) -> DataFrame:
-        """Current row of every alert."""
+    def state(self, buckets: list[int] | None = None) -> DataFrame:
+        """Current row of every alert, or of those in some buckets."""
         base_names, changes = self._live()
-        base = self._alerts(base_names)
+        base = self._alerts(base_names, buckets).select(*ALERT_COLUMNS)
         if not changes:
             return base
-        layers = [
-            self._alerts([name]).withColumn("_version", F.lit(number))
-            for number, name in changes
-        ]
-        stacked = layers[0]
-        for layer in layers[1:]:
-            stacked = stacked.unionByName(layer)
         newest = (
-            stacked.groupBy("alert_id")
-            .agg(F.max_by(F.struct(*ALERT_COLUMNS), "_version").alias("row"))
+            self._alerts([name for _, name in changes], buckets)
+            .groupBy("alert_id")
+            .agg(F.max_by(F.struct(*ALERT_COLUMNS), "number").alias("row"))
             .select("row.*")
         )
-        return upsert(base, newest)
+        return upsert(base, newest) if base_names else newest
+
+    def change_sets(self) -> int:
+        """Change sets since the last snapshot."""
+        return len(self._live()[1])
 
     def newest_first(self) -> DataFrame:
         return self.state().orderBy(F.col("last_seen").desc(), "alert_id")
 
     def events(self) -> DataFrame:
         """Lifecycle events of all committed versions since events were last rewritten."""
-        names = [v[3] for v in self._versions() if self._has_events(v[3])]
+        with_events = set(self._complete("events/version=*"))
+        names = [v[3] for v in self._versions() if v[3] in with_events]
         rewritten = [i for i, name in enumerate(names) if name.endswith("-base")]
         live = names[rewritten[-1] :] if rewritten else names
         if not live:
@@ -125,11 +137,6 @@ class AlertStore:
             .select(*[part.split()[0] for part in ALERT_EVENT.split(", ")])
         )
 
-    def _has_events(self, name: str) -> bool:
-        marker = f"{self.root}/events/version={name}/_SUCCESS"
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(marker)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     # -- writing
 
     def _commit(self, name: str, rows: DataFrame, events: DataFrame | None) -> None:
@@ -141,7 +148,13 @@ class AlertStore:
                 .partitionBy("event_date")
                 .parquet(f"{self.root}/events/version={name}")
             )
-        rows.select(*ALERT_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/alerts/{name}")
+        (
+            with_extra(rows)
+            .select(*ALERT_COLUMNS, self._bucket().alias("bucket"))
+            .write.mode("overwrite")
+            .partitionBy("bucket")
+            .parquet(f"{self.root}/alerts/version={name}")
+        )
 
     def persist_batch(self, occurrences: DataFrame, *, batch_id: str, generated_at: str) -> bool:
         """Merge a batch of occurrences. A batch id that was merged before does nothing."""
@@ -149,7 +162,8 @@ class AlertStore:
             raise ValueError("batch_id cannot be empty")
         if self._applied(batch_id):
             return False
-        merged = merge_batch(self.state(), occurrences, generated_at=generated_at)
+        touched = [r["b"] for r in occurrences.select(self._bucket().alias("b")).distinct().collect()]
+        merged = merge_batch(self.state(touched), occurrences, generated_at=generated_at)
         self._commit(
             self._next_name("change", self._tag(batch_id)),
             merged,
@@ -209,7 +223,7 @@ class AlertStore:
     # -- backup
 
     def backup(self, target: str, *, now: datetime | None = None) -> str:
-        """Write the current state below ``target`` under a time-stamped name."""
+        """Write the current state and its events below ``target`` under a time-stamped name."""
         stamp = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ")
         path = f"{target.rstrip('/')}/alerts-{stamp}"
         (
@@ -218,18 +232,17 @@ class AlertStore:
                 {"format": F.lit(BACKUP_FORMAT), "schema_version": F.lit(SCHEMA_VERSION)}
             )
             .write.mode("errorifexists")
-            .parquet(path)
+            .parquet(f"{path}/alerts")
         )
+        self.events().write.mode("errorifexists").parquet(f"{path}/events")
         return path
 
     def restore(self, backup: str, *, overwrite: bool = False) -> None:
-        """Replace the state by a checked backup."""
+        """Replace the state and the events by a checked backup."""
         rows = read_backup(self.spark, backup)
         if not overwrite and not self.state().isEmpty():
             raise ValueError("the store is not empty; explicit overwrite is required")
-        self._commit(
-            self._next_name("base"), rows, imported_events(rows.select(*ALERT_COLUMNS))
-        )
+        self._commit(self._next_name("base"), rows, read_backup_events(self.spark, backup))
 
     # -- inspection
 
@@ -261,7 +274,10 @@ class AlertStore:
 
 def read_backup(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of a backup; a wrong format, version or row content stops the job."""
-    rows = spark.read.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/alerts")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise ValueError("not an alert backup, it has no alerts folder")
+    rows = with_extra(spark.read.parquet(f"{path}/alerts"))
     missing = {"format", *ALERT_COLUMNS} - set(rows.columns)
     if missing:
         raise ValueError("not an alert backup, missing columns: " + ", ".join(sorted(missing)))
@@ -276,3 +292,8 @@ def read_backup(spark: SparkSession, path: str) -> DataFrame:
             F.raise_error(F.lit("Backup contains invalid alert data")).cast("boolean")
         )
     ).select(*ALERT_COLUMNS)
+
+
+def read_backup_events(spark: SparkSession, path: str) -> DataFrame:
+    """Lifecycle events of a backup."""
+    return spark.read.schema(ALERT_EVENT).parquet(f"{path}/events")

@@ -40,7 +40,8 @@ ALERT = (
     "first_seen timestamp, last_seen timestamp, severity string, risk_score double, "
     "database string, username string, client_ip string, classification string, "
     "source_system string, query string, batch_id string, generated_at timestamp, "
-    "updated_by string, status_note string, status_updated_at timestamp, last_action string"
+    "updated_by string, status_note string, status_updated_at timestamp, last_action string, "
+    "extra map<string,string>"
 )
 ALERT_COLUMNS = tuple(part.split()[0] for part in ALERT.split(", "))
 

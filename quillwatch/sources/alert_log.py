@@ -10,6 +10,7 @@ from quillwatch.functions.numeric import clamp_unit
 from quillwatch.functions.text import strip
 from quillwatch.functions.times import parse_iso
 from quillwatch.operators.alerts import alert_id_of, with_fingerprint
+from quillwatch.operators.extra import unknown_keys
 from quillwatch.operators.once import computed_once
 from quillwatch.schemas import LOG_RECORD
 from quillwatch.sources.lines import numbered_lines
@@ -44,7 +45,15 @@ def parse_log_lines(lines: DataFrame, *, mode: str = "failfast") -> DataFrame:
         .try_cast("bigint")
         .alias("whole_count"),
         F.when(problem.isNull(), F.json_object_keys("raw")).alias("fields"),
+        "document",
     )
+    known = [part.split()[0] for part in LOG_RECORD.split(", ")]
+    records = records.withColumn(
+        "extra",
+        F.when(
+            F.col("problem").isNull(), unknown_keys(F.col("document"), F.col("fields"), known)
+        ),
+    ).drop("document")
     if mode == "quarantine":
         return records
     message = F.concat(
@@ -76,7 +85,7 @@ def log_occurrences(
     """
     rows = records.where(F.col("problem").isNull()).where(
         F.coalesce(F.col("record.type"), F.lit(alert_type)) == alert_type
-    ).select("file", "line_no", "whole_count", "record.*")
+    ).select("file", "line_no", "whole_count", "extra", "record.*")
     missing = F.raise_error(F.lit("Alert record has no timestamp")).cast("timestamp")
     fallback = F.lit(loaded_at).cast("timestamp") if loaded_at else missing
     generated = _time(F.col("generated_at"), fallback)
@@ -123,6 +132,7 @@ def log_occurrences(
         "status_note",
         parse_iso(F.col("status_updated_at")).alias("status_updated_at"),
         "last_action",
+        "extra",
     )
 
 

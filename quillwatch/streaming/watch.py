@@ -23,6 +23,8 @@ from quillwatch.plans.reports import incidents_from_alerts
 from quillwatch.plans.store import AlertStore
 from quillwatch.schemas import AUDIT_ROW
 from quillwatch.sources.audit import accepted, normalize_events, quarantined
+from quillwatch.streaming.marks import Marks, later_than
+from quillwatch.streaming.watch_audit import append_epoch
 
 
 def read_audit_stream(
@@ -59,18 +61,9 @@ def late_counts(rows: DataFrame, mark: str) -> DataFrame:
 
 
 def split_late(
-    rows: DataFrame, marks: str, epoch: int, late_after: str
+    rows: DataFrame, mark: object | None, late_after: str
 ) -> tuple[DataFrame, DataFrame]:
-    """(fresh, late) rows of an epoch, and its newest event time written below ``marks``.
-
-    The mark is the newest event time of all earlier epochs, so a replayed epoch is split alike.
-    """
-    spark = rows.sparkSession
-    kind = "at timestamp, epoch bigint"
-    newest = rows.agg(F.max(F.col("event_time").cast("timestamp")).alias("at"))
-    newest.write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
-    earlier = spark.read.schema(kind).parquet(marks).where(F.col("epoch") < epoch)
-    mark = earlier.agg(F.max("at").alias("mark")).first()["mark"]
+    """(fresh, late) rows, late ones lying ``late_after`` or more behind the mark."""
     if mark is None:
         return rows, rows.where(F.lit(False))
     limit = F.lit(mark) - F.expr(f"interval {late_after}")
@@ -94,11 +87,20 @@ def watch(
     export_dir: str | None = None,
     outbox_dir: str | None = None,
     outbox_secret: str | None = None,
+    audit_dir: str | None = None,
+    since: str | None = None,
+    mark_dir: str | None = None,
+    fold_every: int = 20,
     interval_seconds: float | None = 10.0,
     once: bool = False,
 ) -> StreamingQuery:
     """Start the watch. ``once`` drains what is there and stops.
 
+    Only rows behind the start mark are taken: ``since`` if given, else the newest
+    (event_time, event_id) that watches with this ``mark_dir`` have seen, good or bad. A
+    checkpoint keeps its start over restarts. With ``audit_dir`` each batch of alerts adds one
+    record to a hash chain. Every ``fold_every`` change sets the store is folded.
+
     Bad rows go to ``quarantine_dir``; without one the first bad row stops the watch. With
     ``late_after`` rows that arrive that long behind the newest event time of earlier batches go
     to ``late_dir`` and no further. Exports hold the current state of the alerts a batch
@@ -110,13 +112,17 @@ def watch(
     if late_after and not late_dir:
         raise ValueError("late rows need late_dir")
 
+    spark = rows.sparkSession
+    marks = Marks(spark, mark_dir or f"{checkpoint.rstrip('/')}-marks", checkpoint)
+    begin = marks.start(since)
+
     def deliver(batch: DataFrame, epoch: int) -> None:
         batch_id = f"{stream_id}-{epoch:012d}"
-        batch = batch.persist()
+        batch = batch.where(later_than(batch, *begin)).persist()
         try:
             fresh = batch
             if late_after:
-                fresh, late = split_late(batch, f"{checkpoint.rstrip('/')}-marks", epoch, late_after)
+                fresh, late = split_late(batch, marks.before(epoch), late_after)
                 late.write.mode("overwrite").parquet(f"{late_dir}/{batch_id}")
             if quarantine_dir:
                 quarantined(normalize_events(fresh)).write.mode("overwrite").parquet(
@@ -126,11 +132,14 @@ def watch(
             else:
                 events = accepted(normalize_events(fresh, mode="failfast"))
             found = threshold(analyze(events, rules, detector=detector), min_risk, min_severity)
-            store_and_send(found.persist(), batch_id)
+            store_and_send(found.persist(), batch_id, epoch)
+            marks.advance(batch, epoch)
+            if fold_every and store.change_sets() >= fold_every:
+                store.compact()
         finally:
             batch.unpersist()
 
-    def store_and_send(found: DataFrame, batch_id: str) -> None:
+    def store_and_send(found: DataFrame, batch_id: str, epoch: int) -> None:
         try:
             # one clock value per epoch, taken from the data so that a replay repeats it
             generated_at = found.agg(iso_text(F.max("timestamp")).alias("t")).first()["t"]
@@ -156,6 +165,17 @@ def watch(
                 outbox(notices, secret=outbox_secret, sent_at=generated_at).write.mode(
                     "overwrite"
                 ).parquet(f"{outbox_dir}/{batch_id}")
+            if audit_dir:
+                details = found.agg(
+                    F.lit(batch_id).alias("batch_id"),
+                    F.count("*").alias("alert_count"),
+                    F.lit(f"{export_dir}/{batch_id}" if export_dir else None).alias("export_file"),
+                    F.lit(f"{outbox_dir}/{batch_id}" if outbox_dir else None).alias("outbox"),
+                )
+                append_epoch(
+                    spark, audit_dir, epoch, at=generated_at, status="success", details=details,
+                    chain=stream_id,
+                )
         finally:
             found.unpersist()
 

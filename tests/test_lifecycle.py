@@ -139,7 +139,7 @@ def test_store_life(spark, tmp_path):
     assert other.state().first().occurrence_count == 9
     assert "migrated" in {r.event_type for r in other.events().collect()}
     with pytest.raises(ValueError):
-        other.restore(str(tmp_path / "other/alerts/v0000000001-base"), overwrite=True)
+        other.restore(str(tmp_path / "other/alerts/version=v0000000001-base"), overwrite=True)
 
 
 def test_prune(spark, tmp_path):
