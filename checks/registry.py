@@ -1270,14 +1270,6 @@ register(
 
 # ---------------------------------------------------------------- exports and batches
 
-register(
-    "batch_envelopes",
-    lambda s, d: v.occurrences(s, d).groupBy("batch_id").agg(
-        F.count("*").alias("alert_count"), F.max("generated_at").alias("generated_at")
-    ),
-    sql(f"SELECT 'batch-1' AS batch_id, count(*) AS alert_count, {GENERATED_SQL} AS generated_at "
-        "FROM occ", "occ"),
-)
 register(
     "compacted_log",
     lambda s, d: exports.batch_records(v.states(s, d)).select(
@@ -1311,3 +1303,6 @@ register(
     lambda s, d: _stream_watch(s, d).select(*_ALERT_NAMES, "status"),
     sql(f"SELECT {ALERT_SQL}, 'new' AS status FROM al", "al"),
 )
+
+# Registers more queries by its import; it needs the names above.
+import checks.sink_queries  # noqa: E402,F401
