@@ -1109,6 +1109,11 @@ register(
         "WHERE increase IS NOT NULL GROUP BY t", "growth"),
 )
 _PREFIX = metrics.DEFAULT_PREFIX
+_HEADS = ", ".join(
+    f"'{line}'"
+    for name, kind, about in metrics.FAMILIES
+    for line in (f"# HELP {_PREFIX}_{name} {about}", f"# TYPE {_PREFIX}_{name} {kind}")
+) + f""", '{_PREFIX}_info{{version="1.0"}} 1', '{_PREFIX}_alert_store_up{{backend="parquet"}} 1'"""
 register(
     "exposition_lines",
     lambda s, d: metrics.exposition_lines(
@@ -1116,7 +1121,8 @@ register(
         .unionByName(metrics.alert_series(v.states(s, d)))
         .unionByName(metrics.incident_series(v.incidents(s, d)))
         .unionByName(metrics.component_series(v.probes(s, d)))
-    ).where("value not like '#%'"),
+        .unionByName(metrics.info_series(s, "1.0"))
+    ),
     sql(f"""SELECT '{_PREFIX}_http_requests_total{{method="' || m || '",path="' || route ||
           '",status="' || status_code || '"}} ' || count(*) AS value FROM routed
           GROUP BY m, route, status_code
@@ -1138,7 +1144,8 @@ register(
         UNION ALL SELECT '{_PREFIX}_component_probe_duration_seconds{{component="' || name || '"}} '
           || format('{{:.9f}}', duration_seconds) FROM probes
         UNION ALL SELECT '{_PREFIX}_component_required{{component="' || name || '"}} ' ||
-          CAST(required AS INT) FROM probes""", "routed", "states", "e_inc", "probes"),
+          CAST(required AS INT) FROM probes
+        UNION ALL SELECT unnest([{_HEADS}])""", "routed", "states", "e_inc", "probes"),
 )
 register(
     "escaped_labels",

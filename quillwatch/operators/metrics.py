@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwatch.functions.text import escape_label, strip
@@ -285,170 +285,168 @@ def counter_increase(
     return at.join(found.select(*keys, "at", increase.alias("increase")), [*keys, "at"], "left")
 
 
-def _labels(names: dict[str, Column]) -> Column:
-    if not names:
-        return F.lit("")
-    parts: list[Column] = []
-    for position, (name, value) in enumerate(names.items()):
-        parts += [F.lit(f'{"" if position == 0 else ","}{name}="'), escape_label(value), F.lit('"')]
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
+# Metric families in their order, each with kind and help text.
+FAMILIES = (
+    ("info", "gauge", "Package information."),
+    ("http_requests_total", "counter", "Total API HTTP requests."),
+    ("http_request_duration_seconds_sum", "counter", "Sum of API request durations."),
+    ("http_request_duration_seconds_count", "counter", "Count of measured API requests."),
+    ("alerts_total", "gauge", "Current deduplicated alerts by lifecycle status."),
+    ("alerts_by_severity", "gauge", "Current deduplicated alerts by severity."),
+    ("alert_store_up", "gauge", "Whether the configured alert store is readable."),
+    ("incidents_total", "gauge", "Current correlated incidents by status and severity."),
+    ("incident_recurrence_max", "gauge", "Maximum occurrences in an active incident."),
+    ("component_up", "gauge", "Last distributed component probe result."),
+    ("component_probe_duration_seconds", "gauge", "Last component probe duration."),
+    ("component_required", "gauge", "Whether the component is required for readiness."),
+)
+_POSITION = {name: place for place, (name, _, _) in enumerate(FAMILIES)}
+
+SERIES = "place int, part int, key array<string>, value string"
+
+
+def _sample(prefix: str, family: str, labels: dict[str, Column], value: Column) -> Column:
+    """A line of a family as (place, part, key, value); values of the labels are its order."""
+    texts = {name: F.coalesce(text.cast("string"), F.lit("unknown")) for name, text in labels.items()}
+    parts: list[Column] = [F.lit(f"{prefix}_{family}")]
+    for n, (name, text) in enumerate(texts.items()):
+        parts += [F.lit(f'{"," if n else "{"}{name}="'), escape_label(text), F.lit('"')]
+    parts.append(F.lit("} " if texts else " "))
+    return F.struct(
+        F.lit(_POSITION[family]).alias("place"),
+        F.lit(2).alias("part"),
+        F.array(*texts.values()).cast("array<string>").alias("key"),
+        F.concat(*parts, value.cast("string")).alias("value"),
+    )
 
 
-def series_rows(
-    frame: DataFrame, metric: str, kind: str, about: str, labels: dict[str, Column], value: Column
-) -> DataFrame:
-    """Rows ``metric, kind, help, labels, value`` of one metric family."""
-    return frame.select(
-        F.lit(metric).alias("metric"),
-        F.lit(kind).alias("kind"),
-        F.lit(about).alias("help"),
-        _labels(labels).alias("labels"),
-        value.cast("string").alias("value"),
-    )
+def _lines(frame: DataFrame, prefix: str, families: Sequence[str], samples: Column) -> DataFrame:
+    """Help and type lines of families, and the lines that each row of the frame gives."""
+    heads = [
+        (place, part, [], f"# {word} {prefix}_{name} {text}")
+        for place, (name, kind, about) in enumerate(FAMILIES)
+        if name in families
+        for part, word, text in ((0, "HELP", about), (1, "TYPE", kind))
+    ]
+    constant = frame.sparkSession.createDataFrame(heads, SERIES)
+    lines = frame.select(F.explode(F.array_compact(samples)).alias("line")).select("line.*")
+    return constant.unionByName(lines)
 
 
 def nine_digits(value: Column) -> Column:
     return F.format_string("%.9f", value)
 
 
+def info_series(spark: SparkSession, version: str, prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    line = _sample(prefix, "info", {"version": F.lit(version)}, F.lit(1))
+    return _lines(spark.range(1), prefix, ["info"], F.array(line))
+
+
 def request_series(access_log: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
-    counts, durations = request_counts(access_log), request_durations(access_log)
-    route = {"method": F.col("method"), "path": F.col("route")}
-    name = f"{prefix}_http_request_duration_seconds"
-    return (
-        series_rows(
-            counts,
-            f"{prefix}_http_requests_total",
-            "counter",
-            "Total API HTTP requests.",
-            {**route, "status": F.col("status_code").cast("string")},
-            F.col("requests"),
-        )
-        .unionByName(
-            series_rows(
-                durations,
-                f"{name}_sum",
-                "counter",
-                "Sum of API request durations.",
-                route,
-                nine_digits(F.col("duration_sum")),
-            )
-        )
-        .unionByName(
-            series_rows(
-                durations,
-                f"{name}_count",
-                "counter",
-                "Count of measured API requests.",
-                route,
-                F.col("duration_count"),
-            )
+    """Counters of requests by route and status, and of durations by route, from one grouping."""
+    seconds = F.greatest(F.col("duration_seconds"), F.lit(0.0)).cast("decimal(28,12)")
+    names = ("method", "route", "status_code")
+    grouped = (
+        _routed(access_log)
+        .select(*names, seconds.alias("seconds"))
+        .groupingSets([list(names), list(names[:2])], *names)
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("seconds").cast("double").alias("total"),
+            F.grouping("status_code").alias("whole_route"),
         )
     )
+    route = {"method": F.col("method"), "path": F.col("route")}
+    whole = F.col("whole_route") == 1
+    duration = "http_request_duration_seconds"
+    samples = F.array(
+        F.when(
+            ~whole,
+            _sample(prefix, "http_requests_total", {**route, "status": F.col("status_code")}, F.col("n")),
+        ),
+        F.when(whole, _sample(prefix, f"{duration}_sum", route, nine_digits(F.col("total")))),
+        F.when(whole, _sample(prefix, f"{duration}_count", route, F.col("n"))),
+    )
+    families = ["http_requests_total", f"{duration}_sum", f"{duration}_count"]
+    return _lines(grouped, prefix, families, samples)
 
 
-def alert_series(alerts: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
-    families = []
-    for column, metric, about in (
-        ("status", "alerts_total", "Current deduplicated alerts by lifecycle status."),
-        ("severity", "alerts_by_severity", "Current deduplicated alerts by severity."),
-    ):
-        counts = alerts.groupBy(F.coalesce(column, F.lit("unknown")).alias(column)).agg(
-            F.count("*").alias("n")
-        )
-        families.append(
-            series_rows(
-                counts, f"{prefix}_{metric}", "gauge", about, {column: F.col(column)}, F.col("n")
-            )
-        )
-    return families[0].unionByName(families[1])
+def alert_series(
+    alerts: DataFrame, prefix: str = DEFAULT_PREFIX, *, backend: str = "parquet"
+) -> DataFrame:
+    """Gauges of alerts by status and by severity from one grouping, and that the store is up."""
+    names = ("status", "severity")
+    # a row of its own for the store, so that it is told of an empty one too
+    store = alerts.sparkSession.range(1).select(
+        F.lit("").alias("status"), F.lit("").alias("severity"), F.lit(True).alias("store")
+    )
+    rows = alerts.select(
+        *(F.coalesce(c, F.lit("unknown")).alias(c) for c in names), F.lit(False).alias("store")
+    ).unionByName(store)
+    grouped = rows.groupingSets([["store", "status"], ["store", "severity"]], "store", *names).agg(
+        F.count("*").alias("n"), F.grouping("severity").alias("by_status")
+    )
+    by_status, store = F.col("by_status") == 1, F.col("store")
+    samples = F.array(
+        F.when(
+            ~store & by_status,
+            _sample(prefix, "alerts_total", {"status": F.col("status")}, F.col("n")),
+        ),
+        F.when(
+            ~store & ~by_status,
+            _sample(prefix, "alerts_by_severity", {"severity": F.col("severity")}, F.col("n")),
+        ),
+        F.when(
+            store & by_status,
+            _sample(prefix, "alert_store_up", {"backend": F.lit(backend)}, F.lit(1)),
+        ),
+    )
+    return _lines(grouped, prefix, ["alerts_total", "alerts_by_severity", "alert_store_up"], samples)
+
+
+def store_down_series(spark: SparkSession, prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    """In place of alert and incident series while the store cannot be read."""
+    line = _sample(prefix, "alert_store_up", {"backend": F.lit("unknown")}, F.lit(0))
+    return _lines(spark.range(1), prefix, ["alert_store_up"], F.array(line))
 
 
 def incident_series(incidents: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
-    counts = incidents.groupBy("status", "severity").agg(F.count("*").alias("n"))
+    """Gauges of incidents by status and severity and the greatest recurrence, from one grouping."""
+    names = ("status", "severity")
     active = F.when(F.col("status") != "resolved", F.col("occurrence_count"))
-    recurrence = incidents.agg(F.coalesce(F.max(active), F.lit(0)).alias("n"))
-    return series_rows(
-        counts,
-        f"{prefix}_incidents_total",
-        "gauge",
-        "Current correlated incidents by status and severity.",
-        {"status": F.col("status"), "severity": F.col("severity")},
-        F.col("n"),
-    ).unionByName(
-        series_rows(
-            recurrence,
-            f"{prefix}_incident_recurrence_max",
-            "gauge",
-            "Maximum occurrences in an active incident.",
-            {},
-            F.col("n"),
-        )
+    # a row without status or severity, so that the total is told of no incidents too
+    nobody = incidents.sparkSession.range(1).select(
+        *(F.lit(None).cast("string").alias(c) for c in names), F.lit(0).cast("bigint").alias("active")
+    )
+    rows = incidents.select(*names, active.cast("bigint").alias("active")).unionByName(nobody)
+    grouped = rows.groupingSets([list(names), []], *names).agg(
+        F.count("*").alias("n"), F.max("active").alias("most"), F.grouping("status").alias("all")
+    )
+    total = F.col("all") == 1
+    labels = {c: F.col(c) for c in names}
+    samples = F.array(
+        F.when(
+            ~total & F.col("status").isNotNull(),
+            _sample(prefix, "incidents_total", labels, F.col("n")),
+        ),
+        F.when(total, _sample(prefix, "incident_recurrence_max", {}, F.col("most"))),
     )
+    return _lines(grouped, prefix, ["incidents_total", "incident_recurrence_max"], samples)
 
 
 def component_series(probes: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    """Three gauges of each component, from one pass."""
     label = {"component": F.col("name")}
     up = F.when(F.col("healthy"), F.lit(1)).otherwise(F.lit(0))
     need = F.when(F.col("required"), F.lit(1)).otherwise(F.lit(0))
-    return (
-        series_rows(
-            probes,
-            f"{prefix}_component_up",
-            "gauge",
-            "Last distributed component probe result.",
-            label,
-            up,
-        )
-        .unionByName(
-            series_rows(
-                probes,
-                f"{prefix}_component_probe_duration_seconds",
-                "gauge",
-                "Last component probe duration.",
-                label,
-                nine_digits(F.col("duration_seconds")),
-            )
-        )
-        .unionByName(
-            series_rows(
-                probes,
-                f"{prefix}_component_required",
-                "gauge",
-                "Whether the component is required for readiness.",
-                label,
-                need,
-            )
-        )
+    families = ["component_up", "component_probe_duration_seconds", "component_required"]
+    values = (up, nine_digits(F.col("duration_seconds")), need)
+    samples = F.array(
+        *(_sample(prefix, f, label, v) for f, v in zip(families, values, strict=True))
     )
+    return _lines(probes, prefix, families, samples)
 
 
 def exposition_lines(series: DataFrame) -> DataFrame:
-    """Ordered text lines: a help and a type line per metric, then its samples."""
-    samples = series.select(
-        "metric",
-        F.lit(2).alias("part"),
-        "labels",
-        F.concat("metric", "labels", F.lit(" "), "value").alias("value"),
-    )
-    heads = (
-        series.groupBy("metric")
-        .agg(F.max("kind").alias("kind"), F.max("help").alias("help"))
-        .select(
-            "metric",
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.lit(0).alias("part"),
-                        F.concat(F.lit("# HELP "), "metric", F.lit(" "), "help").alias("value"),
-                    ),
-                    F.struct(
-                        F.lit(1).alias("part"),
-                        F.concat(F.lit("# TYPE "), "metric", F.lit(" "), "kind").alias("value"),
-                    ),
-                )
-            ).alias("h"),
-        )
-        .select("metric", "h.part", F.lit("").alias("labels"), "h.value")
-    )
-    return samples.unionByName(heads).orderBy("metric", "part", "labels").select("value")
+    """Ordered text lines of series: families in their order, help and type before the samples."""
+    return series.orderBy("place", "part", "key").select("value")
