@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,8 @@ def flushed(rows: Iterator[tuple], make: Callable, limit: int = 4 << 20) -> Iter
 
 # ---------------------------------------------------------------- hashes of words
 
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 128
 _RANDOM = np.random.default_rng(20240229)
 BYTE_CODES = _RANDOM.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -211,4 +214,9 @@ def word_hashes(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each lower-cased word, first word of each text and the end)."""
     low, starts, ends, first = words_of(data, offsets, mapping)
-    return range_hashes(prefix_hashes(low), starts, ends), first
+    hashes = range_hashes(prefix_hashes(low), starts, ends)
+    # modulo 2**64, some long words of two letters share their polynomial whatever its base
+    for at in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = blake2b(low[starts[at] : ends[at]].tobytes(), digest_size=8).digest()
+        hashes[at] = int.from_bytes(digest, "little")
+    return hashes, first

@@ -362,6 +362,37 @@ def leaf_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts_of(docs, ids).mapInArrow(read, "node long, n long, bits array<long>, slack long")
 
 
+#: Trees that a task keeps; pages stand in several pairs, most of them close together.
+TREES_KEPT = 64
+
+
+class Pages:
+    """A column of pages, each a list of sets, as arrays over all sets of the column."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        self.starts = column.offsets.to_numpy()
+        sets = column.values
+        self.fields = {
+            name: sets.field(name).to_numpy(zero_copy_only=False)
+            for name in ("node", "comp", "n", "rest")
+        }
+        bits = sets.field("bits")
+        flat = bits.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        first = int(bits.offsets[0].as_py()) if len(bits) else 0
+        self.bits = flat[first : first + len(bits) * BITMAP_WORDS].reshape(-1, BITMAP_WORDS)
+
+    def tree(self, at: int, kept: dict) -> tuple[np.ndarray, Tree]:
+        """Ids and tree of a page, from ``kept`` if it was built lately."""
+        part = slice(self.starts[at], self.starts[at + 1])
+        node, comp, n, rest = (self.fields[k][part] for k in ("node", "comp", "n", "rest"))
+        name = node.tobytes() + rest.tobytes()
+        if name not in kept:
+            if len(kept) >= TREES_KEPT:
+                del kept[next(iter(kept))]
+            kept[name] = node, build_tree(n, self.bits[part], comp, rest)
+        return kept[name]
+
+
 def tree_pairs(buckets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b), a < b, of buckets (token, node, comp, rest, n, bits, slack).
 
@@ -413,19 +444,12 @@ def tree_pairs(buckets: DataFrame) -> DataFrame:
     )
     lone = lone.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
-    def arrays(sets: list[dict]) -> tuple[np.ndarray, Tree]:
-        tree = build_tree(
-            np.array([s["n"] for s in sets], dtype=np.int64),
-            np.array([s["bits"] for s in sets], dtype=np.int64).view(np.uint64),
-            np.array([s["comp"] for s in sets], dtype=np.int64),
-            np.array([s["rest"] for s in sets], dtype=np.int64),
-        )
-        return np.array([s["node"] for s in sets], dtype=np.int64), tree
-
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[bytes, tuple[np.ndarray, Tree]] = {}
         for batch in batches:
+            left, right = (Pages(batch.column(k)) for k in (0, 1))
             for at in range(batch.num_rows):
-                (u, x), (v, y) = (arrays(batch.column(k)[at].as_py()) for k in (0, 1))
+                (u, x), (v, y) = left.tree(at, trees), right.tree(at, trees)
                 i, j = dual(x, y)
                 a, b = np.minimum(u[i], v[j]), np.maximum(u[i], v[j])
                 pairs = np.unique(np.stack([a, b])[:, a < b], axis=1)

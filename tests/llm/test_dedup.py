@@ -242,3 +242,14 @@ def test_suffix_order_is_the_sorted_order():
     text = [bytes(symbols[k // 30][k % 30 :]).split(b"\0")[0] for k in order]
     assert text == sorted(text)
     assert len(order) == wanted.sum()
+
+
+def test_long_words_of_two_letters_do_not_link(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word), (4, f"x {other} y")]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
