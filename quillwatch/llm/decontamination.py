@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from quillwatch.llm.common import ALNUM_MAP, bound_batches, fresh, give_back, materialize
 
 WINDOW = 10
-#: Bytes of item text in one automaton. Its patterns take about WINDOW times as much; items
-#: beyond the bound go to further automata, each with a scan of its own.
-MAX_ITEM_BYTES = 1 << 20
+#: Words of an anchor, and words from one anchor of an item to the next. A window is as long as
+#: an anchor and all but one of these words, so every window holds a whole anchor.
+ANCHOR, STRIDE = 4, 7
+#: Bytes of item text in one automaton, which takes some 80 times as much with its windows;
+#: items beyond the bound go to further automata, each with a scan of its own.
+MAX_ITEM_BYTES = 6 << 20
 
 _MAP = ALNUM_MAP.tobytes()
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_automata: dict[str, ahocorasick.Automaton] = {}
+_automata: dict[str, Items] = {}
 
 SCAN = (
     "struct<n_words long, n_hit long, items array<string>, "
@@ -39,48 +42,78 @@ def tidy(text: str | None) -> list[str]:
     return [w for w in words_of(text) if w]
 
 
-def windows_of(items: list[tuple[str, str | None]]) -> list[tuple[str, int, tuple[str, ...]]]:
-    """(window between blanks, its number of words, ids of the items that have it)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = tidy(text)
-        size = min(WINDOW, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            key = f" {' '.join(words[i : i + size])} "
-            found.setdefault(key, (size, set()))[1].add(item)
-    return [(k, size, tuple(sorted(ids))) for k, (size, ids) in sorted(found.items())]
+class Items:
+    """The windows of the items, and one automaton that finds where a window can stand.
 
+    Items of less than WINDOW words are patterns as a whole; of the others the ANCHOR words at
+    every STRIDE-th word are, so the automaton is no larger than the text of the items.
+    """
 
-def automaton(
-    name: str, windows: list[tuple[str, int, tuple[str, ...]]]
-) -> ahocorasick.Automaton:
+    def __init__(self, rows: list[tuple[str | None, str | None]]) -> None:
+        found: dict[str, set[str | None]] = {}
+        marks: dict[str, list] = {}  # pattern: [is an anchor, words of the short item, its ids]
+        for item, text in rows:
+            words = tidy(text)
+            n = len(words)
+            if n < WINDOW:
+                if n:
+                    mark = marks.setdefault(f" {' '.join(words)} ", [False, n, set()])
+                    mark[2].add(item)
+                continue
+            for i in range(n - WINDOW + 1):
+                found.setdefault(" ".join(words[i : i + WINDOW]), set()).add(item)
+            for i in range(0, n - ANCHOR + 1, STRIDE):
+                key = f" {' '.join(words[i : i + ANCHOR])} "
+                marks.setdefault(key, [False, ANCHOR, set()])[0] = True
+        shared: dict[frozenset, frozenset] = {}  # one set for all windows of the same items
+        self.windows = {
+            key: shared.setdefault(ids, ids) for key, ids in ((k, frozenset(v)) for k, v in found.items())
+        }
+        self.machine = ahocorasick.Automaton()
+        for key, (anchor, size, ids) in marks.items():
+            self.machine.add_word(key, (anchor, size, frozenset(ids)))
+        self.machine.make_automaton()
+
+    def hits(self, words: list[str]) -> Iterator[tuple[int, int, frozenset]]:
+        """(first word, last word, items) of every occurrence of a window."""
+        if not len(self.machine):
+            return
+        ends: np.ndarray | None = None
+        done = 0  # starts before it were looked at
+        for at, (anchor, size, ids) in self.machine.iter(f" {' '.join(words)} "):
+            if ends is None:  # place of the blank behind each word
+                ends = np.cumsum([len(w) + 1 for w in words])
+            last = int(np.searchsorted(ends, at))
+            if ids:
+                yield last - size + 1, last, ids
+            if anchor:
+                until = min(last - ANCHOR + 2, len(words) - WINDOW + 1)
+                for start in range(max(done, last - WINDOW + 1), until):
+                    owners = self.windows.get(" ".join(words[start : start + WINDOW]))
+                    if owners:
+                        yield start, start + WINDOW - 1, owners
+                done = max(done, until)
+
+
+def built(name: str, rows: list[tuple[str | None, str | None]]) -> Items:
     """Built once in each Python worker."""
     if name not in _automata:
         _automata.clear()
-        made = ahocorasick.Automaton()
-        for key, size, ids in windows:
-            made.add_word(key, (size, ids))
-        made.make_automaton()
-        _automata[name] = made
+        _automata[name] = Items(rows)
     return _automata[name]
 
 
 def find(
-    machine: ahocorasick.Automaton, text: str | None, before: dict | None
-) -> tuple[int, int, list[str], list[dict], list[dict]]:
+    items: Items, text: str | None, before: dict | None
+) -> tuple[int, int, list[str | None], list[dict], list[dict]]:
     """Hits of one text, joined with those that earlier automata found in it."""
     words = tidy(text)
     n = len(words)
-    items = set(before["items"]) if before else set()
+    ids = set(before["items"]) if before else set()
     runs = [(r["first"], r["last"]) for r in before["runs"]] if before else []
-    if len(machine):
-        ends: np.ndarray | None = None
-        for at, (size, ids) in machine.iter(f" {' '.join(words)} "):
-            if ends is None:  # place of the blank behind each word
-                ends = np.cumsum([len(w) + 1 for w in words])
-            last = int(np.searchsorted(ends, at))
-            runs.append((last - size + 1, last))
-            items.update(ids)
+    for first, last, owners in items.hits(words):
+        runs.append((first, last))
+        ids |= owners
     if not runs:
         return n, 0, [], [], []
     merged: list[list[int]] = []
@@ -92,7 +125,8 @@ def find(
     places = [m.span() for m in _WORD.finditer(text or "")]
     spans = [{"start": places[a][0], "end": places[b][1]} for a, b in merged]
     hit = sum(b - a + 1 for a, b in merged)
-    return n, hit, sorted(items), [{"first": a, "last": b} for a, b in merged], spans
+    names = sorted(ids, key=lambda i: (i is not None, i or ""))
+    return n, hit, names, [{"first": a, "last": b} for a, b in merged], spans
 
 
 _FIELDS = {
@@ -109,9 +143,9 @@ def scanner(shared: Broadcast) -> Callable[..., Column]:
 
     @F.arrow_udf(SCAN)
     def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
-        machine = automaton(*shared.value)
+        items = built(*shared.value)
         rows = [
-            dict(zip(_FIELDS, find(machine, a, b), strict=True))
+            dict(zip(_FIELDS, find(items, a, b), strict=True))
             for a, b in zip(texts.to_pylist(), before.to_pylist(), strict=True)
         ]
         give_back()
@@ -120,8 +154,13 @@ def scanner(shared: Broadcast) -> Callable[..., Column]:
     return scan
 
 
-def item_groups(items: DataFrame) -> list[DataFrame]:
-    """The items cut by a hash into frames of about MAX_ITEM_BYTES of text each."""
+def item_groups(benchmark: DataFrame) -> list[DataFrame]:
+    """Different items with words, cut by a hash into frames of about MAX_ITEM_BYTES of text."""
+    items = (
+        benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
+        .where(F.col("text").rlike(_WORD.pattern))
+        .distinct()
+    )
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = -(-size // MAX_ITEM_BYTES) or 1
     part = F.pmod(F.xxhash64("id", "text"), F.lit(groups))
@@ -139,15 +178,11 @@ def scan_items(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text"
-    )
     found: Column = F.lit(None).cast(SCAN)
-    groups = item_groups(items)
+    groups = item_groups(benchmark)
     for group in groups:
         rows = [(r["id"], r["text"]) for r in group.collect()]  # of bounded size
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, windows_of(rows)))
-
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
         docs = docs.withColumn(name, scanner(shared)(F.col(text), found))
         if len(groups) > 1:
             docs = materialize(docs)
@@ -160,9 +195,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is WINDOW consecutive words of an item, or a shorter item as a whole; a document
     word inside any occurrence of a window is hit. Null and wordless texts have no words and no
-    hits, null and wordless items no windows. Items are told apart by item_id (null is the id
-    ``null``), so rows repeated with one id are one item; repeated documents are judged row by
-    row. An empty table on either side gives no hits; further columns are ignored.
+    hits, null and wordless items no windows. Items are told apart by item_id, so rows repeated
+    with one id are one item; those with a null id are one item too, which counts in n_items and
+    has no text in items_sha256. Repeated documents are judged row by row. An empty table on either side gives no hits; further columns are ignored.
     """
     docs = scan_items(documents.select("doc_id", "text"), benchmark, "found")
     return docs.select(
@@ -177,7 +212,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any window of the benchmark, with all their columns."""
+    """The documents without any window of the benchmark, with all their columns.
+
+    Documents of null, empty or wordless text stay, as do all for a benchmark without words; of
+    repeated rows each stays or goes by its own text. Ids are not read.
+    """
     (name,) = fresh(docs, "benchmark_scan")
     return scan_items(docs, benchmark, name).where(F.col(f"{name}.n_hit") == 0).drop(name)
 

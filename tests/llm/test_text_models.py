@@ -155,6 +155,34 @@ def test_contamination_against_python(spark, monkeypatch, bound):
     assert {r.doc_id for r in left.collect()} == {k for k, v in want.items() if not v[1]}
 
 
+def test_a_large_benchmark_is_one_pass(spark):
+    """5 MB of items, many with passages in common, in one automaton; every planted window is hit."""
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(40_000)]
+    shared = " ".join(rng.choices(vocabulary, k=30))
+    items = [(i, " ".join(rng.choices(vocabulary, k=200)) + (" " + shared) * (i % 3 == 0)) for i in range(2_600)]
+    assert sum(len(t) for _, t in items) > 5 << 20 and max(len(t) for _, t in items) < 4000
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontamination.item_groups(bench)) == 1
+    rows = [(0, " ".join(shared.split()[3:13])), (1, " ".join(shared.split()[3:12]))]
+    for i in range(2, 30):
+        words, a = items[i][1].split(), rng.randrange(190)
+        rows.append((i, " ".join(rng.choices(vocabulary, k=20) + words[a : a + 10] + rng.choices(vocabulary, k=5))))
+    got = {r.doc_id: r for r in decontamination.find_contamination(frame(spark, [(*r, None) for r in rows]), bench).collect()}
+    assert (got[0].n_items, got[0].n_hit, got[1].n_hit) == (867, 10, 0)
+    assert all((got[i].n_items, got[i].n_hit) == (1, 10) for i in range(2, 30))
+
+
+def test_contamination_of_null_ids_and_anchors_as_items(spark):
+    """Null ids are one item; an item that is an anchor of another counts by itself."""
+    long = " ".join(f"w{i}" for i in range(12))
+    items = [(None, long), (None, "tiny one"), (5, "w0 w1 w2 w3"), (6, None), (7, "..")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, long), (2, "x w0 w1 w2 w3 y"), (3, "a tiny one"), (4, "w1 w2 w3 w4")]
+    got = decontamination.find_contamination(frame(spark, [(*r, None) for r in rows]), bench).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == {1: (12, 2), 2: (4, 1), 3: (2, 1), 4: (0, 0)}
+
+
 def test_contamination_without_items_or_documents(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.find_contamination(frame(spark, [(1, "a b", None)]), empty).collect()
