@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,11 @@ PART_BYTES, BLOCKS = 32 << 20, 8
 HELD = 1 << 20
 #: Occurrences of one gram that a block takes; beyond it its strings are grouped by Spark.
 HOT = 100_000
+#: Hot grams that are listed one by one; beyond it a filter of so many bits tells them. Grams that
+#: it takes by mistake go the way of the hot ones too, so results stay exact.
+HOT_LIST, HOT_BITS = 1 << 20, 1 << 28
+#: A string that has more than one of so many hot rows is frequent: fewer than so many can be.
+FREQUENT = 2000
 #: Bytes of the filter of shared grams that may be broadcast; beyond it they are joined by id.
 FILTER_BYTES, BITS, HASHES = 32 << 20, 16, 3
 #: Removed runs that may be broadcast, some 40 bytes each; beyond it they are joined by id.
@@ -143,9 +149,8 @@ def reduced(
     )
 
 
-def sampled(docs: DataFrame, parts: int, many: np.ndarray) -> DataFrame:
+def sampled(docs: DataFrame, parts: int, hot: Broadcast) -> DataFrame:
     """(part, docs, counts, keys): different sampled grams of documents, without the hot ones."""
-    hot = docs.sparkSession.sparkContext.broadcast(many)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +160,7 @@ def sampled(docs: DataFrame, parts: int, many: np.ndarray) -> DataFrame:
                 counts = np.array([len(h) for h in found])
                 keys = np.concatenate([*found, np.zeros(0, np.uint64)])
                 of = np.repeat(np.arange(last - first), counts)
-                rest = ~listed(keys, hot.value)
+                rest = ~hot.value.holds(keys)
                 keys, of = keys[rest], of[rest]
                 part = part_of(keys, parts)
                 order = np.argsort(part, kind="stable")
@@ -280,6 +285,51 @@ class GramFilter:
         return out
 
 
+@dataclass(frozen=True)
+class HotGrams:
+    """Grams of more than HOT occurrences: a sorted list, or a filter of bounded size."""
+
+    grams: np.ndarray
+    bits: np.ndarray
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.bits):
+            return listed(keys, self.grams)
+        keys = keys >> np.uint64(16) << np.uint64(16)
+        out = np.ones(len(keys), dtype=bool)
+        for k in range(HASHES):
+            at = bit_of(keys, np.uint64(len(self.bits) * 8), k)
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def hot_grams(filters: DataFrame) -> HotGrams:
+    """The hot grams of all parts; what reaches the driver has HOT_LIST entries or HOT_BITS bits."""
+    rows = filters.where("length(hot) > 0").select("hot")
+    count = (rows.agg(F.sum(F.length("hot")).alias("n")).first()["n"] or 0) // 8
+    none = np.zeros(0, dtype=np.uint64)
+    if count <= HOT_LIST:
+        grams = [np.frombuffer(r["hot"], dtype=np.uint64) for r in rows.collect()]
+        return HotGrams(np.sort(np.concatenate([none, *grams])), none.astype(np.uint8))
+    size = HOT_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                keys = np.frombuffer(blob, dtype=np.uint64)
+                for a in range(0, len(keys), 1 << 16):
+                    some = keys[a : a + (1 << 16)]
+                    at = np.concatenate([bit_of(some, np.uint64(size), k) for k in range(HASHES)])
+                    flags = np.int64(1) << (at & 31)
+                    yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(flags)], ["word", "flag"])
+
+    marks = rows.mapInArrow(mark, "word long, flag long").groupBy("word").agg(F.bit_or("flag").alias("flag"))
+    bits = np.zeros(size // 32, dtype="<u4")
+    got = marks.select("word", "flag").toArrow()  # a row for each 32 bits of the filter at most
+    bits[got.column("word").to_numpy()] = got.column("flag").to_numpy().astype("<u4")
+    return HotGrams(none, bits.view(np.uint8))
+
+
 def join_filters(rows: list, parts: int) -> GramFilter:
     bits, starts = np.zeros(parts, dtype=np.uint64), np.zeros(parts, dtype=np.int64)
     blobs, size = [b"\0"], 1
@@ -443,6 +493,24 @@ def words_at(symbols: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(views[at]).view(">u8").astype(np.uint64).T)
 
 
+def common_prefixes(words: np.ndarray) -> np.ndarray:
+    """Common symbols of each place with the one before it in order, 56 at most; 0 for the first.
+
+    ``words`` are the numbers of ``words_at``, one column per place.
+    """
+    out = np.zeros(words.shape[1], dtype=np.int64)
+    if words.shape[1] < 2:
+        return out
+    differ = words[:, 1:] ^ words[:, :-1]
+    which = (differ != 0).argmax(axis=0)
+    first = np.take_along_axis(differ, which[None, :], axis=0)[0]
+    same = np.zeros(len(first), dtype=np.int64)  # leading zero bytes of the first difference
+    for byte in range(1, 8):
+        same += first < np.uint64(1 << (8 * byte))
+    out[1:] = np.where(first == 0, 56, 8 * which + same)
+    return out
+
+
 def first_owners(
     pieces: np.ndarray, before: np.ndarray, behind: np.ndarray, owner: np.ndarray
 ) -> np.ndarray:
@@ -457,9 +525,7 @@ def first_owners(
     order = suffix_order(symbols, SIDE + SEED + behind, starts)
     out = np.full((len(pieces), SIDE + 1), np.iinfo(np.int64).max)
     if len(order):
-        words = np.stack(words_at(symbols, order))
-        words[6] >>= np.uint64(8 * (56 - LENGTH))  # the common prefix counts up to LENGTH
-        heads = np.append(True, (words[:, 1:] != words[:, :-1]).any(axis=0))
+        heads = common_prefixes(np.stack(words_at(symbols, order))) < LENGTH
         row, col = order // (WIDTH + 1), order % (WIDTH + 1)
         least = np.minimum.reduceat(owner[row], np.flatnonzero(heads))
         out[row, col] = least[np.cumsum(heads) - 1]
@@ -504,14 +570,17 @@ def merged(who: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return who[head], start[head], start[tail] + LENGTH
 
 
-def hot_spans(docs: DataFrame, grams: np.ndarray) -> DataFrame:
-    """The spans around grams of very many documents: each string is a row, grouped by Spark."""
+def hot_spans(docs: DataFrame, hot: Broadcast) -> DataFrame:
+    """The spans around grams of very many documents: each string is a row, grouped by Spark.
 
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
+    The owners come from a grouping with a map-side part. Those of frequent strings, fewer than
+    FREQUENT by their definition, are broadcast to the rows; the rows of all other strings are
+    joined with their owners, so no key of that shuffle has more than one in FREQUENT of them.
+    """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, at, _ in found_in(batch, lambda k: listed(k, shared.value)):
+            for key, text, at, _ in found_in(batch, hot.value.holds):
                 starts = np.unique((at[:, None] - np.arange(SIDE + 1)).ravel())
                 starts = starts[(starts >= 0) & (starts + LENGTH <= len(text))]
                 for a in range(0, len(starts), 1 << 16):
@@ -526,11 +595,19 @@ def hot_spans(docs: DataFrame, grams: np.ndarray) -> DataFrame:
                     )
 
     rows = materialize(docs.mapInArrow(strings, "doc_id long, start long, string binary"))
-    least = rows.groupBy("string").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"))
-    return (
-        rows.join(least.where("owner < top"), "string")
-        .where("owner < doc_id")
-        .select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    owners = materialize(
+        rows.groupBy("string")
+        .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n"))
+        .where("owner < top")
+    )
+    bound = (owners.agg(F.sum("n").alias("n")).first()["n"] or 0) // FREQUENT
+    often = F.broadcast(owners.where(F.col("n") > bound + 1).select("string", "owner"))
+    rare = owners.where(F.col("n") <= bound + 1).select("string", "owner")
+    found = rows.join(often, "string").unionByName(
+        rows.join(often.select("string"), "string", "left_anti").join(rare, "string")
+    )
+    return found.where("owner < doc_id").select(
+        "doc_id", "start", (F.col("start") + LENGTH).alias("end")
     )
 
 
@@ -596,24 +673,23 @@ def remove_repeats(
     texts = named.join(small_side(copies.select("doc_id")), "doc_id", "left_anti")
     size = named.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = -(-size // part_bytes) or 1
-    hot = max(hot, size // 10**7)  # so at most some 10**5 grams are hot
     filters = materialize(gram_filters(counted(texts, parts), hot))
     sizes = filters.agg(F.sum(F.length("filter")).alias("n")).first()["n"] or 0
-    often = [np.frombuffer(r["hot"], dtype=np.uint64) for r in filters.where("length(hot) > 0").select("hot").collect()]
-    many = np.concatenate([*often, np.zeros(0, dtype=np.uint64)])
+    found_hot = hot_grams(filters)
+    many = docs.sparkSession.sparkContext.broadcast(found_hot)
     if sizes <= filter_bytes:
         found = filters.select("part", "bits", "filter").collect()  # of checked size
         shared = docs.sparkSession.sparkContext.broadcast(join_filters(found, parts))
 
         def wanted(keys: np.ndarray) -> np.ndarray:
-            return shared.value.holds(keys) & ~listed(keys, many)
+            return shared.value.holds(keys) & ~many.value.holds(keys)
 
         blocks = blocks_of(texts, parts * BLOCKS, wanted)
     else:
         lists = texts.join(gram_lists(sampled(texts, parts, many)), "doc_id").select("doc_id", "text", "grams")
         blocks = blocks_of(lists, parts * BLOCKS, None)
     spans = repeated_spans(blocks)
-    if len(many):
+    if len(found_hot.grams) or len(found_hot.bits):
         spans = spans.unionByName(hot_spans(texts, many))
     spans = spans.unionByName(
         copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))

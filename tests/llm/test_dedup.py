@@ -202,6 +202,34 @@ def test_repeats_against_python(spark, hot, part, most):
     assert digests(got) == repeats_brute(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_hot_grams_beyond_the_list_and_frequent_strings(spark, monkeypatch, most):
+    """A filter that takes many grams by mistake, and strings above and below the frequent bound."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LIST", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_BITS", 1 << 9)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 40)
+    rows = corpus(4) + [(700 + k, f"{k} " + "=" * 90 + f" {k}") for k in range(30)]
+    rows += [(800 + k, f"{k}{k} a line that stands in a few of the texts, of over fifty bytes {k}") for k in range(6)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), hot=2, part_bytes=2000, filter_bytes=most).collect()
+    assert digests(got) == repeats_brute(rows)
+
+
+def test_common_prefixes_are_those_of_the_bytes():
+    rng = np.random.default_rng(1)
+    texts = rng.integers(97, 99, (300, 80), dtype=np.uint8)
+    texts[50:90] = texts[50]
+    texts[60:70, 49] = 120
+    symbols = np.ascontiguousarray(texts[np.lexsort(texts.T[::-1])])
+    words = np.stack(suffix_dedup.words_at(symbols, np.arange(300) * 80))
+    got = suffix_dedup.common_prefixes(words)
+    want = [0]
+    for a, b in zip(symbols, symbols[1:], strict=False):
+        differ = np.flatnonzero(a[:56] != b[:56])
+        want.append(int(differ[0]) if len(differ) else 56)
+    assert got.tolist() == want
+    assert suffix_dedup.common_prefixes(words[:, :0]).tolist() == []
+
+
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_a_separator_line_is_reduced_before_it_is_dealt(spark, monkeypatch, most):
     """One gram 57 times in every third text must not meet in one group occurrence by occurrence."""
