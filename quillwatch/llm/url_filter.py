@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: A level above this size is refused, so what is broadcast stays bounded.
-MAX_LEVEL_MB = 256
+#: Size of a level that a broadcast should not pass. More keys are cut by their hash into shards
+#: with a cascade each, and the pages are looked up shard after shard.
+MAX_LEVEL_MB = 64
 
 
 def host_of(url: Column) -> Column:
@@ -63,12 +65,14 @@ class Level:
         )
 
 
+def bits_of(count: int, hashes: int) -> int:
+    return max(64, math.ceil(count * hashes / math.log(2)))
+
+
 def build_level(keys: DataFrame, count: int, number: int, rate: float) -> Level:
     """A Bloom filter of ``count`` distinct keys with about the given false-positive rate."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, math.ceil(count * hashes / math.log(2)))
-    if bits > MAX_LEVEL_MB << 23:
-        raise ValueError(f"a level of {bits >> 23} MB passes the bound of {MAX_LEVEL_MB} MB")
+    bits = bits_of(count, hashes)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +126,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_level: int = 0)
     n = listed.count()
     if n == 0:
         return Cascade(())
-    total = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    rate = min(0.5, max(2.0**-30, n / max(total, 1) * math.sqrt(0.5)))
-    levels = [build_level(listed, n, first_level, rate)]
+    levels = [build_level(listed, n, first_level, first_rate(n, universe))]
     wrong = materialize(
         passing(universe, levels[0]).distinct().join(listed, "key", "left_anti")
     )
@@ -136,6 +138,35 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_level: int = 0)
     return Cascade(tuple(levels))
 
 
+def first_rate(listed: int, universe: DataFrame) -> float:
+    total = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
+    return min(0.5, max(2.0**-30, listed / max(total, 1) * math.sqrt(0.5)))
+
+
+def shards_for(listed: DataFrame, universe: DataFrame) -> int:
+    """How many shards keep the first level, the largest, at about MAX_LEVEL_MB."""
+    n = listed.where("key is not null").distinct().count()
+    if bits_of(n, 30) <= MAX_LEVEL_MB * (1 << 23):  # whatever the universe
+        return 1
+    hashes = max(1, round(-math.log2(first_rate(n, universe))))
+    return math.ceil(bits_of(n, hashes) / (MAX_LEVEL_MB * (1 << 23)))
+
+
+def shard_of(keys: list[str], shards: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(k, seed=7) % shards for k in keys], dtype=np.int64)
+
+
+def in_shard(keys: DataFrame, shard: int, shards: int) -> DataFrame:
+    if shards == 1:
+        return keys
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shard_of(batch.column(0).to_pylist(), shards) == shard))
+
+    return keys.select("key").where("key is not null").mapInArrow(keep, "key string")
+
+
 def passing(keys: DataFrame, level: Level) -> DataFrame:
     shared = keys.sparkSession.sparkContext.broadcast(level)
 
@@ -171,7 +202,8 @@ def judge_urls(
     ``rules`` has verdict, host and path. A rule fits its host and all subdomains if the path
     of the url starts with the rule's; the longest fitting rule decides. A url that no listed
     rule fits is allowed. One cascade tells the listed keys among all keys of the corpus, a
-    second one the blocked among the listed, so the lookup is a map over the pages.
+    second one the blocked among the listed, so the lookup is a map over the pages; rule lists of
+    more than MAX_LEVEL_MB of filters take one such map for each shard of them.
 
     A null url or one without :// has empty host and path, fits no rule and is allowed. Null
     ids and repeated rows are judged row by row; an empty rule list allows everything; rules
@@ -204,32 +236,66 @@ def judge_urls(
     universe = seen.select("host", "path").mapInArrow(expand, "key string")
     listed = rules.select("key")
     blocked = rules.where("verdict = 'block'").select("key")
-    filters = spark.sparkContext.broadcast(
-        (build_cascade(listed, universe), build_cascade(blocked, listed, first_level=1000))
+    shards = shards_for(listed, universe)
+    (made,) = fresh(seen, "made")
+    judged = seen.withColumn(made, F.lit(None).cast(JUDGED))
+    for shard in range(shards):
+        some = in_shard(listed, shard, shards)
+        filters = spark.sparkContext.broadcast(
+            (
+                build_cascade(some, in_shard(universe, shard, shards)),
+                build_cascade(in_shard(blocked, shard, shards), some, first_level=1000),
+            )
+        )
+        judged = judged.withColumn(made, decider(filters, shapes, shard, shards)("host", "path", made))
+        if shard < shards - 1:  # one shard's filters at a time in a worker
+            judged = materialize(judged)
+    return judged.select(
+        "page_id",
+        "host",
+        "path",
+        f"{made}.rule",
+        F.coalesce(f"{made}.verdict", F.lit("allow")).alias("verdict"),
     )
 
-    @F.arrow_udf("struct<rule string, verdict string>")
-    def decide(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+
+JUDGED = "struct<place int, rule string, verdict string>"
+
+
+def decider(filters: Broadcast, shapes: dict[int, list[int]], shard: int, shards: int) -> Callable[..., Column]:
+    """The first listed lookup of a url in one shard, if it comes before what other shards found."""
+
+    @F.arrow_udf(JUDGED)
+    def decide(hosts: pa.Array, paths: pa.Array, before: pa.Array) -> pa.Array:
         is_listed, is_blocked = filters.value
-        found, keys, first = [], [], []
-        for host, path in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-            first.append(len(keys))
-            keys += lookups(host, path, shapes)
-        first.append(len(keys))
-        hit = is_listed.holds(keys)
-        for a, b in zip(first, first[1:], strict=False):
-            at = np.flatnonzero(hit[a:b])
-            found.append(keys[a + int(at[0])] if len(at) else None)
-        stop = is_blocked.holds([k or "" for k in found])
-        verdicts = ["block" if k and s else "allow" for k, s in zip(found, stop, strict=True)]
+        keys, owners, places = [], [], []
+        best = [x and (x["place"], x["rule"], x["verdict"]) for x in before.to_pylist()]
+        for i, (host, path) in enumerate(zip(hosts.to_pylist(), paths.to_pylist(), strict=True)):
+            asked = lookups(host, path, shapes)
+            if best[i] and best[i][0] is not None:
+                asked = asked[: best[i][0]]
+            keys += asked
+            owners += [i] * len(asked)
+            places += range(len(asked))
+        own = np.arange(len(keys)) if shards == 1 else np.flatnonzero(shard_of(keys, shards) == shard)
+        hit = own[is_listed.holds([keys[j] for j in own])] if len(own) else own
+        first: dict[int, int] = {}
+        for j in hit.tolist():
+            first.setdefault(owners[j], j)
+        stop = is_blocked.holds([keys[j] for j in first.values()])
+        for (i, j), s in zip(first.items(), stop.tolist(), strict=True):
+            best[i] = (places[j], keys[j], "block" if s else "allow")
+        rows = [x or (None, None, None) for x in best]
         return pa.StructArray.from_arrays(
-            [pa.array(found, pa.string()), pa.array(verdicts, pa.string())], ["rule", "verdict"]
+            [
+                pa.array([x[0] for x in rows], pa.int32()),
+                pa.array([x[1] for x in rows], pa.string()),
+                pa.array([x[2] for x in rows], pa.string()),
+            ],
+            ["place", "rule", "verdict"],
         )
 
-    (made,) = fresh(seen, "made")
-    return seen.withColumn(made, decide("host", "path")).select(
-        "page_id", "host", "path", f"{made}.rule", f"{made}.verdict"
-    )
+    return decide
 
 
 ORACLE = r"""

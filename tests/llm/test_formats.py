@@ -137,8 +137,10 @@ def judge_brute(url, rules):
     return low, path, best[1] if best else None, best[2] if best else "allow"
 
 
-@pytest.mark.parametrize("size", [0, 5, 400])
-def test_url_rules_against_python(spark, size):
+@pytest.mark.parametrize(("size", "shards"), [(0, 1), (5, 1), (400, 1), (400, 3)])
+def test_url_rules_against_python(spark, monkeypatch, size, shards):
+    if shards > 1:
+        monkeypatch.setattr(url_filter, "shards_for", lambda *_: shards)
     rng = random.Random(size)
     names = [f"s{i}" for i in range(30)]
     hosts = [f"{rng.choice(names)}.{rng.choice(names)}.{rng.choice(['com', 'net'])}" for _ in range(300)]
@@ -162,6 +164,17 @@ def test_url_rules_against_python(spark, size):
     assert url_filter.judge_urls(pages.where("false"), frame).count() == 0
 
 
+def test_shards_follow_the_size_of_the_first_level(spark, monkeypatch):
+    listed = spark.range(400_000).selectExpr("concat('k', id) as key")
+    universe = spark.range(800_000).selectExpr("concat('k', id) as key")
+    assert url_filter.shards_for(listed, universe) == 1
+    monkeypatch.setattr(url_filter, "MAX_LEVEL_MB", 0.03125)
+    shards = url_filter.shards_for(listed, universe)
+    assert shards == -(-url_filter.bits_of(400_000, 2) // (1 << 18))
+    parts = [url_filter.in_shard(listed, k, shards).count() for k in range(shards)]
+    assert sum(parts) == 400_000 and max(parts) < 2 * min(parts)
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"k{i}" for i in range(6000)]
     frame = spark.createDataFrame([(k,) for k in keys], "key string")
