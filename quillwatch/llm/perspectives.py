@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 64
+#: Turns of a block and messages of a part: dialogues with turn numbers below it, of no more
+#: messages than it, are rendered whole.
+CHUNK = 1024
 SYSTEM = "system"
 END = "<|end|>\n"
 
 
+def escaped(content: Column) -> Column:
+    """Text without marks of the format: a backslash more between < and | wherever they meet.
+
+    Taking one of the backslashes away again gives the text as it was.
+    """
+    return F.regexp_replace(content, r"<(\\*)\|", r"<\\$1|")
+
+
+def user_mark(speaker: str) -> Column:
+    """The head of a user's message: the name as JSON, in which < and > are spelled out."""
+    name = F.to_json(F.struct(F.col(speaker).alias("speaker")))
+    for sign, code in (("<", "\\u003c"), (">", "\\u003e")):
+        name = F.replace(name, F.lit(sign), F.lit(code))
+    return F.concat(F.lit("<|user name="), name, F.lit("|>\n"))
+
+
 def perspective_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Render each dialogue from the side of each of its participants.
 
@@ -20,26 +38,33 @@ def perspective_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame
     that carry loss (content and end mark of the assistant's messages).
 
     A block holds the turns of one ``chunk``-wide range of turn numbers, and a part at most
-    ``chunk`` of its messages, so no row grows with the length of a dialogue. A conversation
-    that holds a third of all rows is spread over its blocks.
+    ``chunk`` of its messages, so no row grows with the length of a dialogue; a dialogue within
+    these bounds is one row per participant. A longer one is cut, and its parts have no history.
+    A conversation that holds a third of all rows is spread over its blocks: its participants are
+    dealt to each block, and turns meet them by (conv_id, block).
+
+    Marks of the format that stand in a message are escaped (see ``escaped``), so no text can
+    open or end a message.
 
     Null text is an empty message, a null speaker the participant with the empty name, null
     turns form a block of their own (-1), ordered by speaker and text. Tied turns are ordered by speaker and
     text; repeated rows are repeated messages. A null conv_id is one conversation. A dialogue of
-    system messages only has no participant and no row. Further columns are ignored.
+    system messages only has no participant and no row. An empty table
+    gives no rows. Further columns are ignored.
     """
     turns = conversations.select(
-        F.col("conv_id"),
+        F.struct("conv_id").alias("conv"),  # never null, so null ids are one key
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("content"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-1).cast("long")))
     people = (
         turns.where(F.col("speaker") != SYSTEM)
-        .select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective"))
+        .select("conv", F.col("speaker").alias("perspective"))
         .distinct()
     )
-    order = Window.partitionBy("conv_id", "block").orderBy(
+    dealt = turns.select("conv", "block").distinct().join(people, "conv")
+    order = Window.partitionBy("conv", "block").orderBy(
         F.col("turn").asc_nulls_last(), "speaker", "content"
     )
     placed = turns.withColumn("place", F.row_number().over(order) - 1).withColumn(
@@ -49,43 +74,37 @@ def perspective_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame
     head = (
         F.when(own, F.lit("<|assistant|>\n"))
         .when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), F.to_json(F.struct("speaker")), F.lit("|>\n")))
+        .otherwise(user_mark("speaker"))
     )
-    seen = placed.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).select(
-        "conv_id", "perspective", "block", "part", "place",
-        own.alias("own"), head.alias("head"), F.concat("content", F.lit(END)).alias("body"),
+    key = ["conv", "perspective", "block", "part"]
+    seen = placed.join(dealt, ["conv", "block"]).select(
+        *key, "place", own.alias("own"), head.alias("head"),
+        F.concat(escaped(F.col("content")), F.lit(END)).alias("body"),
     )
-    rows = seen.groupBy("conv_id", "perspective", "block", "part").agg(
-        F.array_sort(F.collect_list(F.struct("place", "own", "head", "body"))).alias("m")
+    upto = F.sum(F.length("head") + F.length("body")).over(
+        Window.partitionBy(*key).orderBy("place")
     )
-    sizes = F.transform("m", lambda x: F.length(x["head"]) + F.length(x["body"]))
-    ends = F.transform(
-        "m",
-        lambda x, i: F.aggregate(
-            F.slice(F.col("sizes"), F.lit(1), i + 1), F.lit(0), lambda a, b: a + b
-        ),
+    rows = (
+        seen.withColumn("ends", upto)
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("place", "own", "head", "body", "ends"))).alias("m"))
     )
     spans = F.transform(
-        F.filter(F.arrays_zip("m", "ends"), lambda x: x["m"]["own"]),
+        F.filter("m", lambda x: x["own"]),
         lambda x: F.struct(
-            (x["ends"] - F.length(x["m"]["body"])).alias("start"), x["ends"].alias("end")
+            (x["ends"] - F.length(x["body"])).cast("int").alias("start"),
+            x["ends"].cast("int").alias("end"),
         ),
     )
-    return (
-        rows.withColumn("sizes", sizes)
-        .withColumn("ends", ends)
-        .select(
-            "conv_id",
-            "perspective",
-            "block",
-            "part",
-            F.size("m").cast("long").alias("n_messages"),
-            F.size(F.filter("m", lambda x: x["own"])).cast("long").alias("n_trained"),
-            F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"])), "").alias(
-                "text"
-            ),
-            spans.alias("mask_spans"),
-        )
+    return rows.select(
+        F.col("conv.conv_id").alias("conv_id"),
+        "perspective",
+        "block",
+        "part",
+        F.size("m").cast("long").alias("n_messages"),
+        F.size(F.filter("m", lambda x: x["own"])).cast("long").alias("n_trained"),
+        F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
+        spans.alias("mask_spans"),
     )
 
 
@@ -106,18 +125,19 @@ def perspective_digests(conversations: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS content,
-         coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS block FROM conversations),
+         coalesce(CAST(floor(turn / 1024.0) AS BIGINT), -1) AS block FROM conversations),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, block
                                ORDER BY turn NULLS LAST, speaker, content) - 1 AS place FROM t),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 seen AS (
-  SELECT p.conv_id, q.perspective, p.block, p.place // 64 AS part, p.place,
+  SELECT p.conv_id, q.perspective, p.block, p.place // 1024 AS part, p.place,
          p.speaker = q.perspective AS own,
          CASE WHEN p.speaker = q.perspective THEN '<|assistant|>' || chr(10)
               WHEN p.speaker = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name={"speaker":"' || p.speaker || '"}|>' || chr(10) END AS head,
-         p.content || '<|end|>' || chr(10) AS body
+              ELSE '<|user name={"speaker":"' || replace(replace(p.speaker, '<', '\u003c'), '>', '\u003e')
+                   || '"}|>' || chr(10) END AS head,
+         regexp_replace(p.content, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id),
 sized AS (
   SELECT *, sum(length(head) + length(body)) OVER (
