@@ -83,7 +83,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that ``exact_dedup`` keeps, with all their columns."""
+    """The documents that ``exact_dedup`` keeps, with all their columns.
+
+    Null and empty texts are one text, a text of blanks only another. Rows repeated with one id
+    and text are one document and stay together, as do all rows of a group of null ids only; an
+    empty table gives no rows.
+    """
     removed = materialize(
         exact_dedup(docs).where("not kept").select("doc_id", "text_sha256").distinct()
     )

@@ -200,7 +200,8 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters | None) -> DataF
     """Add lang_pred and score to the documents, read from ``text`` alone.
 
     ``und`` with score 0 for null texts, texts without a letter, and all texts if there are no
-    filters; a text whose n-grams are all unknown gets the most frequent language, score 0.
+    filters; a text whose n-grams are all unknown gets the most frequent language, score 0. Of
+    languages with equal corrected counts the first by name is predicted.
     """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if filters is None:

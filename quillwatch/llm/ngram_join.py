@@ -572,7 +572,12 @@ def ids_of(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest id, with all its columns."""
+    """One document of each component stays, the one with the smallest id, with all its columns.
+
+    Documents of null or wordless text are linked with nothing and stay, as do rows with a null
+    id. Rows repeated with one id are one document and stay or go together; an empty table gives
+    no rows.
+    """
     removed = materialize(
         ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
     )

@@ -183,7 +183,12 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5) -> D
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns.
+
+    Null and empty texts are judged by the bias alone; without labels every document stays. A
+    score of exactly 0.5 goes. Repeated rows stay or go together; null ids are
+    judged, but not learned from. An empty table gives no rows.
+    """
     (name,) = fresh(docs, "toxic_score")
     model = fit_toxicity(docs, labels)
     return (

@@ -264,3 +264,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["near_dedup"] - ids["decontamination"] == {402}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids["decontamination"]
+
+
+def test_pipeline_of_nothing_and_null_ids(spark, tmp_path):
+    """Empty tables give no rows; null ids, texts and labels pass every stage whole."""
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "alone and clean", None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0)]
+    rows += [(None, None, None, None, None), (3, "one two three", "en", "s", 13), (4, "one  two three", "en", "s", 14)]
+    for name, given in (("none", []), ("nulls", rows)):
+        there = f"{tmp_path}/{name}"
+        spark.createDataFrame(given, columns).write.parquet(f"{there}/documents.parquet")
+        spark.createDataFrame([(None, 1, None)] if given else [], "doc_id long, quality int, toxic int").write.parquet(f"{there}/labels.parquet")
+        spark.createDataFrame([(None, None)] if given else [], "item_id long, text string").write.parquet(f"{there}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/nulls").collect()
+    # of the empty texts 1 has the smallest id; the text of a null id is nobody's copy
+    assert sorted(r.doc_id or 0 for r in got if r.start == 0) == [0, 1, 3]

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillwatch.llm import decontamination, language_id, pitman_yor, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, score string, made int, items string"
@@ -51,6 +53,83 @@ def test_languages_are_told_apart(spark, count):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def grams_brute(text):
+    low = re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {text.lower()} ".encode())
+    return [low[i : i + 4] for i in range(len(low) - 3)]
+
+
+def languages_brute(rows):
+    """Exact sets of n-grams in place of the filters: the count of each language's n-grams."""
+    whole, docs, out = Counter(), {}, {}
+    for i, text, lang in rows:
+        if lang and any(c.isalpha() for c in text or "") and (i is None or bucket(i, 5)):
+            whole[lang] += 1
+            docs.setdefault(lang, Counter()).update(set(grams_brute(text)))
+    rates = {lang: {g: n / whole[lang] for g, n in each.items()} for lang, each in docs.items()}
+    top = Counter()
+    for each in rates.values():
+        for g, rate in each.items():
+            top[g] = max(top[g], rate)
+    sets = {
+        lang: {g for g, r in each.items() if r >= 0.003 and r >= 0.5 * top[g]}
+        for lang, each in rates.items()
+    }
+    for i, text, _ in rows:
+        found = grams_brute(text or "")
+        out[i] = {lang: sum(g in known for g in found) for lang, known in sets.items()}
+    return out, whole
+
+
+@pytest.mark.parametrize("count", [3, 10])
+def test_languages_against_python(spark, count):
+    """Mixed texts, languages that share words, one very long text, unknown n-grams and ties."""
+    rng = random.Random(11)
+    kinds = [["".join(rng.choices("abcdefgäéñß", k=2)) for _ in range(9)] for _ in range(count)]
+    for kind in kinds[1:]:
+        kind[:3] = kinds[0][:3]
+    rows = []
+    for i in range(50 * count):
+        other = kinds[rng.randrange(count)]
+        text = sentence(rng, kinds[i % count] + other[:4], rng.randrange(1, 40))
+        rows.append((i, rng.choice([text, text.title(), text.replace(" ", " 7, ")]), f"l{i % count}"))
+    rows += [(9000, sentence(rng, kinds[1], 60_000), None), (9001, "Qqqqqq zzzz", None), (9002, "--", "l0")]
+    rows += [(9003, None, "l0"), (None, rows[3][1], "l2"), (5, rows[5][1], rows[5][2])]
+    want, whole = languages_brute(rows)
+    usual = max(sorted(whole), key=lambda lang: whole[lang])
+    got = language_id.identify_languages(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        counts = want[r.doc_id]
+        if r.doc_id in (9002, 9003):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif not any(counts.values()):
+            assert (r.lang_pred, r.score) == (usual, 0.0)
+        else:
+            assert counts[r.lang_pred] == max(counts.values())
+            assert r.score == pytest.approx(counts[r.lang_pred] / sum(counts.values()), abs=1e-6)
+    assert not any(want[9001].values())
+
+
+def test_corrected_counts_of_full_filters():
+    """Half of all rows set by chance: counts lose the share that passes by mistake."""
+    rng = np.random.default_rng(3)
+    slices = np.zeros((1 << language_id.ROW_BITS, 1), dtype=np.uint8)
+    slices[rng.random(len(slices)) < 0.5] = 1
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    own = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300))
+    for k in range(language_id.HASHES):
+        keys, _ = language_id.grams(np.frombuffer(own.encode(), np.uint8), np.array([0, 300]))
+        slices[language_id.rows_of(keys, k), 0] |= 2
+    filters = language_id.LanguageFilters(("full", "own"), slices, 0)
+    data = np.frombuffer((text + own).encode(), np.uint8)
+    keys, of = language_id.grams(data, np.array([0, len(text), len(data)]))
+    counts, total = filters.counts(keys, of, 2), np.bincount(of)[:, None]
+    true = (counts - total * filters.rates()) / (1 - filters.rates())
+    assert counts[0, 0] == pytest.approx(total[0, 0] / 8, rel=0.05)
+    assert abs(true[0, 0]) < 0.01 * total[0, 0]
+    assert true[1, 1] == pytest.approx(total[1, 0], rel=1e-3)
+
+
 def test_languages_without_rows_or_labels(spark):
     assert language_id.identify_languages(frame(spark, [])).count() == 0
     got = language_id.identify_languages(frame(spark, [(1, "hello", None)])).collect()
@@ -98,6 +177,76 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def features_brute(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    pairs = [(gap, a, b) for gap in (1, 2) for a, b in zip(words, words[gap:], strict=False)]
+    return [*sorted(set(words)), *sorted(set(pairs)), ""]  # the empty word is the bias
+
+
+def ftrl_brute(rows):
+    """FTRL-proximal, one coordinate after the other; weights by feature."""
+    z, n = Counter(), Counter()
+
+    def weight(key):
+        if abs(z[key]) <= toxicity.L1:
+            return 0.0
+        rate = (toxicity.BETA + math.sqrt(n[key])) / toxicity.ALPHA + toxicity.L2
+        return (math.copysign(toxicity.L1, z[key]) - z[key]) / rate
+
+    for _ in range(toxicity.EPOCHS):
+        for keys, label in rows:
+            now = {key: weight(key) for key in keys}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - label
+            for key in keys:
+                sigma = (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) / toxicity.ALPHA
+                z[key] += g - sigma * now[key]
+                n[key] += g * g
+    return {key: weight(key) for key in z}
+
+
+@pytest.mark.parametrize("shard_rows", [6000, 120])
+def test_toxicity_against_python(spark, monkeypatch, shard_rows):
+    """One learner, and several whose weights are averaged, against dictionaries of features."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", shard_rows)
+    rng = random.Random(12)
+    vocabulary = ["vile", "Rotten", "été", "日本", "x1", "calm", "day", "tree"]
+    rows, labels = [], []
+    for i in range(400):
+        words = rng.choices(vocabulary, k=rng.randrange(0, 12))
+        toxic = int("vile Rotten" in " ".join(words) or rng.random() < 0.05)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(words), "en"))
+        labels.append((i, 1, toxic))
+    rows += [(900, None, None), (901, "VILE rotten " * 9000, None), (None, "vile", None), (7, rows[7][1], "en")]
+    labels += [(901, 1, None), (None, 1, 1), (8, 1, 1), (8, 1, 0), (77_777, 1, 1)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth = {}
+    for i, _, toxic in labels:
+        if i is not None and toxic is not None and bucket(i, 5):
+            truth[i] = max(truth.get(i, 0), toxic)
+    shards = max(1, round(len(truth) / shard_rows))
+    ids = spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long").distinct()
+    dealt = ids.select(
+        "doc_id", F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards))
+    )
+    order = {i: (shard, place) for i, place, shard in dealt.collect()}
+    parts = {}
+    for i, text, _ in sorted((r for r in rows if r[0] in truth), key=lambda r: order[r[0]][1]):
+        parts.setdefault(order[i][0], []).append((features_brute(text), truth[i]))
+    assert len(parts) == (1 if shard_rows == 6000 else 3)
+    mean = Counter()
+    for part in parts.values():
+        for key, w in ftrl_brute(part).items():
+            mean[key] += w / len(parts)
+    got = toxicity.score_toxicity(frame(spark, rows), marks).collect()
+    assert len(got) == len(rows)
+    texts = {i: text for i, text, _ in rows}
+    for r in got:
+        total = sum(mean[key] for key in features_brute(texts[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+    assert sum(w != 0 for w in mean.values()) > 3  # something is learned, and
+    assert any(w == 0 for w in mean.values())  # the rest stays sparse
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(frame(spark, [(1, "a b", None)]), none).collect()
