@@ -1,5 +1,6 @@
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,55 @@ def test_timeline_equals_sequential_fold(spark, spread_micros):
                 assert got[(alert, key)] == effect, (alert, steps)
 
 
+def test_timeline_of_one_long_history(spark):
+    """Thousands of steps of one alert, over thousands of blocks and within one block.
+
+    The jobs are cancelled after two minutes: work that grows faster than the steps does not end.
+    """
+    rng, occ, act, histories = random.Random(7), [], [], {}
+    for alert, gap in (("spread", 1_000_000_000), ("dense", 100_000), ("mixed", 2_000_000)):
+        steps = []
+        for k in range(4_000):
+            kind, key = rng.choice("oooaarx"), f"{alert}-{k:05d}"
+            steps.append((kind, key))
+            at = 1_700_000_100_000_000 + k * gap
+            if kind == "o":
+                occ.append((alert, key, at))
+            else:
+                name = {"a": "acknowledged", "r": "resolved", "x": None}[kind]
+                act.append((alert, key, name, at))
+        histories[alert] = steps
+    # rows without a time come first, rows without an alert nowhere; neither has an effect row
+    occ += [("mixed", "mixed-null", None), (None, "lost", 1_700_000_100_000_000)]
+    o = spark.createDataFrame(occ, "alert_id string, occurrence_key string, m long").select(
+        "alert_id", "occurrence_key", F.timestamp_micros("m").alias("last_seen")
+    )
+    a = spark.createDataFrame(act, "alert_id string, action_key string, action string, m long").select(
+        "alert_id", "action_key", "action", F.timestamp_micros("m").alias("at"),
+        F.lit("x").alias("actor"), F.lit(None).cast("string").alias("note"),
+    )
+    spark.sparkContext.setJobGroup("long history", "long history")
+    alarm = threading.Timer(120, spark.sparkContext.cancelJobGroup, ["long history"])
+    alarm.start()
+    try:
+        rows = lifecycle_timeline(o, a, block_seconds=900).collect()
+    finally:
+        alarm.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r.alert_id, r.step_key): r.effect for r in rows}
+    assert not {("mixed", "mixed-null"), (None, "lost")} & set(got)
+    for alert, steps in histories.items():
+        led = "o" if alert == "mixed" else ""
+        known = [(kind, key) for kind, key in steps if kind != "x"]
+        expected = fold([*led, *(kind for kind, _ in known)])[len(led):]
+        for (kind, key), effect in zip(known, expected, strict=True):
+            if kind == "o" and effect == "occurrence":
+                assert got.get((alert, key), "occurrence") == "occurrence"
+            else:
+                assert got[(alert, key)] == effect
+        assert all(got[(alert, key)] == "rejected" for kind, key in steps if kind == "x")
+
+
 def test_store_life(spark, tmp_path):
     store = AlertStore(spark, str(tmp_path / "store"))
     assert store.state().count() == 0
