@@ -276,8 +276,10 @@ register(
 # ---------------------------------------------------------------- watch
 
 
-def _audit_files(spark: SparkSession, sf: str, path: str, *conditions: str) -> str:
-    """Audit rows as files, one for each condition, in this order."""
+def _audit_files(
+    spark: SparkSession, sf: str, path: str, *conditions: str, files: int | None = None
+) -> str:
+    """Audit rows as files, those of each condition in this order; ``files`` for each if given."""
     rows = v.audit(spark, sf).withColumns(
         {
             "event_time": F.col("event_time").cast("timestamp"),
@@ -285,17 +287,26 @@ def _audit_files(spark: SparkSession, sf: str, path: str, *conditions: str) -> s
         }
     )
     for condition in conditions:
-        rows.where(condition).drop("n").coalesce(1).write.mode("append").parquet(path)
+        part = rows.where(condition).drop("n")
+        if files:
+            part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.mode("append").parquet(path)
     return rows.drop("n").schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
 
 def _watched(spark: SparkSession, sf: str) -> DataFrame:
-    """Five files, one a micro-batch: the alerts, the audit records and their chain."""
+    """Five fifths, one a micro-batch: the alerts, the audit records and their chain.
+
+    A fifth is one file for each 100,000 rows, so that no task writes or reads all of it.
+    """
     root = _folder(spark, "watch")
-    kind = _audit_files(spark, sf, f"{root}/rows", *(f"n % 5 = {k}" for k in range(5)))
+    files = 1 + v.table(spark, sf, "events").count() // 500_000
+    kind = _audit_files(
+        spark, sf, f"{root}/rows", *(f"n % 5 = {k}" for k in range(5)), files=files
+    )
     store = AlertStore(spark, f"{root}/store")
     watch(
-        read_audit_stream(spark, f"{root}/rows", schema=kind, files_per_batch=1), store,
+        read_audit_stream(spark, f"{root}/rows", schema=kind, files_per_batch=files), store,
         checkpoint=f"{root}/checkpoint", min_risk=0.5, audit_dir=f"{root}/audit", fold_every=2,
         once=True,
     ).awaitTermination()
