@@ -143,8 +143,8 @@ _TICKET_SQL = (
 def _log_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences, then analyst actions, some on alerts that no record names; replayed."""
     path = _folder(spark, "log")
-    exports.append_log(v.occurrences(spark, sf), path)
-    act = v.actions(spark, sf)
+    exports.append_log(v.recorded(spark, sf), path)
+    act = v.recorded_actions(spark, sf)
     lost = act.withColumn("alert_id", F.concat(F.lit("alrt_lost_"), F.substring("alert_id", 6, 8)))
     exports.append_updates(act.unionByName(lost).orderBy("at", "action_key"), path)
     records = alert_log.read_alert_log(spark, path)

@@ -21,7 +21,8 @@ def tables(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "name", ["lifecycle_effects", "lifecycle_states", "prune_event_cascade", "panel_values"]
+    "name",
+    ["lifecycle_effects", "lifecycle_states", "prune_event_cascade", "panel_values", "log_sink_replay"],
 )
 def test_a_lifecycle_query_derives_its_occurrences_once(spark, tables, monkeypatch, name):
     seen = spark.sparkContext.accumulator(0)
