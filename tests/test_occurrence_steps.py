@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from checks import views
+from checks import registry, views
 from quillwatch.functions.text import WHITESPACE, strip
 from quillwatch.operators.alerts import fingerprint, with_fingerprint
 from quillwatch.operators.detection import DEFAULT_RULES, detect
@@ -82,3 +82,16 @@ def test_events_are_stripped_and_all_violations_listed(spark):
         ]
     )
     assert events.where(F.col("violations").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["store_verification", "panel_values"])
+def test_queries_that_read_the_states_twice_derive_them_once(spark, tables, monkeypatch, name):
+    written, keep = [], views.stored
+
+    def noted(frame, name):
+        written.append(name)
+        return keep(frame, name)
+
+    monkeypatch.setattr(views, "stored", noted)
+    assert registry.QUERIES[name](spark, tables).count() > 0
+    assert sorted(written) == ["occurrences", "states"]
