@@ -450,3 +450,42 @@ def test_table_conditional_matches_seating():
 def test_byte_planes_round_trip():
     for x in ([], [0], [1, 2**40, 255], list(range(1000))):
         assert pitman_yor.unpack(pitman_yor.pack(np.array(x, dtype=np.uint64))).tolist() == x
+
+
+def test_seating_looks_only_at_possible_numbers_of_tables(monkeypatch):
+    n, cells = 20_000, 0
+    c = np.where(np.arange(n) % 100 == 0, 50, 2)
+    table_odds = pitman_yor.table_odds
+
+    def counted(*args):
+        nonlocal cells
+        odds = table_odds(*args)
+        cells += odds.size
+        return odds
+
+    monkeypatch.setattr(pitman_yor, "table_odds", counted)
+    u, w = np.full(n, 7, dtype=np.uint64), np.arange(n, dtype=np.uint64)
+    got = pitman_yor.seat_contexts(u, w, c, np.full(n, 1 / n))
+    assert got.sum() == pytest.approx(1.0)
+    assert cells < 15 * n * pitman_yor.SWEEPS  # all columns are 32
+
+
+def test_tables_are_never_more_than_customers():
+    c = np.array([2, 3, 40, 2])
+    few = [pitman_yor.draw_tables(c, np.full(4, 1e9), np.full(4, 0.9), (np.uint64(k),), 0.75, 1.0)
+           for k in range(50)]
+    assert (np.stack(few) <= c).all() and (np.stack(few) >= 1).all()
+
+
+def test_words_are_found_and_pairs_ordered():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5000):
+        known = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        asked = rng.choice(known, 3 * size)
+        assert (pitman_yor.places(known, asked) == np.searchsorted(known, asked)).all()
+    for top in (5, 1 << 31, 1 << 60):
+        u, w = (rng.integers(0, top, 300, dtype=np.uint64) // np.uint64(top // 5) for _ in range(2))
+        u, w = (x * np.uint64(top // 5) for x in (u, w))
+        assert pitman_yor.pair_order(u, w).tolist() == np.lexsort((w, u)).tolist()
+    none = np.zeros(0, dtype=np.uint32)
+    assert len(pitman_yor.pair_order(none, none)) == 0
