@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import registry, views
 from quillwatch.operators.alerts import enrich_detections
+from quillwatch.session import spread_rows, stored
 
 ROWS = 32
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -46,6 +47,44 @@ def test_a_lifecycle_query_derives_its_occurrences_once(spark, tables, monkeypat
     assert seen.value == 2 * found
 
 
+def test_a_table_of_few_row_groups_is_spread(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(5_000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    tasks = spark.sparkContext.defaultParallelism
+    wide = spread_rows(rows, "id")
+    filled = wide.select(F.spark_partition_id()).distinct().count()
+    assert filled >= min(tasks, 2) and wide.rdd.getNumPartitions() == 3 * tasks
+    assert sorted(r.id for r in wide.collect()) == list(range(5_000))
+    many = spark.range(5_000, numPartitions=tasks)
+    assert spread_rows(many, "id") is many
+
+
+def test_queries_without_payload_record_keys_and_times_only(spark, tables, monkeypatch):
+    written = []
+
+    def watched(frame, name):
+        written.append((name, len(frame.columns)))
+        return stored(frame, name)
+
+    monkeypatch.setattr(views, "stored", watched)
+    for name in ("lifecycle_effects", "lifecycle_events", "rejected_actions"):
+        registry.QUERIES[name](spark, tables).collect()
+    assert written == [("steps", 5)] * 3
+
+
+def test_the_cascade_orders_its_steps_once(spark, tables, monkeypatch):
+    written = []
+
+    def watched(frame, name):
+        written.append(name)
+        return stored(frame, name)
+
+    monkeypatch.setattr(views, "stored", watched)
+    rows = registry.QUERIES["prune_event_cascade"](spark, tables).collect()
+    assert rows and written == ["occurrences", "timeline"]
+
+
 def test_views_of_one_query_are_one_frame(spark, tables):
     @views.one_query
     def query(spark, sf):
